@@ -62,7 +62,7 @@ def slice_metrics(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum("brier").alias("sum_brier"), F.sum("p_true").alias("sum_p_true"),
         F.sum(F.when(F.col("p_gold") > 0, -F.log("p_gold"))).alias("sum_nll"), count(F.col("p_gold") > 0).alias("n_nll"),
         count(F.col("p_gold") == 0).alias("n_zero"),
-        F.sum(-F.log(F.greatest("p_gold", F.lit(1e-12)))).alias("sum_nll_clipped"),
+        F.sum(F.when(F.col("p_gold").isNotNull(), -F.log(F.greatest("p_gold", F.lit(1e-12))))).alias("sum_nll_clipped"),
         F.sum("abs_error").alias("sum_abs_error"), F.sum("abs_error_rounded").alias("sum_abs_error_rounded"),
         count(F.col("abs_error_rounded") == 0).alias("n_exact"), count(F.col("abs_error_rounded") <= 1).alias("n_within_one"),
         F.sum("rps").alias("sum_rps"), F.sum("input_tokens").alias("tokens"))

@@ -159,7 +159,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
 def values_at(df: DataFrame, by: Sequence[str], value: str, index) -> DataFrame:
     """The value at a zero-based index of each group's sorted values; index maps names to expressions over `n`."""
     base, keys = _grouping(df.where(F.col(value).isNotNull()), by)
-    counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialise(base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "counts")
     run = running_totals(counts, keys, value, {"_upto": "_c"})
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     joined = attach(run, sizes, keys, spread=[value])
