@@ -17,7 +17,7 @@ from ..functions.hashing import half
 from ..functions.options import keys_of
 from ..functions.probability import from_map, let, logits, platt, softmax
 from ..functions.stats import ece_bin
-from .scale import attach, materialise, task_count
+from .scale import attach, fits_broadcast, materialise
 
 # 200 temperatures, evenly spaced in log from 0.25 to 50.
 GRID_SIZE, GRID_LOW, GRID_HIGH = 200, 0.25, 50.0
@@ -52,8 +52,8 @@ def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     neighbourhood and a second pass scores the points in it. 42 evaluations a row give the same minimum as all 200.
     """
     by = list(by)
-    narrow = rows.select(*by, F.expr("transform(z, v -> v - get(z, g))").alias("d")).repartition(task_count(rows))
-    data = materialise(narrow, "logits")
+    narrow = rows.select(*by, F.expr("transform(z, v -> v - get(z, g))").alias("d"))
+    data = materialise(narrow, "logits", for_cpu=True)
     coarse = sorted({*range(0, GRID_SIZE, STRIDE), GRID_SIZE - 1})
 
     def best_of(df, points):
@@ -70,36 +70,46 @@ def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return fine.select(*by, F.get(F.array(*[F.lit(t) for t in GRID]), F.col("i")).alias("temperature"), "n")
 
 
-def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(by, a, b, n): logistic regression of gold on the log-odds, with the penalty on both terms.
 
     Every round is one aggregate of five sums per group and a closed 2x2 solve; the parameter table is written between rounds,
-    and a group that has settled keeps its values. Newton steps converge quadratically, so a handful of rounds is enough.
+    and a group that has settled keeps its values. Newton steps converge quadratically: once a step is below the tolerance, what
+    is left is about its square.
     """
     by = list(by)
-    data = materialise(rows.select(*by, "x", "y").repartition(task_count(rows)), "odds")
-    params = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
-        *by, F.lit(0.1).alias("a"), F.lit(0.0).alias("b"), "n", F.lit(1.0).alias("step"))
-    params = materialise(params, "platt")
-    for _ in range(max_rounds):
-        r = attach(data, params.where(F.col("step") > tolerance), by, ready=True)
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(F.col("a") * F.col("x") + F.col("b"), F.lit(50.0)), F.lit(-50.0))))
-        e = r.select(*by, "x", "a", "b", (p - F.col("y")).alias("e"), (p * (F.lit(1.0) - p)).alias("w"))
-        x, w = F.col("x"), F.col("w")
-        s = e.groupBy(*by).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * x).alias("ga"), F.sum("e").alias("gb"),
-                               F.sum(w * x * x).alias("haa"), F.sum(w * x).alias("hab"), F.sum("w").alias("hbb"))
-        n = F.col("n")
-        ga, gb = F.col("ga") / n + F.lit(ridge) * F.col("a"), F.col("gb") / n + F.lit(ridge) * F.col("b")
-        haa, hab, hbb = F.col("haa") / n + F.lit(ridge), F.col("hab") / n, F.col("hbb") / n + F.lit(ridge)
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        moved = s.select(*by, (F.col("a") - da).alias("a"), (F.col("b") - db).alias("b"), "n", F.greatest(F.abs(da), F.abs(db)).alias("step"))
-        params = materialise(moved.unionByName(params.where(F.col("step") <= tolerance)), "platt")
+    data = materialise(rows.select(*by, "x", "y"), "odds", for_cpu=True)
+    start = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.lit(0.1).alias("a"), F.lit(0.0).alias("b"), "n", F.lit(1.0).alias("step"))
+    params = materialise(start, "platt")
+    small = fits_broadcast(params)
+    done = 0
+    while done < max_rounds:
+        moving = params.where(F.col("step") > tolerance)
+        for _ in range((6 if done == 0 else 3) if small else 1):  # a few rounds per written table when the parameters travel by broadcast
+            moving = _newton_round(data, moving, by, ridge, small)
+            done += 1
+        params = materialise(moving.unionByName(params.where(F.col("step") <= tolerance)), "platt")
         if params.where(F.col("step") > tolerance).isEmpty():
             break
     return params.select(*by, "a", "b", "n")
 
 
+def _newton_round(data: DataFrame, params: DataFrame, by: list[str], ridge: float, small: bool) -> DataFrame:
+    pairs = params.select(*by, "a", "b")
+    r = data.join(F.broadcast(pairs), by) if small else attach(data, pairs, by, ready=True, spread=["x", "y"])
+    x, w = F.col("x"), F.col("w")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(F.col("a") * x + F.col("b"), F.lit(50.0)), F.lit(-50.0))))
+    e = r.select(*by, "x", "a", "b", (p - F.col("y")).alias("e"), (p * (F.lit(1.0) - p)).alias("w"))
+    s = e.groupBy(*by).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * x).alias("ga"), F.sum("e").alias("gb"),
+                           F.sum(w * x * x).alias("haa"), F.sum(w * x).alias("hab"), F.sum("w").alias("hbb"))
+    n = F.col("n")
+    ga, gb = F.col("ga") / n + F.lit(ridge) * F.col("a"), F.col("gb") / n + F.lit(ridge) * F.col("b")
+    haa, hab, hbb = F.col("haa") / n + F.lit(ridge), F.col("hab") / n, F.col("hbb") / n + F.lit(ridge)
+    det = haa * hbb - hab * hab
+    da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+    return s.select(*by, (F.col("a") - da).alias("a"), (F.col("b") - db).alias("b"), "n", F.greatest(F.abs(da), F.abs(db)).alias("step"))
+
+
 def fit(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, task_type, temperature | a, b, n) for rows of every answer type; `by` need not name the type."""
     by = list(by)

@@ -39,11 +39,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table once to the shared folder and read it back; later use does not recompute it."""
-    path = new_path(df.sparkSession, name)
+def materialise(df: DataFrame, name: str = "table", for_cpu: bool = False) -> DataFrame:
+    """Write a table once to the shared folder and read it back; later use does not recompute it.
+
+    for_cpu: the table feeds CPU-heavy passes; when it came out in fewer splits than there are cores (a small table, by the
+    size of a split) it is rewritten in one file per core.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if for_cpu and out.rdd.getNumPartitions() < cores:
+        return materialise(out.repartition(cores), name)
+    return out
 
 
 def task_count(df: DataFrame) -> int:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["evaluation", "comparison", "calibrating"]
+AREAS = ["evaluation", "comparison", "calibrating", "sampling"]
 
 
 def _load():
