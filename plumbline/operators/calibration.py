@@ -111,7 +111,10 @@ def _newton_round(data: DataFrame, params: DataFrame, by: list[str], ridge: floa
 
 
 def fit(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, task_type, temperature | a, b, n) for rows of every answer type; `by` need not name the type."""
+    """(by, task_type, temperature | a, b, n) for rows of every answer type; `by` need not name the type.
+
+    The rows are read once per answer type, so hand in a written table when they are costly to derive.
+    """
     by = list(by)
     keys = [*by, "task_type"]
     t = fit_temperature(rows.where(F.col("task_type") != "noul"), keys)
@@ -144,7 +147,7 @@ def cross_fit(preds: DataFrame, by: Sequence[str] = ("run_id", "slice"), id_col:
 
 def defaults(preds: DataFrame) -> DataFrame:
     """One temperature per choice and score, one Platt pair for yes/no, pooled over every slice of the given runs."""
-    return fit(items(preds), [])
+    return fit(materialise(items(preds).select("task_type", "z", "g", "x", "y"), "items"), [])
 
 
 def from_dev(dev: DataFrame, test: DataFrame, min_rows: int = MIN_SLICE_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import mcnemar_p
 from .metrics import comparable, slice_mean_accuracy, with_correct
-from .scale import attach
+from .scale import attach, with_scalar
 
 MIN_COVERAGE = 0.98
 RULE_NET_LOSS_SHARE = 0.02
@@ -138,8 +138,8 @@ def reproducibility(joined: DataFrame, worst: int = 5) -> DataFrame:
     s = joined.agg(F.count_if(F.col("place") == "common").alias("families_compared"), F.count_if(F.col("place") == "only_new").alias("families_only_new"),
                    F.count_if(F.col("place") == "only_old").alias("families_only_old"), F.max("diff").alias("max_difference"))
     top = joined.where(F.col("diff").isNotNull()).orderBy(F.desc("diff"), F.desc("family")).limit(worst)
-    return s.join(F.broadcast(top.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("diff", "family")))),
-                                                               lambda w: w["family"]), ",").alias("worst"))))
+    return with_scalar(s, top.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("diff", "family")))),
+                                                               lambda w: w["family"]), ",").alias("worst")))
 
 
 def scorer_difference(left: DataFrame, right: DataFrame) -> DataFrame:

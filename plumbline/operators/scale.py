@@ -90,6 +90,11 @@ def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inne
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (a global aggregate) to every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def _grouping(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 

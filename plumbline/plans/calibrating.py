@@ -64,7 +64,7 @@ def default_calibration(spark, d):
 
 @query(R + ITEMS + fit_sql("items", ["run_id", "slice"]) + " SELECT run_id,slice,task_type,round(temperature,6) AS temperature,round(a,6) AS a,round(b,6) AS b,n FROM fit")
 def slice_calibrators(spark, d):
-    return rounded(C.fit(C.items(S.predictions(spark, d)), ["run_id", "slice"]))
+    return rounded(C.fit(materialise(C.items(S.predictions(spark, d)).select("run_id", "slice", "task_type", "z", "g", "x", "y"), "items"), ["run_id", "slice"]))
 
 
 FOLDED = f", cf AS MATERIALIZED (SELECT run_id,slice,task_type,z,g,x,y,{half('family_id')} AS fold FROM items WHERE task_type<>'score'), tr AS MATERIALIZED (SELECT * REPLACE (1-fold AS fold) FROM cf)"
@@ -131,10 +131,12 @@ def built(spark, d):
     return rows, items, T.targets(items)
 
 
-@query(TGT + " SELECT row_id,family,task_type,gold,round(gold_weight,6) AS gold_weight,target,teacher_calibrated,teacher_conflict,agrees,holdout_family FROM tgt")
+@query(TGT + """ SELECT row_id,family,gold,round(gold_weight,6) AS gold_weight,keys[i] AS key,target[i] AS target,teacher_calibrated[i] AS teacher_calibrated,teacher_conflict,agrees,holdout_family
+ FROM tgt,unnest(range(1,len(keys)+1)) t(i)""")
 def soft_targets(spark, d):
     """The target build: labels joined, cross-fitted by family and type, consensus filter, blend with gold."""
-    return built(spark, d)[2].select("row_id", "family", "task_type", "gold", "gold_weight", "target", "teacher_calibrated", "teacher_conflict", "agrees", "holdout_family")
+    out = built(spark, d)[2].withColumn("e", F.explode(F.arrays_zip("keys", "target", "teacher_calibrated")))
+    return out.select("row_id", "family", "gold", "gold_weight", F.col("e.keys").alias("key"), "e.target", "e.teacher_calibrated", "teacher_conflict", "agrees", "holdout_family")
 
 
 @query(TGT + """ SELECT family,coalesce(r,0) AS rows,round(coalesce(a,0),6) AS agreement,coalesce(c,0) AS conflicts,n-coalesce(r,0) AS dropped FROM (SELECT family,count(*) AS n FROM li GROUP BY 1)

@@ -71,7 +71,7 @@ def session():
     spark = (SparkSession.builder.master("local[8]").appName("compare").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -86,7 +86,7 @@ def main():
         try:
             text, ok = compare(spark, con, name, qs[name], sq.get(name), folder)
         except Exception as exc:
-            text, ok = f"ERROR {type(exc).__name__}: {str(exc)[:1500]}", False
+            text, ok = f"ERROR {type(exc).__name__}: {str(exc)[:700]}", False
         if not ok:
             bad.append(name)
         print(f"{name:36s} {text}", flush=True)
