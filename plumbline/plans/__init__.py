@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["evaluation", "comparison", "calibrating", "sampling", "guarding", "publishing", "ruling", "converting"]
+AREAS = ["evaluation", "comparison", "calibrating", "sampling", "guarding", "publishing", "ruling", "converting", "combining"]
 
 
 def _load():

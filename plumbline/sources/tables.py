@@ -34,7 +34,7 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_predictions(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
     """Every run under root/<run_id>/predictions.jsonl (plain or gzip), with run_id from the folder; smoke runs left out."""
     rows = read_jsonl(spark, [f"{root}/*/predictions.jsonl*"], schema)
-    run = F.regexp_extract("file_path", r"/([^/]+)/predictions\.jsonl[^/]*$", 1)
+    run = F.regexp_extract("file_path", r"/([^/]+)/predictions\.jsonl", 1)
     return rows.withColumn("run_id", run).where(~F.col("run_id").startswith("smoke")).drop("file_path")
 
 
