@@ -47,13 +47,18 @@ def mcnemar_p(newly_wrong, newly_right) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_top) * tail))
 
 
-def poisson_one(u) -> Column:
-    """Poisson(1) draw out of a uniform fraction, by the inverse distribution function."""
-    col = _c(u)
-    # Cumulative Poisson(1) probabilities for 0 to 9.
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-           0.9994058151824183, 0.999916758850712, 0.9999898032318297, 0.9999988748269639, 0.9999998885745217]
-    out = F.lit(len(cdf))
-    for i in range(len(cdf) - 1, -1, -1):
-        out = F.when(col <= F.lit(cdf[i]), F.lit(i)).otherwise(out)
-    return out
+# Cumulative Poisson(1) probabilities for 0 to 9.
+POISSON_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+               0.9994058151824183, 0.999916758850712, 0.9999898032318297, 0.9999988748269639, 0.9999998885745217]
+
+
+def poisson_one(hex_digits) -> Column:
+    """Poisson(1) draw out of eight hex digits, by the inverse distribution function.
+
+    Hex digits of one length sort as text like the numbers they write, so nothing is converted.
+    """
+    col = _c(hex_digits)
+    out = F.when(col <= f"{int(POISSON_CDF[0] * 0xFFFFFFFF):08x}", 0)
+    for k, c in enumerate(POISSON_CDF[1:], 1):
+        out = out.when(col <= f"{int(c * 0xFFFFFFFF):08x}", k)
+    return out.otherwise(len(POISSON_CDF))

@@ -38,11 +38,24 @@ def items(preds: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.when(noul, F.get("z", F.lit(1)) - F.get("z", F.lit(0)))).withColumn("y", F.when(noul, F.col("g").cast("double")))
 
 
-def _nll(points):
-    """Loss of a row at each of the grid points: log of the summed odds against the gold option."""
-    def at(i, t):
-        return F.log(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(x / t)))
-    return F.transform(points, lambda i: F.struct(i.alias("i"), at(i, F.get(F.array(*[F.lit(t) for t in GRID]), i)).alias("nll")))
+MAX_INLINE = 32
+
+
+def _grid_losses(data: DataFrame, by: list[str], points, options: int) -> DataFrame:
+    """(by, i, nll, n): summed loss per grid point, the log of the summed odds against the gold option of every row.
+
+    The odds of up to 32 options are written out term by term, which keeps the hot loop in generated code; a row with more
+    options is summed by a higher-order function.
+    """
+    t = F.get(F.array(*[F.lit(x) for x in GRID]), F.col("i"))
+    each = data.select(*by, "d", F.explode(points).alias("i")).withColumn("t", t)
+    terms = [F.exp(F.coalesce(F.get("d", F.lit(j)), F.lit(float("-inf"))) / F.col("t")) for j in range(min(options, MAX_INLINE))]
+    odds = terms[0]
+    for term in terms[1:]:
+        odds = odds + term
+    if options > MAX_INLINE:
+        odds = F.when(F.size("d") <= MAX_INLINE, odds).otherwise(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(x / F.col("t"))))
+    return each.select(*by, "i", F.log(odds).alias("nll")).groupBy(*by, "i").agg(F.sum("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -54,11 +67,11 @@ def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     narrow = rows.select(*by, F.expr("transform(z, v -> v - get(z, g))").alias("d"))
     data = materialise(narrow, "logits", for_cpu=True)
+    options = data.agg(F.max(F.size("d"))).first()[0] or 1
     coarse = sorted({*range(0, GRID_SIZE, STRIDE), GRID_SIZE - 1})
 
     def best_of(df, points):
-        evaluated = df.select(*by, F.explode(_nll(points)).alias("e"))
-        losses = evaluated.groupBy(*by, F.col("e.i").alias("i")).agg(F.sum("e.nll").alias("nll"), F.count(F.lit(1)).alias("n"))
+        losses = _grid_losses(df, by, points, options)
         # rounding keeps summation order from deciding between points that are equal
         top = losses.groupBy(*by).agg(F.min_by("i", F.struct(F.round(F.col("nll") / F.col("n"), 12).alias("l"), "i")).alias("i"), F.max("n").alias("n"))
         return top

@@ -208,12 +208,12 @@ def bootstrap_interval(preds: DataFrame, resamples: int = 2000, seed="bootstrap"
         F.collect_list(F.struct("run_id", "slice", "s", "n")).alias("cells"))
     blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8))))
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("block"), F.col("family_id")), 256)
-    draws = blocks.withColumn("h", digest).select("cells", "block", "h", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    fraction = F.conv(F.substring(F.col("h"), F.col("i") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967295.0)
-    drawn = draws.select("cells", (F.col("block") * 8 + F.col("i") + 1).alias("b"), poisson_one(fraction).alias("w"))
-    each = drawn.where((F.col("b") <= resamples) & (F.col("w") > 0)).select("b", "w", F.explode("cells").alias("c"))
-    means = each.groupBy(F.col("c.run_id").alias("run_id"), F.col("c.slice").alias("slice"), "b").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("c.s")), F.sum(F.col("w") * F.col("c.n"))).alias("m"))
+    weights = [poisson_one(F.substring("h", 8 * i + 1, 8)).alias(f"w{i}") for i in range(8)]
+    drawn = blocks.select("block", "cells", digest.alias("h")).select("block", "cells", *weights)  # once for all runs of a family
+    drawn = drawn.withColumn("c", F.explode("cells")).select("block", "c.*", *[f"w{i}" for i in range(8)])
+    sums = drawn.groupBy("run_id", "slice", "block").agg(*[F.sum(F.col(f"w{i}") * F.col(c)).alias(f"{c}{i}") for i in range(8) for c in ("s", "n")])
+    each_draw = F.posexplode(F.array(*[F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"n{i}")) for i in range(8)])).alias("i", "m")
+    means = sums.select("run_id", "slice", "block", each_draw).where(F.col("block") * 8 + F.col("i") < resamples)
     ends = means.groupBy("run_id", "slice").agg(F.percentile("m", [0.025, 0.975]).alias("q"))  # `resamples` values a group
     return ends.select("run_id", "slice", F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"))
 

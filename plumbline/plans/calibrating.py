@@ -127,7 +127,7 @@ TGT = ("WITH RECURSIVE " + DECISIONS + "," + TEACHER_LABELS + f""", li AS MATERI
 
 def built(spark, d):
     rows = S.decisions(spark, d)
-    items = T.label_table(rows, S.teacher_labels(rows))
+    items = T.label_table(rows, S.labels(spark, d))
     return rows, items, T.targets(items)
 
 
@@ -158,7 +158,7 @@ def target_rows(spark, d):
 @query("WITH " + DECISIONS + "," + TEACHER_LABELS + " SELECT family,count(*) AS missing FROM labels_t WHERE failed GROUP BY 1")
 def unlabelled_rows(spark, d):
     rows = S.decisions(spark, d)
-    return T.unlabelled(rows, S.teacher_labels(rows))
+    return T.unlabelled(rows, S.labels(spark, d))
 
 
 @query("WITH " + DECISIONS + "," + TEACHER_LABELS + """, two AS (SELECT row_id,family,keys,gold,probs,0 AS load_order FROM labels_t WHERE NOT failed UNION ALL SELECT row_id,family,keys,gold,list_reverse(probs),1 FROM labels_t WHERE NOT failed AND length(row_id)%2=0)
@@ -167,7 +167,7 @@ def duplicate_labels_last_wins(spark, d):
     """Two label files that overlap: the later label of a row is the one joined."""
     from ..functions.probability import from_map
     rows = S.decisions(spark, d).withColumn("keys", keys_of("options"))
-    lab = S.teacher_labels(rows)
+    lab = S.labels(spark, d)
     again = lab.where((F.length("row_id") % 2 == 0) & F.col("error").isNull()).withColumn("probs", F.map_from_arrays(F.map_keys("probs"), F.reverse(F.map_values("probs")))).withColumn("load_order", F.lit(1).cast("bigint"))
     j = rows.join(T.usable_labels(union_all(lab, again)), "row_id")
     p = F.get(from_map("probs", "keys"), (F.array_position("keys", F.col("gold")) - 1).cast("int"))
@@ -190,7 +190,7 @@ def macro_validation_accuracy(spark, d):
     from ..functions.hashing import held_out
     from ..functions.probability import argmax
     rows = S.decisions(spark, d)
-    items = C.label_items(rows, T.usable_labels(S.teacher_labels(rows)))
+    items = C.label_items(rows, T.usable_labels(S.labels(spark, d)))
     split = F.when(held_out("row_id", 0.02), F.lit("val")).otherwise(F.lit("train"))
     return rounded(M.macro_by_family(items.select(split.alias("split"), "family", (argmax("z") == F.col("g")).alias("correct"))))
 
@@ -198,8 +198,7 @@ def macro_validation_accuracy(spark, d):
 @query("WITH " + DECISIONS + "," + TEACHER_LABELS + """ , s AS (SELECT count(*) FILTER (NOT failed) AS labelled,count(*) FILTER (failed) AS errors,sum(length(state)) FILTER (NOT failed)::BIGINT AS tokens,sum(latency_ms) FILTER (NOT failed)/1000.0 AS seconds FROM labels_t WHERE state IS NOT NULL)
  SELECT 'teacher' AS teacher,labelled,errors,tokens,round(seconds,4) AS seconds,round(labelled/seconds,4) AS rows_per_s,round(tokens/seconds,2) AS tokens_per_s FROM s""")
 def labelling_throughput(spark, d):
-    rows = S.decisions(spark, d).where("task_type<>'score'")
-    t = M.labelling_throughput(S.teacher_labels(rows))
+    t = M.labelling_throughput(S.labels(spark, d).where("family not like 'train_priority%'"))
     return t.select("teacher", "labelled", "errors", "tokens", F.round("seconds", 4).alias("seconds"), F.round("rows_per_s", 4).alias("rows_per_s"), F.round("tokens_per_s", 2).alias("tokens_per_s"))
 
 

@@ -126,7 +126,7 @@ def _family_tables(spark, d):
     from ..functions.probability import argmax
     from ..functions.options import keys_of
     rows = S.decisions(spark, d)
-    lab = S.teacher_labels(rows).where("error IS NULL").select("row_id", "probs", "latency_ms")
+    lab = S.labels(spark, d).where("error IS NULL").select("row_id", "probs", "latency_ms")
     j = rows.select("row_id", "family", "gold", keys_of("options").alias("keys")).join(lab, "row_id")
     from ..functions.probability import from_map
     ok = F.get("keys", argmax(from_map("probs", "keys"))) == F.col("gold")
@@ -155,7 +155,7 @@ def cases_shared_by_runs(spark, d):
 @query("WITH " + DECISIONS + "," + TEACHER_LABELS + " SELECT count(*) AS wanted,count(*) FILTER (NOT failed) AS labelled,count(*) FILTER (NOT failed)>=0.98::DOUBLE*count(*) AS complete FROM labels_t")
 def labelling_completeness(spark, d):
     rows = S.decisions(spark, d)
-    return D.labelling_complete(rows, S.teacher_labels(rows))
+    return D.labelling_complete(rows, S.labels(spark, d))
 
 
 @query(P + f""", a AS (SELECT run_id,slice,avg((lower(pred)=lower(gold))::INT) AS acc FROM predictions WHERE {CMP} GROUP BY ALL),m AS (SELECT run_id,'accuracy' AS metric,avg(acc) AS v FROM a GROUP BY 1),

@@ -256,7 +256,7 @@ def report_lines_parsed(spark, d):
     from ..operators import targets as T
     from ..functions.probability import argmax
     rows = S.decisions(spark, d)
-    items = C.label_items(rows, T.usable_labels(S.teacher_labels(rows)))
+    items = C.label_items(rows, T.usable_labels(S.labels(spark, d)))
     rep = items.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg((argmax("z") == F.col("g")).cast("double")).alias("a"))
     lines = rep.select(F.format_string("%-30s %6d %12s %9d %12d", "family", "n", F.round("a", 3).cast("decimal(4,3)").cast("string"), F.lit(0), F.lit(0)).alias("value"))
     noise = rep.select(F.concat(F.lit("total "), F.col("n"), F.lit(" targets")).alias("value"))

@@ -185,7 +185,7 @@ def restricted_cases(spark, d):
 def remaining_to_label(spark, d):
     """Resume: rows that no good label exists for."""
     rows = S.decisions(spark, d)
-    return G.remaining(rows.select("row_id", "family"), S.teacher_labels(rows).where("error IS NULL"), "row_id")
+    return G.remaining(rows.select("row_id", "family"), S.labels(spark, d).where("error IS NULL"), "row_id")
 
 
 TASKS = """inst AS (SELECT doc_id AS instance_id,source AS task,CASE WHEN doc_id%10=0 THEN [lab,'other'] WHEN doc_id%11=0 THEN []::VARCHAR[] ELSE [lab] END AS output FROM

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction, hash_order
 from ..functions.options import OPTION, keys_of, option_array, renumbered
-from ..functions.probability import argmax, expected_level, normalise
+from ..functions.probability import argmax, expected_level, let, normalise
 from ..functions.text import NO_TEXT, YES_TEXT
-from ..operators.scale import spread
+from ..operators.scale import new_path, spread
 from .tables import table, union_all
 
 RUNS = {"base": 0.25, "tuned": 0.45, "wide": 0.3}
@@ -48,6 +48,22 @@ def _json(**fields):
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A derived input table, written to the shared folder the first time a session asks for it.
+
+    Runs and label files are inputs of the operators, so they are derived once and read afterwards, like any landed table.
+    """
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def judged_documents(spark: SparkSession, d: str) -> DataFrame:
     """labels joined to documents; one row per doc_id on both sides."""
     return spread(table(spark, d, "documents"), "doc_id").join(table(spark, d, "labels"), "doc_id")
@@ -89,10 +105,15 @@ def drawn_probs(run, strength, case_id, keys, gold):
     """The synthetic distribution of one case under one run."""
     def weight(k):
         v = F.lit(1.0) + F.when(k == gold, strength).otherwise(F.lit(0.0)) + hash_fraction(F.concat_ws(":", run, case_id, k))
-        return v * v * v * v
+        return let(v, lambda x: x * x * x * x)
     return normalise(F.transform(keys, weight))
 
 
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """The label file of all decision rows."""
+    return written(spark, d, "labels", lambda: teacher_labels(decisions(spark, d)))
+
+
 def teacher_labels(rows: DataFrame, teacher: str = TEACHER, strength: float = TEACHER_STRENGTH) -> DataFrame:
     """Label rows (row_id, probs, ...) for decision rows; about one row in a hundred carries an error."""
     keys = keys_of("options")
@@ -137,11 +158,14 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
         F.when(hash_fraction(F.concat(F.lit("suite:"), F.col("family_id"))) < DEV_SHARE, F.lit("dev")).otherwise(F.lit("test")).alias("suite"))
 
 
-def predictions(spark: SparkSession, d: str, runs: dict[str, float] | None = None, of: DataFrame | None = None) -> DataFrame:
+def predictions(spark: SparkSession, d: str) -> DataFrame:
     """One prediction record per run and case."""
-    runs = runs or RUNS
+    return written(spark, d, "predictions", lambda: drawn_predictions(cases(spark, d), RUNS))
+
+
+def drawn_predictions(of: DataFrame, runs: dict[str, float]) -> DataFrame:
     table_of_runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(s).alias("strength")) for r, s in runs.items()]))
-    base = (of if of is not None else cases(spark, d)).withColumn("_run", table_of_runs)
+    base = of.withColumn("_run", table_of_runs)
     c = F.col
     keys = keys_of("options")
     failed = hash_fraction(F.concat_ws(":", c("_run.run_id"), c("case_id"), F.lit("err"))) < 0.01
