@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR names the folder of tables (default /root/testdata/sf0.1), BENCH_CPUS the local cores (default 8). Every query
-runs to the last row into a sink that drops the rows. The session is warmed by one small query, which is not counted.
+runs to the last row into a sink that drops the rows. The prediction runs and the label file, inputs of most queries, are
+derived and written first; their time is reported as derive_inputs and counted.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     queries = plans.all_queries()
     names = sys.argv[1:] or HEADLINE
-    queries["macro_f1"](spark, folder).write.format("noop").mode("overwrite").save()
-    took = {}
+    from plumbline.sources import derived
+    spark.range(1000).selectExpr("sum(id)").collect()
+    start = time.perf_counter()
+    derived.predictions(spark, folder)
+    derived.labels(spark, folder)
+    took = {"derive_inputs": round(time.perf_counter() - start, 3)}  # runs and label file, written once; counted in the total
     for name in names:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -146,18 +146,29 @@ def two_digit(first_top, second_top, labels, min_p: float = 1e-3) -> Column:
 
     second_top maps a first digit to the token map read after it; a first digit below min_p spreads evenly.
     """
-    labs = _c(labels)
-    firsts = F.array_sort(F.array_distinct(F.transform(labs, lambda x: F.substring(x, 1, 1))))
-    first = from_logprobs(first_top, firsts)
-    seconds_of = lambda d: F.transform(F.filter(labs, lambda x: F.substring(x, 1, 1) == d), lambda x: F.substring(x, 2, 1))
-
-    def prob(label):
-        d = F.substring(label, 1, 1)
-        p1 = F.get(first["probs"], (F.array_position(firsts, d) - 1).cast("int"))
-        seconds = seconds_of(d)
-        read = F.get(from_logprobs(F.try_element_at(_c(second_top), d), seconds)["probs"],
-                     (F.array_position(seconds, F.substring(label, 2, 1)) - 1).cast("int"))
-        even = F.lit(1.0) / F.size(seconds)
-        return p1 * F.when(p1 >= min_p, read).otherwise(even)
-
-    return F.struct(F.transform(labs, prob).alias("probs"), first["mass"].alias("mass"))
+    def seconds_of(labs, d):
+        return F.transform(F.filter(labs, lambda x: F.substring(x, 1, 1) == d), lambda x: F.substring(x, 2, 1))
+
+    def second_table(labs, d):
+        read = lambda seconds: F.struct(seconds.alias("keys"), from_logprobs(F.try_element_at(_c(second_top), d), seconds)["probs"].alias("probs"))
+        return let(seconds_of(labs, d), read)
+
+    def place(keys, key):
+        return (F.array_position(keys, key) - 1).cast("int")
+
+    def prob(firsts, first, tables, label):
+        at = place(firsts, F.substring(label, 1, 1))
+        seconds = F.get(tables, at)
+        read = F.get(seconds["probs"], place(seconds["keys"], F.substring(label, 2, 1)))
+        return let(F.get(first["probs"], at), lambda p: p * F.when(p >= min_p, read).otherwise(F.lit(1.0) / F.size(seconds["keys"])))
+
+    def combined(labs, firsts, first):
+        tables = F.transform(firsts, lambda d: second_table(labs, d))
+        every = let(tables, lambda t: F.transform(labs, lambda label: prob(firsts, first, t, label)))
+        return F.struct(every.alias("probs"), first["mass"].alias("mass"))
+
+    def of_labels(labs):
+        firsts = F.array_sort(F.array_distinct(F.transform(labs, lambda x: F.substring(x, 1, 1))))
+        return let(firsts, lambda f: let(from_logprobs(first_top, f), lambda first: combined(labs, f, first)))
+
+    return let(labels, of_labels)

@@ -6,6 +6,7 @@ is decided by a hash of the row id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -183,8 +184,7 @@ def neutral_wording(rows: DataFrame, prefix: str = "injection_") -> DataFrame:
 def camel_schema(kind: T.DataType) -> T.DataType:
     """The same type with every nested field renamed from snake_case to camelCase."""
     def rename(name):
-        head, *rest = name.split("_")
-        return head + "".join(w.capitalize() for w in rest)
+        return re.sub("_([^_]*)", lambda part: part[1][:1].upper() + part[1][1:].lower(), name)
     if isinstance(kind, T.StructType):
         return T.StructType([T.StructField(rename(f.name), camel_schema(f.dataType), f.nullable) for f in kind.fields])
     if isinstance(kind, T.ArrayType):
