@@ -43,7 +43,7 @@ def main() -> int:
     start = time.perf_counter()
     derived.predictions(spark, folder)
     derived.labels(spark, folder)
-    took = {"derive_inputs": round(time.perf_counter() - start, 3)}  # runs and label file, written once; counted in the total
+    took = {"derive_inputs": round(time.perf_counter() - start, 3)}  # cases, runs and label file, written once; counted in the total
     for name in names:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()

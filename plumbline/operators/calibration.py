@@ -25,6 +25,7 @@ GRID = [math.exp(math.log(GRID_LOW) + (math.log(GRID_HIGH) - math.log(GRID_LOW))
 STRIDE = 14
 RIDGE = 1e-2
 MIN_SLICE_ROWS = 20
+POOLED = "*"
 
 
 def items(preds: DataFrame) -> DataFrame:
@@ -167,9 +168,11 @@ def from_dev(dev: DataFrame, test: DataFrame, min_rows: int = MIN_SLICE_ROWS) ->
     """Raw, per-task and default calibration of test slices with calibrators fitted on dev predictions of the same run."""
     d = materialise(items(dev).where(F.col("task_type") != "score").select("run_id", "slice", "task_type", "z", "g", "x", "y"), "dev")
     t = items(test).where(F.col("task_type") != "score").select("run_id", "slice", "task_type", "z", "g", "x", "y")
-    per_task = fit(d, ["run_id", "slice"]).where(F.col("n") >= min_rows).select(
-        "run_id", "slice", "task_type", F.col("temperature").alias("t1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.lit(True).alias("own"))
-    pooled = fit(d, ["run_id"]).select("run_id", "task_type", F.col("temperature").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    both = fit(d.withColumn("scope", F.explode(F.array(F.col("slice"), F.lit(POOLED)))), ["run_id", "scope"])  # slices and the pool in one fit
+    both = materialise(both, "dev_fit")
+    per_task = both.where((F.col("scope") != POOLED) & (F.col("n") >= min_rows)).select(
+        "run_id", F.col("scope").alias("slice"), "task_type", F.col("temperature").alias("t1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.lit(True).alias("own"))
+    pooled = both.where(F.col("scope") == POOLED).select("run_id", "task_type", F.col("temperature").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     rows = attach(attach(t, per_task, ["run_id", "slice", "task_type"], "left"), pooled, ["run_id", "task_type"], "left")
     own = F.col("own").isNotNull()
     rows = rows.select("run_id", "slice", "task_type", "g", own.alias("own"), softmax("z").alias("raw"),

@@ -21,6 +21,7 @@ BROADCAST_ROWS = 200_000  # narrow rows only: ids, counts and a few numbers, a f
 SALTS = 32
 HASH_DIGITS = 4  # 65,536 blocks per group
 BLOCKS = 256
+STEP = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -156,10 +157,15 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
     """
     base, keys = _grouping(df, by)
     quantiles = [i / BLOCKS for i in range(1, BLOCKS)]
-    edges = materialise(base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, 10_000).alias("_edges")), "edges")
+    found = base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, 10_000).alias("_edges"))
+    every = F.sequence(F.lit(STEP - 1), F.lit(BLOCKS - 2), F.lit(STEP))
+    edges = materialise(found.withColumn("_steps", F.transform(every, lambda i: F.get("_edges", i))), "edges")
     placed = attach(base, edges, keys, spread=[order], ready=True)
     value = F.col(order).cast("double")
-    placed = placed.withColumn("_b", F.size(F.filter("_edges", (lambda e: e > value) if descending else (lambda e: e < value)))).drop("_edges")
+    below = lambda c: F.size(F.filter(c, lambda e: e < value))
+    placed = placed.withColumn("_s", below("_steps") * STEP)  # the steps first, then the edges of one step
+    block = F.col("_s") + below(F.slice("_edges", F.col("_s") + 1, F.lit(STEP)))
+    placed = placed.withColumn("_b", -block if descending else block).drop("_edges", "_steps", "_s")
     blocks = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])

@@ -8,6 +8,7 @@ from ..functions.text import lettered_options, outermost_json, reply_label
 from ..functions.hashing import text_hash
 from ..functions.options import labels_for
 from ..operators import guards as G
+from ..operators.scale import spread
 from ..sources import derived as S
 from ..sources.tables import table, union_all
 from .evaluation import OK, P
@@ -18,7 +19,7 @@ LINES = "list_transform(string_split(text,chr(10)), lambda x: x)"
 
 
 def _documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     return docs.withColumn("state", F.to_json(F.struct(F.struct(F.split("text", "\n").alias("lines")).alias("body"), F.col("lang").alias("language"))))
 
 

@@ -6,6 +6,7 @@ run, case and option, s the strength of the run. The same arithmetic is written
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +58,15 @@ def written(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     Runs and label files are inputs of the operators, so they are derived once and read afterwards, like any landed table.
     """
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _WRITTEN:
-        path = new_path(spark, name)
-        build().write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    if key in _WRITTEN:
+        try:
+            return spark.read.parquet(_WRITTEN[key])
+        except AnalysisException:  # the shared folder was cleaned meanwhile: derive it again
+            pass
+    path = new_path(spark, name)
+    build().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
 
 
 def judged_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +133,11 @@ def teacher_labels(rows: DataFrame, teacher: str = TEACHER, strength: float = TE
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
+    """The case file."""
+    return written(spark, d, "cases", lambda: derived_cases(spark, d))
+
+
+def derived_cases(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation cases over the same tables; a choice case also has a twin with its options in another order."""
     noul, lang, topic, score = _options()
     docs, judged = table(spark, d, "documents"), judged_documents(spark, d)
