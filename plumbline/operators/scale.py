@@ -157,7 +157,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
     """
     base, keys = _grouping(df, by)
     quantiles = [i / BLOCKS for i in range(1, BLOCKS)]
-    found = base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, 10_000).alias("_edges"))
+    found = base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, 2_000).alias("_edges"))
     every = F.sequence(F.lit(STEP - 1), F.lit(BLOCKS - 2), F.lit(STEP))
     edges = materialise(found.withColumn("_steps", F.transform(every, lambda i: F.get("_edges", i))), "edges")
     placed = attach(base, edges, keys, spread=[order], ready=True)
