@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLE, QUERIES
 
-MODULES = ["decontam"]
+MODULES = ["decontam", "token_store"]
 
 
 def _load():
