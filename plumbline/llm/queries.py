@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLE, QUERIES
 
-MODULES = ["decontam", "token_store"]
+MODULES = ["decontam", "token_store", "bpe"]
 
 
 def _load():
