@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.scale import materialise, shared_folder
 from ..sources.tables import table
 
+ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -39,6 +41,9 @@ def _apply(batches: Iterable[pa.RecordBatch], fn, schema: pa.Schema) -> Iterator
 
 def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function from batches to lists of columns in the order of `schema`."""
+    env = df.sparkSession.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", ""):  # Python workers of a local session find this package wherever it was started
+        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     return df.mapInArrow(partial(_apply, fn=fn, schema=to_arrow_schema(_parse_datatype_string(schema))), schema)
