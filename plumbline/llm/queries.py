@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLE, QUERIES
 
-MODULES = ["decontam", "token_store", "bpe", "neardup", "repeats", "langid", "quality", "ann"]
+MODULES = ["ann", "neardup", "langid", "quality", "licenses", "chat", "bpe", "token_store", "repeats", "decontam"]
 
 
 def _load():
