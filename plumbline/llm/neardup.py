@@ -30,7 +30,7 @@ from .common import even, in_arrow, materialise, narrow, query, table, task_coun
 from .graph import components
 from .shingles import full_sets, profile
 
-KEEP = 64
+KEEP = 48
 BLOCK = 400
 CHUNK = 1200
 COLUMNS = 4096
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     kind = "doc bigint, n bigint, class binary, sketch array<bigint>"
     seen = materialise(in_arrow(even(base, "doc_id"), lambda b: profile(b, width, KEEP), kind), "sketches")
     usable = seen.where("n > 0 AND doc IS NOT NULL")
-    classes = usable.groupBy("class").agg(F.min("doc").alias("doc"))
+    classes = materialise(usable.groupBy("class").agg(F.min("doc").alias("doc")), "classes")  # written, so a large class is not dealt by its key below
     reps = usable.join(classes, ["class", "doc"]).select("doc", "n", "sketch")
     clusters = _clusters(reps, percent)
     texts = base.withColumnRenamed("doc_id", "doc").join(clusters.select("doc").distinct(), "doc", "left_semi")
