@@ -52,8 +52,9 @@ def text_hash(col) -> Column:
 
 
 def canonical_json(col) -> Column:
-    """JSON text with sorted keys and no spaces; a variant keeps its object fields sorted."""
-    return F.to_json(F.parse_json(_c(col)))
+    """JSON text with sorted keys and no spaces; a variant keeps its object fields sorted. Other text becomes a JSON string."""
+    quoted = F.to_json(F.array(_c(col)))
+    return F.coalesce(F.to_json(F.try_parse_json(_c(col))), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def state_hash(col) -> Column:

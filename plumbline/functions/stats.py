@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +49,17 @@ def mcnemar_p(newly_wrong, newly_right) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_top) * tail))
 
 
-# Cumulative Poisson(1) probabilities for 0 to 9.
-POISSON_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.999916758850712, 0.9999898032318297, 0.9999988748269639, 0.9999998885745217]
+def _poisson_steps() -> list[int]:
+    """The 32-bit values up to which a uniform draw stands for 0, 1, ...; from the last on, no 32-bit value is left."""
+    out, total, term = [], 0.0, math.exp(-1.0)
+    while not out or out[-1] < 0xFFFFFFFF:
+        total += term
+        out.append(min(int(total * 0xFFFFFFFF), 0xFFFFFFFF) if len(out) < 13 else 0xFFFFFFFF)
+        term /= len(out)
+    return out
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def poisson_one(hex_digits) -> Column:
@@ -58,7 +68,7 @@ def poisson_one(hex_digits) -> Column:
     Hex digits of one length sort as text like the numbers they write, so nothing is converted.
     """
     col = _c(hex_digits)
-    out = F.when(col <= f"{int(POISSON_CDF[0] * 0xFFFFFFFF):08x}", 0)
-    for k, c in enumerate(POISSON_CDF[1:], 1):
-        out = out.when(col <= f"{int(c * 0xFFFFFFFF):08x}", k)
-    return out.otherwise(len(POISSON_CDF))
+    out = F.when(col <= f"{POISSON_STEPS[0]:08x}", 0)
+    for k, top in enumerate(POISSON_STEPS[1:], 1):
+        out = out.when(col <= f"{top:08x}", k)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import hash_positions, running_totals, with_scalar
+from .scale import attach, hash_positions, with_scalar
 
 WINDOW_BATCHES = 64
 
@@ -25,12 +25,12 @@ def windowed_batches(rows: DataFrame, batch: int, length: str, ids: Sequence[str
     return out.withColumn("place", F.col("_rank") % batch).drop("_pos", "_rank", "_full")
 
 
-def split_by_tokens(batches: DataFrame, by: Sequence[str], place: str, length: str, max_tokens: int) -> DataFrame:
+def split_by_tokens(batches: DataFrame, by: Sequence[str], place: str, length: str, max_tokens: int, ids: Sequence[str] = ()) -> DataFrame:
     """Consecutive pieces of each batch whose rows times longest row stay under the budget; an oversized row stands alone.
 
-    A batch is a few dozen rows, folded as one array.
+    A batch is a few dozen rows, folded as one array of places, lengths and ids; other columns are joined to the result by id.
     """
-    carry = [c for c in batches.columns if c not in (*by, place, length)]
+    carry = list(ids)
     packed = batches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("bigint").alias("place"), F.col(length).cast("bigint").alias("len"), *carry))).alias("rows"))
     start = F.struct(F.lit(-1).alias("piece"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<int>").alias("pieces"))
 
@@ -46,15 +46,30 @@ def split_by_tokens(batches: DataFrame, by: Sequence[str], place: str, length: s
     return each.select(*by, F.col("z.rows.place").alias(place), F.col("z.rows.len").alias(length), *[F.col(f"z.rows.{c}").alias(c) for c in carry], F.col("z.pieces").alias("piece"))
 
 
-def token_batches(rows: DataFrame, length: str, ids: Sequence[str], max_tokens: int, group: int = 4096) -> DataFrame:
-    """Length-bucketed batches under a padded-size budget: rows sorted by length, packed greedily within groups of 4,096.
+def token_batches(rows: DataFrame, length: str, ids: Sequence[str], max_tokens: int) -> DataFrame:
+    """Length-bucketed batches under a padded-size budget: rows in (length, hash) order, packed greedily in one pass.
 
-    The order by (length, hash) is exact: counts per length give each length's offset, the hash ranks rows of one length.
+    Rows of one length are interchangeable, so the greedy state is folded over the table of lengths and counts (one row per
+    distinct length, as many as a model's context has tokens): a length first fills the open batch as far as its rows fit, the
+    others form batches of floor(budget / length) rows, one at least. A row finds its batch by its place within its length.
     """
-    by_length = rows.groupBy(length).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_totals(by_length, (), length, {"_upto": "_n"}).select(length, (F.col("_upto") - F.col("_n")).alias("_before"))
-    placed = hash_positions(rows, [length], ids, "tokens", "_in").join(offsets, length)
-    spot = F.col("_before") + F.col("_in")
-    grouped = placed.withColumn("_group", F.floor(spot / group)).withColumn("_place", spot % group).drop("_before", "_in")
-    out = split_by_tokens(grouped, ["_group"], "_place", length, max_tokens)
-    return out.withColumnRenamed("_group", "group").withColumnRenamed("_place", "place")
+    counts = rows.groupBy(length).agg(F.count(F.lit(1)).alias("_n"))
+    held = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(length).cast("bigint").alias("len"), "_n"))).alias("_all"))
+    kind = "array<struct<len:bigint,batch:bigint,open:bigint,cap:bigint,before:bigint>>"
+    start = F.struct(F.lit(-1).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("count"), F.array().cast(kind).alias("out"))
+
+    def step(s, r):
+        cap = F.greatest(F.floor(F.lit(max_tokens) / F.greatest(r["len"], F.lit(1))), F.lit(1)).cast("bigint")
+        opened = F.when(s["batch"] < 0, F.lit(0)).otherwise(F.greatest(F.least(cap - s["count"], r["_n"]), F.lit(0))).cast("bigint")
+        rest = r["_n"] - opened
+        more = F.ceil(rest / cap).cast("bigint")
+        count = F.when(rest > 0, rest - (more - 1) * cap).otherwise(s["count"] + opened).cast("bigint")
+        row = F.struct(r["len"].alias("len"), s["batch"].alias("batch"), opened.alias("open"), cap.alias("cap"), s["count"].alias("before"))
+        return F.struct((s["batch"] + more).alias("batch"), count.alias("count"), F.array_append(s["out"], row).alias("out"))
+
+    plan = held.select(F.explode(F.aggregate("_all", start, step)["out"]).alias("p")).select(F.col("p.len").alias(length), "p.batch", "p.open", "p.cap", "p.before")
+    placed = attach(hash_positions(rows, [length], ids, "tokens", "_in").withColumn(length, F.col(length).cast("bigint")), plan, [length], spread=ids)
+    inside, late = F.col("_in") < F.col("open"), F.col("_in") - F.col("open")
+    out = placed.withColumn("_batch", F.when(inside, F.col("batch")).otherwise(F.col("batch") + 1 + F.floor(late / F.col("cap"))).cast("bigint"))
+    out = out.withColumn("place", F.when(inside, F.col("before") + F.col("_in")).otherwise(late % F.col("cap")).cast("bigint"))
+    return out.select(*rows.columns, F.col("_batch").alias("batch"), "place")

@@ -17,6 +17,7 @@ from ..functions.hashing import half
 from ..functions.options import keys_of
 from ..functions.probability import from_map, let, logits, platt, softmax
 from ..functions.stats import ece_bin
+from ..sources.tables import failed
 from .scale import attach, fits_broadcast, materialise
 
 # 200 temperatures, evenly spaced in log from 0.25 to 50.
@@ -30,7 +31,7 @@ POOLED = "*"
 
 def items(preds: DataFrame) -> DataFrame:
     """Prediction records with their log-probabilities and gold position; records without an answer or a usable gold drop."""
-    ok = preds.where(F.col("error").isNull() & F.col("pred").isNotNull())
+    ok = preds.where(~failed("error") & F.col("pred").isNotNull())
     noul = F.col("task_type") == "noul"
     p = F.least(F.greatest(F.col("p_true"), F.lit(1e-15)), F.lit(1 - 1e-15))
     z = F.when(noul, F.array(F.log(F.lit(1.0) - p), F.log(p))).otherwise(logits("probs"))
@@ -84,12 +85,12 @@ def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return fine.select(*by, F.get(F.array(*[F.lit(t) for t in GRID]), F.col("i")).alias("temperature"), "n")
 
 
-def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:
     """(by, a, b, n): logistic regression of gold on the log-odds, with the penalty on both terms.
 
     Every round is one aggregate of five sums per group and a closed 2x2 solve; the parameter table is written between rounds,
-    and a group that has settled keeps its values. Newton steps converge quadratically: once a step is below the tolerance, what
-    is left is about its square.
+    and a group that has settled keeps its values. The penalty keeps every group's optimum finite; a group that has not settled
+    after `max_rounds` stops the job.
     """
     by = list(by)
     data = materialise(rows.select(*by, "x", "y"), "odds", for_cpu=True)
@@ -104,8 +105,8 @@ def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_roun
             done += 1
         params = materialise(moving.unionByName(params.where(F.col("step") <= tolerance)), "platt")
         if params.where(F.col("step") > tolerance).isEmpty():
-            break
-    return params.select(*by, "a", "b", "n")
+            return params.select(*by, "a", "b", "n")
+    raise ValueError(f"not settled after {max_rounds} rounds: {[r.asDict() for r in params.where(F.col('step') > tolerance).limit(3).collect()]}")
 
 
 def _newton_round(data: DataFrame, params: DataFrame, by: list[str], ridge: float, small: bool) -> DataFrame:

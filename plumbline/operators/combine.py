@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.options import labels_for
 from ..functions.probability import clean_tokens, from_logprobs, from_map, let, mean_distribution, normalise, two_digit
 from ..sources.derived import with_answers
+from ..sources.tables import failed
 
 
 def records_from_logprobs(rows: DataFrame) -> DataFrame:
@@ -41,15 +42,18 @@ def record_from_reply(rows: DataFrame, label: str) -> DataFrame:
 def ensemble(preds: DataFrame, runs: Sequence[str], run_id: str) -> DataFrame:
     """Mean distribution over runs per case: one aggregate by case, no join per run.
 
+    The runs hold one record per case (the reader keeps the last); a second one stops the job.
     Only cases present in every run count, and a case with an error or no answer in any of them drops. Keys follow the first
     run's order; latencies add up.
     """
     rows = preds.where(F.col("run_id").isin(list(runs))).withColumn("_order", F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run_id")))
     carry = [c for c in ("suite", "family_id", "slice", "source", "task_type", "perturbation", "n_options", "gold", "truncated", "option_keys", "input_tokens") if c in preds.columns]
-    bad = F.col("error").isNotNull() | F.col("pred").isNull()
+    bad = failed("error") | F.col("pred").isNull()
     g = rows.groupBy("case_id").agg(
-        F.countDistinct("run_id").alias("_n"), F.count_if(bad).alias("_bad"), F.min_by(F.struct(*carry), "_order").alias("f"), F.sum("latency_ms").alias("latency_ms"),
+        F.countDistinct("run_id").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.count_if(bad).alias("_bad"), F.min_by(F.struct(*carry), "_order").alias("f"), F.sum("latency_ms").alias("latency_ms"),
         F.collect_list(F.struct("_order", "option_keys", "probs")).alias("members"))  # one entry per run
+    twice = F.raise_error(F.concat(F.lit("more than one record of a run for case "), F.col("case_id"))).cast("bigint")
+    g = g.withColumn("_n", F.when(F.col("_rows") == F.col("_n"), F.col("_n")).otherwise(twice))
     whole = g.where((F.col("_n") == len(runs)) & (F.col("_bad") == 0)).select("case_id", "f.*", "latency_ms", F.array_sort("members").alias("members"))
     at = lambda m, k: F.get(m["probs"], (F.array_position(m["option_keys"], k) - 1).cast("int"))
     mean = F.transform("option_keys", lambda k: F.aggregate("members", F.lit(0.0), lambda a, m: a + at(m, k)) / F.lit(float(len(runs))))

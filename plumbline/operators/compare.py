@@ -19,7 +19,7 @@ ALPHA = 0.05
 
 def paired_rows(preds: DataFrame, base_run: str) -> DataFrame:
     """Every candidate's comparable case beside the base run's answer to the same case: one join for all candidates."""
-    rows = with_correct(comparable(preds))
+    rows = with_correct(comparable(preds))  # one record per run and case, as the reader gives them
     base = rows.where(F.col("run_id") == base_run).select("case_id", "slice", F.col("correct").alias("base_correct"), F.col("pred").alias("base_pred"))
     cand = rows.where(F.col("run_id") != base_run).select("case_id", "run_id", "correct", "pred")
     return base.join(cand, "case_id")
@@ -143,10 +143,12 @@ def reproducibility(joined: DataFrame, worst: int = 5) -> DataFrame:
 
 
 def scorer_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Largest probability difference and share of equal answers between two scorers of the same cases, per slice."""
-    r = right.select("case_id", F.col("probs").alias("other_probs"), F.col("pred").alias("other_pred"))
+    """Largest probability difference, option key by option key, and share of equal answers of two scorers, per slice."""
+    r = right.select("case_id", F.col("option_keys").alias("other_keys"), F.col("probs").alias("other_probs"), F.col("pred").alias("other_pred"))
     rows = left.join(r, "case_id").where(F.col("probs").isNotNull() & F.col("other_probs").isNotNull())
-    widest = F.array_max(F.zip_with("probs", "other_probs", lambda a, b: F.abs(a - b)))
+    at = lambda keys, probs, k: F.coalesce(F.get(probs, (F.array_position(keys, k) - 1).cast("int")), F.lit(0.0))
+    every = F.array_union("option_keys", "other_keys")
+    widest = F.array_max(F.transform(every, lambda k: F.abs(at(F.col("option_keys"), F.col("probs"), k) - at(F.col("other_keys"), F.col("other_probs"), k))))
     return rows.groupBy("slice").agg(F.max(widest).alias("max_difference"), F.avg((F.lower("pred") == F.lower("other_pred")).cast("double")).alias("same_top"),
                                      F.count(F.lit(1)).alias("n"))
 

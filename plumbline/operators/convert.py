@@ -9,14 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import _c, hash_fraction, hash_int, hash_order, state_hash
 from ..functions.options import OPTION, option_array
 from ..functions.text import NO_TEXT, YES_TEXT, entity_key, humanize, passage_question
-from .scale import attach, hash_positions, materialise, take_by_hash, with_scalar
+from .scale import fits_broadcast, hash_positions, materialise, running_totals, take_by_hash, with_scalar
 
 # Question wordings.
 INTENT_WORDINGS = ["A user message is supplied in the state. Which intent does it express?",
@@ -86,29 +86,50 @@ def flag(cond: Column) -> Column:
     return F.when(cond, F.lit("true")).otherwise(F.lit("false"))
 
 
-def label_pool(df: DataFrame, label: str, exclude: str | None = None, limit: int = 10_000) -> list[str]:
-    """The distinct labels of a source, as a list: a closed label set, checked to be small."""
-    rows = df.select(label).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} labels in {label}: not a label set")
-    return sorted(r[0] for r in rows if r[0] is not None and r[0] != exclude)
+def label_pool(df: DataFrame, label: str, exclude: str | None = None, seed: str = "intent") -> DataFrame:
+    """(number, label): the distinct labels of a source, numbered in hash order."""
+    rows = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
+    rows = rows.where(F.col("label") != exclude) if exclude is not None else rows
+    return materialise(hash_positions(rows, (), ["label"], f"{seed}-pool", "number"), "labels")
 
 
-def intents(df: DataFrame, ids: Sequence[str], text: str, label: str, pool: list[str], oos: str | None = None, seed: str = "intent") -> DataFrame:
-    """Three in four rows a choice among drawn intents (sometimes with none of these, always for out-of-scope), the rest yes/no."""
+def labels_at(rows: DataFrame, ids: Sequence[str], numbers: str, pool: DataFrame) -> DataFrame:
+    """Rows with `labels`, the labels of an array of numbers in its order.
+
+    A pool that fits a broadcast travels as one array; of a larger one only the rows' numbers meet the labels.
+    """
+    if fits_broadcast(pool):
+        all_ = pool.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "label"))), lambda x: x["label"]).alias("_pool"))
+        return with_scalar(rows, all_).withColumn("labels", F.transform(numbers, lambda i: F.get("_pool", i.cast("int")))).drop("_pool")
+    parts = rows.select(*ids, F.posexplode(numbers).alias("_i", "number")).join(pool, "number")
+    found = parts.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "label"))), lambda x: x["label"]).alias("labels"))  # a few per row
+    return rows.join(found, list(ids))
+
+
+def intents(df: DataFrame, ids: Sequence[str], text: str, label: str, pool: DataFrame, oos: str | None = None, seed: str = "intent") -> DataFrame:
+    """Three in four rows a choice among drawn intents (sometimes with none of these, always for out-of-scope), the rest yes/no.
+
+    The options of a row are neighbours, from a drawn start, in the pool's hash-ordered ring (label_pool).
+    """
     u = lambda what: draw(seed, ids, what)
-    gold, all_ = F.col(label), F.array(*[F.lit(p) for p in pool])
+    n = F.lit(pool.count()).cast("bigint")
+    gold = F.col(label)
     out = gold == oos if oos else F.lit(False)
-    k_in, k_out = draw_between(u("k"), 3, 12), draw_between(u("k"), 4, 11)
-    inside = pick_options(gold, all_, k_in, seed, ids)
+    k_in, k_out = F.least(draw_between(u("k"), 3, 12), n), F.least(draw_between(u("k"), 4, 11), n)
+    start = F.pmod(hash_int(F.concat_ws(":", F.lit(seed), *[F.col(i).cast("string") for i in ids], F.lit("start"))), n)
+    window = F.transform(F.sequence(F.lit(0), F.greatest(k_in, k_out) - 1), lambda i: F.pmod(start + i, n))
+    other = F.least(F.floor(u("other") * n), n - 1)
+    rows = labels_at(df.withColumn("_numbers", F.concat(F.array(other), window)), ids, "_numbers", pool)
+    ring = F.slice("labels", F.lit(2), F.size("labels") - 1)
+    chosen = F.slice(F.filter(F.slice(ring, F.lit(1), k_in.cast("int")), lambda p: p != gold), F.lit(1), k_in.cast("int") - 1)
+    inside = hash_sorted(F.concat(chosen, F.array(gold)), seed + "-mix", ids)
     inside = F.when(u("none") < 0.3, F.concat(inside, F.array(F.lit(NONE_KEY)))).otherwise(inside)
-    outside_others = F.slice(hash_sorted(all_, seed + "-pick", ids), F.lit(1), F.least(k_out, F.lit(len(pool))) - 1)
-    outside = hash_sorted(F.concat(outside_others, F.array(F.lit(NONE_KEY))), seed + "-mix", ids)
+    outside = hash_sorted(F.concat(F.slice(ring, F.lit(1), k_out.cast("int") - 1), F.array(F.lit(NONE_KEY))), seed + "-mix", ids)
     keys = F.when(out, outside).otherwise(inside)
     is_choice = u("kind") < 0.75
-    target = F.when((u("target") < 0.5) & ~out, gold).otherwise(pick(pool, u("other")))
+    target = F.when((u("target") < 0.5) & ~out, gold).otherwise(F.get("labels", F.lit(0)))
     named = F.when(is_choice, gold).otherwise(target)
-    rows = df.withColumn("_target", named)
+    rows = rows.withColumn("_target", named)
     name = humanize("_target")
     options = F.when(is_choice, as_options(keys, lambda k: F.when(k == NONE_KEY, F.lit(NONE_TEXT)).otherwise(humanize(k)))).otherwise(
         noul_options(F.concat(F.lit("The user's intent is "), name, F.lit(".")), "The user's intent is something else."))
@@ -210,30 +231,42 @@ def place_policy(df: DataFrame, ids: Sequence[str], state: str, policy: str, ext
     return df.withColumn("state", F.to_json(whole)).withColumn("instructions", ask)
 
 
-def long_context(rows: DataFrame, records: DataFrame, n: int, min_chars: int = 7000, max_chars: int = 14000, pool: int = 2048, seed: str = "long") -> DataFrame:
+def long_context(rows: DataFrame, records: DataFrame, n: int, min_chars: int = 7000, max_chars: int = 14000, seed: str = "long") -> DataFrame:
     """Rows padded with unrelated records: same question and answer, id suffix ~long.
 
     rows: row_id, state (JSON object), origin (the record a row came from, never used to pad it). records: record_id, text.
-    The pool is a hash sample of records, numbered; every row starts at a drawn number and takes records in a circle until
-    its drawn size is reached. Only the array of pool lengths is broadcast; texts join by number, a bounded few per row.
+    All records stand in a ring in hash order, each as long as its text and 4 characters more. A row starts at a drawn record
+    and takes the ring's records, less its own, until its drawn size is reached, going around as often as that needs. Records
+    are found by the stretch of the ring that a row covers, cut into blocks of max_chars: an equi-join, no pool on the driver
+    and no text broadcast. A row for which no record is left stops the job.
     """
-    numbered = materialise(hash_positions(take_by_hash(records, pool, (), ["record_id"], seed), (), ["record_id"], seed, "number"), "pool")
-    lengths = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", F.length("text").alias("n"), "record_id"))),
-                                       lambda s: F.struct(s["n"].alias("n"), s["record_id"].alias("id"))).alias("pool"))  # `pool` entries
+    size = F.length(F.coalesce("text", F.lit(""))).cast("bigint") + 4
+    placed = materialise(hash_positions(records.select("record_id", size.alias("size")), (), ["record_id"], seed, "number"), "ring")
+    ring = materialise(running_totals(placed, (), "number", {"upto": "size"}).select("record_id", "number", "size", (F.col("upto") - F.col("size")).alias("at")), "ring")
+    whole = ring.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_all"), F.count(F.lit(1)).alias("_n"))
     chosen = take_by_hash(rows.where(~F.contains("row_id", F.lit("~"))), n, (), ["row_id"], seed)
-    want = draw_between(draw(seed, ["row_id"], "size"), min_chars, max_chars)
-    start = F.pmod(hash_int(F.concat_ws(":", F.lit(seed), "row_id", F.lit("start"))), F.size("pool"))
-    at = lambda i: F.get("pool", F.pmod(F.col("start") + i, F.size("pool")).cast("int"))
-    walk = F.aggregate(F.sequence(F.lit(0), F.size("pool") - 1), F.struct(F.lit(0).cast("bigint").alias("size"), F.array().cast("array<bigint>").alias("picked")),
-                       lambda s, i: F.when((s["size"] >= F.col("want")) | (at(i)["id"] == F.col("origin")), s).otherwise(
-                           F.struct((s["size"] + at(i)["n"] + 4).alias("size"), F.concat(s["picked"], F.array(F.pmod(F.col("start") + i, F.size("pool")).cast("bigint"))).alias("picked"))))
-    planned = with_scalar(chosen, lengths).withColumn("want", want).withColumn("start", start).select(*rows.columns, walk["picked"].alias("picked"))
-    parts = planned.select("row_id", F.posexplode("picked").alias("turn", "number"))
-    texts = attach(parts, numbered.select("number", "text"), ["number"], spread=["row_id"], max_rows=pool, ready=True)
-    filler = texts.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("context"))
+    want = draw_between(draw(seed, ["row_id"], "size"), min_chars, max_chars).cast("bigint")
+    drawn = F.pmod(hash_int(F.concat_ws(":", F.lit(seed), "row_id", F.lit("start"))), F.greatest("_n", F.lit(1)))
+    asked = with_scalar(chosen.select("row_id", "origin").withColumn("want", want), whole).withColumn("number", drawn)
+    asked = asked.join(ring.select("number", F.col("at").alias("from")), "number", "left")
+    asked = asked.join(ring.select(F.col("record_id").alias("origin"), F.col("size").alias("own")), "origin", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    none = F.raise_error(F.concat(F.lit("no record to pad "), F.col("row_id"))).cast("bigint")
+    usable = F.when(F.col("_all") > F.col("own"), F.col("_all") - F.col("own")).otherwise(none)
+    reach = F.col("want") + (F.ceil(F.col("want") / usable) + 1) * F.col("own")  # the stretch holds `want` even where the own record is skipped
+    laps = asked.withColumn("reach", reach).withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("from") + F.col("reach")) / F.col("_all")))))
+    low = F.greatest(F.col("from") - F.col("lap") * F.col("_all"), F.lit(0))
+    high = F.least(F.col("from") + F.col("reach") - F.col("lap") * F.col("_all"), F.col("_all") - 1)
+    spans = laps.select("row_id", "origin", "want", "lap", low.alias("low"), high.alias("high")).where("low <= high")
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / max_chars), F.floor(F.col("high") / max_chars))))
+    met = spans.join(ring.withColumn("block", F.floor(F.col("at") / max_chars)), "block").where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
+    met = met.where(~F.col("record_id").eqNullSafe(F.col("origin")))
+    before = F.sum("size").over(Window.partitionBy("row_id").orderBy("lap", "at").rowsBetween(Window.unboundedPreceding, -1))
+    taken = met.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("want")).select("row_id", "lap", "at", "record_id")
+    texts = taken.join(records.select("record_id", "text"), "record_id")
+    filler = texts.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lap", "at", "text"))), lambda s: s["text"]).alias("context"))  # about max_chars
     extra = F.to_json(F.struct(F.struct(F.lit("Unrelated records, included for context only.").alias("note"), F.col("context").alias("records")).alias("unrelated_context")))
     padded = F.concat(F.regexp_replace("state", r"\}\s*$", ""), F.when(F.col("state").rlike(r"^\{\s*\}$"), F.lit("")).otherwise(F.lit(",")), F.expr("substring(_x, 2)"))
-    done = planned.drop("picked").join(filler, "row_id").withColumn("_x", extra)
+    done = chosen.join(filler, "row_id").withColumn("_x", extra)
     return done.withColumn("state", padded).withColumn("row_id", F.concat("row_id", F.lit("~long"))).withColumn("long_context", F.lit(True)).drop("_x", "context")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import _c, canonical_json, text_hash
 from ..functions.text import answer_key, outermost_json
+from ..sources.tables import failed
 from .scale import attach, materialise
 
 MIN_FIELD_CHARS = 40
@@ -93,7 +94,7 @@ def first_source_wins(rows: DataFrame, text: str, priority: str, idx: str, min_c
 
 def drop_exact_copies(rows: DataFrame, states: Sequence[str], order: str) -> DataFrame:
     """One row per canonical content of some columns: the lowest `order`."""
-    key = F.sha2(F.concat_ws("\u001f", *[F.coalesce(canonical_json(s), F.col(s)) for s in states]), 256)
+    key = F.sha2(F.concat_ws("\u001f", *[F.coalesce(canonical_json(s), F.lit("null")) for s in states]), 256)
     best = rows.withColumn("_h", key).groupBy("_h").agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r"))
     return best.select("r.*")
 
@@ -142,7 +143,7 @@ def generated_families(replies: DataFrame) -> DataFrame:
 def request_problems(requests: DataFrame, demo_limits: bool = True) -> DataFrame:
     """Requests (request_id, state, questions JSON text) with the reason they are refused, null for a good one.
 
-    One row per request: the first failing question in name order decides. demo_limits adds the size limits.
+    One row per request: the first failing question in the request's order decides. demo_limits adds the size limits.
     """
     v = F.try_parse_json("questions")
     asked = requests.withColumn("q", F.try_variant_get(v, "$", "map<string,variant>"))
@@ -157,7 +158,7 @@ def request_problems(requests: DataFrame, demo_limits: bool = True) -> DataFrame
                 .when((kind == "score") & (as_list.isNull() | (F.size(as_list) < 2)), F.concat(name, F.lit(" needs at least two levels")))
                 .when(F.lit(demo_limits) & (n > MAX_OPTIONS), F.concat(name, F.lit(" has too many options"))))
 
-    first = F.get(F.filter(F.transform(F.array_sort(F.map_keys("q")), reason), lambda r: r.isNotNull()), F.lit(0))
+    first = F.get(F.filter(F.transform(F.json_object_keys("questions"), reason), lambda r: r.isNotNull()), F.lit(0))
     whole = (F.when(F.lit(demo_limits) & (F.length("state") > MAX_STATE_CHARS), F.lit("state is too long"))
              .when(v.isNull(), F.lit("questions must be JSON")).when(F.col("q").isNull() | (F.size("q") == 0), F.lit("questions must be a JSON object"))
              .when(F.lit(demo_limits) & (F.size("q") > MAX_QUESTIONS), F.lit("too many questions")))
@@ -177,7 +178,7 @@ def within_limits(rows: DataFrame, max_tokens: int, tokens: str = "tokens", max_
 
 def retry_set(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, to retry): an error or a line that did not parse counts as unanswered."""
-    ok = F.col("error").isNull()
+    ok = ~failed("error")
     if "_corrupt_record" in records.columns:
         ok = ok & F.col("_corrupt_record").isNull()
     return records.where(ok), records.where(~ok)

@@ -15,8 +15,6 @@ CANONICAL = {"apache-2.0": "Apache-2.0", "mit": "MIT", "bsd": "BSD", "cc0-1.0":
              "cc-by-sa": "CC-BY-SA", "cc-by-sa-3.0": "CC-BY-SA-3.0", "cc-by-sa-4.0": "CC-BY-SA-4.0", "oanc": "OANC"}
 ALIASES = {"cc0:-public-domain": "cc0-1.0", "cc0": "cc0-1.0"}
 GATED_USES = ["train", "teacher"]
-MAX_DEPTH = 9
-JSON_FIELDS = ["state", "question", "target", "teacher_calibrated", "provenance"]
 
 
 def _lookup(mapping: dict[str, str]) -> Column:
@@ -44,46 +42,51 @@ def organisation(col) -> Column:
     return F.when(F.contains(_c(col), F.lit("/")), F.lower(F.substring_index(_c(col), "/", 1)))
 
 
-def ancestors(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(hub_id, ancestor, depth): every ancestor over (child, parent) edges once, at its smallest depth.
 
-    Level by level: a level is a join of the last one with the edges, less what was seen, so a cycle ends by itself. Each
-    level is written, which keeps the plan flat.
+    Level by level until a level is empty: a level is a join of the last one with the edges, less what was seen, so a cycle
+    ends by itself. Each level is written, which keeps the plan flat.
     """
     edges = edges.select(F.col("child").alias("_c"), F.col("parent").alias("ancestor")).distinct()
     frontier = roots.select("hub_id", F.col("hub_id").alias("_c")).distinct()
-    seen = None
-    for depth in range(1, max_depth + 1):
+    seen, depth = None, 0
+    while True:
+        depth += 1
         step = frontier.join(edges, "_c").select("hub_id", "ancestor").distinct()
         if seen is not None:
             step = step.join(seen, ["hub_id", "ancestor"], "left_anti")
         step = materialise(step.withColumn("depth", F.lit(depth)), "ancestors")
         seen = step if seen is None else materialise(seen.unionByName(step), "ancestors")
         if step.isEmpty():
-            break
+            return seen
         frontier = step.select("hub_id", F.col("ancestor").alias("_c"))
-    return seen
 
 
 def model_problems(models: DataFrame, edges: DataFrame, approved: DataFrame) -> DataFrame:
-    """(kind, name, problem) of gated models: untraceable, organisation, ancestors' organisations, licence."""
+    """(kind, name, problem, value) of gated models: no_hub_id, organisation, ancestor, licence, with the value that fails."""
     gated = models.where(F.col("use").isin(GATED_USES)).withColumn("org", organisation("hub_id"))
     orgs = approved.select("org").distinct()
     traced = gated.where(F.coalesce("hub_id", F.lit("")) != "")
-    out = gated.where(F.coalesce("hub_id", F.lit("")) == "").select("name", F.lit("no hub_id: a model that feeds the release must be traceable").alias("problem"))
-    out = out.unionByName(traced.join(orgs, "org", "left_anti").select("name", F.concat(F.lit("organisation of "), F.col("hub_id"), F.lit(" is not approved")).alias("problem")))
+    out = gated.where(F.coalesce("hub_id", F.lit("")) == "").select("name", F.lit("no_hub_id").alias("problem"), F.lit(None).cast("string").alias("value"))
+    out = out.unionByName(traced.join(orgs, "org", "left_anti").select("name", F.lit("organisation").alias("problem"), F.col("hub_id").alias("value")))
     up = ancestors(edges, traced).withColumn("org", organisation("ancestor")).join(orgs, "org", "left_anti")
-    out = out.unionByName(up.join(traced.select("hub_id", "name"), "hub_id").select("name", F.concat(F.lit("ancestor "), F.col("ancestor"), F.lit(" is not from an approved organisation")).alias("problem")))
-    out = out.unionByName(traced.where(~permissive("license")).select("name", F.concat(F.lit("licence "), F.coalesce("license", F.lit("none")), F.lit(" is not permissive")).alias("problem")))
-    return out.select(F.lit("model").alias("kind"), "name", "problem")
+    out = out.unionByName(up.join(traced.select("hub_id", "name"), "hub_id").select("name", F.lit("ancestor").alias("problem"), F.col("ancestor").alias("value")))
+    out = out.unionByName(traced.where(~permissive("license")).select("name", F.lit("licence").alias("problem"), F.coalesce("license", F.lit("none")).alias("value")))
+    return out.select(F.lit("model").alias("kind"), "name", "problem", "value")
 
 
 def dataset_problems(datasets: DataFrame) -> DataFrame:
-    """(kind, name, problem) of gated datasets; license is an array with one licence per task for a collection."""
-    bad = F.filter(F.coalesce("license", F.array()), lambda x: ~permissive(x))
-    gated = datasets.where(F.col("use").isin(GATED_USES))
-    rows = gated.where((F.size(F.coalesce("license", F.array())) == 0) | (F.size(bad) > 0))
-    return rows.select(F.lit("dataset").alias("kind"), "name", F.concat(F.lit("licence "), F.coalesce(F.array_join(bad, ", "), F.lit("")), F.lit(" is not permissive")).alias("problem"))
+    """(kind, name, problem, value) of gated datasets, one row per failing licence; license is an array with one per task of a collection."""
+    none = F.array(F.lit(None).cast("string"))
+    held = F.when(F.size(F.coalesce("license", F.array())) == 0, none).otherwise(F.col("license"))
+    rows = datasets.where(F.col("use").isin(GATED_USES)).select("name", F.explode(held).alias("licence")).where(~permissive("licence")).distinct()
+    return rows.select(F.lit("dataset").alias("kind"), "name", F.lit("licence").alias("problem"), F.coalesce("licence", F.lit("none")).alias("value"))
+
+
+def task_problems(collection: DataFrame) -> DataFrame:
+    """(task, problem, value) of a collection (task, license): every task without a permissive licence of its own."""
+    return collection.where(~permissive("license")).select("task", F.lit("licence").alias("problem"), F.coalesce("license", F.lit("none")).alias("value")).distinct()
 
 
 def with_source_metadata(rows: DataFrame, registry: DataFrame, spread: Sequence[str] = ("row_id",)) -> DataFrame:

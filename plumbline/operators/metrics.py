@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import brier_sum, decision_loss, logits, one_hot, ranked_probability_score
 from ..functions.stats import ece_bin, is_correct, poisson_one
+from ..sources.tables import failed
 from .scale import attach, materialise, running_totals, task_count, values_at
 
 BY = ["run_id", "slice", "task_type"]
 
 
 def answered(preds: DataFrame) -> DataFrame:
-    return preds.where(F.col("error").isNull() & F.col("pred").isNotNull())
+    return preds.where(~failed("error") & F.col("pred").isNotNull())
 
 
 def comparable(preds: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def _mean(total: str, n: str = "n_scored"):
 def slice_metrics(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All additive metrics of every run and slice in one scan: sums per confidence bin, rolled up to the slice."""
     by = by or BY
-    scored = F.col("error").isNull() & F.col("pred").isNotNull()
+    scored = ~failed("error") & F.col("pred").isNotNull()
     noul, score = F.col("task_type") == "noul", F.col("task_type") == "score"
     gold_true, said_true = F.lower("gold") == "true", F.lower("pred") == "true"
     p_gold = F.get("probs", (F.array_position("option_keys", F.col("gold")) - 1).cast("int"))
@@ -45,7 +46,7 @@ def slice_metrics(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     level, expected = F.col("gold").cast("double"), F.col("expected_level")
     hot = one_hot("option_keys", "gold")
     rows = preds.select(
-        *by, F.when(scored, ece_bin("confidence")).alias("bin"), scored.alias("scored"), F.col("error").isNotNull().alias("failed"),
+        *by, F.when(scored, ece_bin("confidence")).alias("bin"), scored.alias("scored"), failed("error").alias("failed"),
         F.col("truncated").alias("truncated"), is_correct("pred", "gold").alias("correct"), "confidence", "p_true", "input_tokens",
         F.when(noul & scored, said_true & gold_true).alias("tp"), F.when(noul & scored, said_true & ~gold_true).alias("fp"),
         F.when(noul & scored, ~said_true & gold_true).alias("fn"), F.when(noul & scored, ~said_true & ~gold_true).alias("tn"),
@@ -237,7 +238,7 @@ def slice_mean_accuracy(preds: DataFrame) -> DataFrame:
 
 def labelling_throughput(labels: DataFrame) -> DataFrame:
     """Rows, errors, tokens and rates of label tables; seconds is the summed latency."""
-    ok = F.col("error").isNull()
+    ok = ~failed("error")
     s = labels.groupBy("teacher").agg(F.count_if(ok).alias("labelled"), F.count_if(~ok).alias("errors"), F.sum(F.when(ok, F.col("input_tokens"))).alias("tokens"),
                                       (F.sum(F.when(ok, F.col("latency_ms"))) / 1000.0).alias("seconds"))
     return s.select("*", F.try_divide(F.col("labelled").cast("double"), F.col("seconds")).alias("rows_per_s"),

@@ -11,6 +11,7 @@ from ..functions.options import keys_of
 from ..functions.probability import argmax, blend, let, one_hot
 from ..sources.tables import last_wins
 from . import calibration as C
+from ..sources.tables import failed
 from .scale import attach, materialise
 
 # Families by how reliable their gold answers are, and the weight the gold answer gets in each class.
@@ -33,13 +34,13 @@ def gold_weight(family: str = "family", generator: str = "provenance.generator")
 
 def usable_labels(labels: DataFrame, order: str = "load_order") -> DataFrame:
     """Labels without an error, the latest of a row winning."""
-    ok = labels.where(F.col("error").isNull()).select("row_id", "probs", "teacher", order)
+    ok = labels.where(~failed("error")).select("row_id", "probs", "teacher", order)
     return last_wins(ok, ["row_id"], order).drop(order)
 
 
 def unlabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """How many rows have no usable label, by family."""
-    ok = labels.where(F.col("error").isNull()).select("row_id").distinct()
+    ok = labels.where(~failed("error")).select("row_id").distinct()
     return rows.select("row_id", "family").join(ok, "row_id", "left_anti").groupBy("family").agg(F.count(F.lit(1)).alias("missing"))
 
 

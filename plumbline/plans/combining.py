@@ -139,17 +139,16 @@ def batches_split_by_tokens(spark, d):
     """Each batch cut into consecutive pieces under a padded size of 32,000."""
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
     batches = B.windowed_batches(rows, 16, "n_chars", ["doc_id"], "epoch", windows=8).drop("window")
-    out = B.split_by_tokens(batches, ["batch"], "place", "n_chars", 32000)
+    out = B.split_by_tokens(batches, ["batch"], "place", "n_chars", 32000, ids=["doc_id"])
     return out.select("batch", "place", F.col("piece").cast("int").alias("piece"), "doc_id")
 
 
-@query("""WITH RECURSIVE o AS (SELECT doc_id AS id,n_chars AS len,row_number() OVER (ORDER BY n_chars,sha256('tokens:'||doc_id),doc_id)-1 AS spot FROM documents),src AS MATERIALIZED (SELECT id,len,spot//256 AS grp,spot%256 AS place FROM o),"""
-       + _pack_sql("src", "grp", 48000) + ' SELECT grp AS "group",place,piece,id AS doc_id FROM pk')
+@query("""WITH RECURSIVE src AS MATERIALIZED (SELECT doc_id AS id,n_chars AS len,0 AS grp,row_number() OVER (ORDER BY n_chars,sha256('tokens:'||doc_id),doc_id)-1 AS place FROM documents),"""
+       + _pack_sql("src", "grp", 48000) + " SELECT piece::BIGINT AS batch,row_number() OVER (PARTITION BY piece ORDER BY place)-1 AS place,id AS doc_id FROM pk")
 def token_batches(spark, d):
-    """Length-bucketed batches under a padded size of 48,000, packed in groups of 256 rows."""
+    """Length-bucketed batches under a padded size of 48,000, one greedy pass over all documents."""
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
-    out = B.token_batches(rows, "n_chars", ["doc_id"], 48000, group=256)
-    return out.select("group", "place", F.col("piece").cast("int").alias("piece"), "doc_id")
+    return B.token_batches(rows, "n_chars", ["doc_id"], 48000).select("batch", "place", "doc_id")
 
 
 PRED_SCHEMA = "case_id string, slice string, task_type string, pred string, gold string, error string"

@@ -50,10 +50,11 @@ def esc(s: str) -> str:
 INT_U = {w: draw_sql("intent", "doc_id", w) for w in ("kind", "k", "none", "target", "other", "wording")}
 
 
-@query(f"""WITH p AS (SELECT list(DISTINCT source ORDER BY source) AS pool FROM documents WHERE source<>'src0'),
+@query(f"""WITH p AS (SELECT list(source ORDER BY sha256('intent-pool:'||source),source) AS pool FROM (SELECT DISTINCT source FROM documents WHERE source<>'src0')),
  a AS (SELECT doc_id,text,source AS g,pool,source='src0' AS oos,{INT_U['kind']}<0.75 AS ch,CASE WHEN {INT_U['target']}<0.5 AND source<>'src0' THEN source ELSE pool[least(floor({INT_U['other']}*len(pool)),len(pool)-1)::INT+1] END AS tg FROM documents,p),
- b AS (SELECT *,CASE WHEN oos THEN {hsort("list_append((" + hsort("pool", "intent-pick", "doc_id") + f")[1:least({between_sql(INT_U['k'], 4, 11)},len(pool))-1],'none_of_these')", "intent-mix", "doc_id")}
-  ELSE list_concat({options_sql('g', 'pool', between_sql(INT_U['k'], 3, 12), 'intent', 'doc_id')},CASE WHEN {INT_U['none']}<0.3 THEN ['none_of_these'] ELSE [] END) END AS ck FROM a)
+ r AS (SELECT *,list_transform(range(0,len(pool)), lambda ri: pool[(('0x'||substr(sha256('intent:'||doc_id||':start'),1,8))::BIGINT+ri)%len(pool)+1]) AS ring,least({between_sql(INT_U['k'], 3, 12)},len(pool)) AS ki,least({between_sql(INT_U['k'], 4, 11)},len(pool)) AS ko FROM a),
+ b AS (SELECT *,CASE WHEN oos THEN {hsort("list_append(ring[1:ko-1],'none_of_these')", "intent-mix", "doc_id")}
+  ELSE list_concat({hsort("list_append(list_filter(ring[1:ki], lambda rp: rp<>g)[1:ki-1],g)", "intent-mix", "doc_id")},CASE WHEN {INT_U['none']}<0.3 THEN ['none_of_these'] ELSE [] END) END AS ck FROM r)
  SELECT doc_id,CASE WHEN ch THEN 'choice' ELSE 'noul' END AS task_type,CASE WHEN ch THEN array_to_string(ck,',') ELSE 'true,false' END AS keys,
  CASE WHEN ch THEN array_to_string(list_transform(ck, lambda x: CASE WHEN x='none_of_these' THEN 'None of the listed intents' ELSE x END),',') ELSE 'The user''s intent is '||tg||'.,The user''s intent is something else.' END AS texts,
  CASE WHEN ch THEN CASE WHEN oos THEN 'none_of_these' ELSE g END ELSE (tg=g)::VARCHAR END AS gold,
@@ -205,7 +206,7 @@ def policy_placed(spark, d):
     return out.select("c_custkey", F.size(keys).alias("fields"), F.array_contains(keys, F.lit("policy")).alias("in_state"), "instructions")
 
 
-@query(f"""WITH {JUDGED}, pool AS (SELECT doc_id,length(text) AS n,row_number() OVER (ORDER BY sha256('long:'||doc_id),doc_id)-1 AS number FROM documents QUALIFY number<256),
+@query(f"""WITH {JUDGED}, pool AS (SELECT doc_id,length(text) AS n,row_number() OVER (ORDER BY sha256('long:'||doc_id),doc_id)-1 AS number FROM documents),
  pk AS (SELECT 'toxic-'||doc_id AS row_id,doc_id AS origin,text FROM judged QUALIFY row_number() OVER (ORDER BY sha256('long:toxic-'||doc_id),row_id)<=120),
  w AS (SELECT *,{between_sql(draw_sql('long', 'row_id', 'size'), 7000, 14000)} AS want,('0x'||substr(sha256('long:'||row_id||':start'),1,8))::BIGINT%(SELECT count(*) FROM pool) AS start FROM pk),
  c AS (SELECT row_id,want,p.doc_id,p.n,sum(p.n+4) OVER (PARTITION BY row_id ORDER BY (number-start+(SELECT count(*) FROM pool))%(SELECT count(*) FROM pool) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w,pool p WHERE p.doc_id<>origin)
@@ -214,7 +215,7 @@ def long_context(spark, d):
     """120 rows padded with whole documents of other rows until 7,000 to 14,000 characters."""
     rows = S.judged_documents(spark, d).select(F.concat(F.lit("toxic-"), F.col("doc_id")).alias("row_id"), F.to_json(F.struct("text")).alias("state"), F.col("doc_id").alias("origin"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
-    out = V.long_context(rows, docs, 120, pool=256)
+    out = V.long_context(rows, docs, 120)
     rec = F.from_json(F.get_json_object("state", "$.unrelated_context.records"), "array<string>")
     return out.select("row_id", F.size(rec).cast("bigint").alias("n_records"), F.aggregate(rec, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("context_chars"))
 

@@ -137,7 +137,7 @@ def latency_at_index(spark, d):
 
 CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
        0.9994058151824183, 0.999916758850712, 0.9999898032318297, 0.9999988748269639, 0.9999998885745217]
-RESAMPLES = 200
+RESAMPLES = 2000
 
 
 @query(P + f""", f AS (SELECT run_id,slice,family_id,sum(CASE WHEN task_type='score' THEN abs(expected_level-TRY_CAST(gold AS DOUBLE)) ELSE (lower(pred)=lower(gold))::INT END) AS s,count(*) AS n

@@ -53,17 +53,17 @@ def model_ancestors(spark, d):
 
 @query(f"""WITH RECURSIVE {MODELS}, up AS (SELECT child AS hub_id,parent AS ancestor FROM edges UNION SELECT up.hub_id,e.parent FROM up JOIN edges e ON up.ancestor=e.child),
  g AS (SELECT * FROM models WHERE use<>'eval-only')
- SELECT 'model' AS kind,name,'no hub_id: a model that feeds the release must be traceable' AS problem FROM g WHERE hub_id IS NULL
- UNION ALL SELECT 'model',name,'organisation of '||hub_id||' is not approved' FROM g WHERE split_part(hub_id,'/',1) NOT IN (SELECT org FROM approved)
- UNION ALL SELECT 'model',name,'ancestor '||ancestor||' is not from an approved organisation' FROM g JOIN up USING (hub_id) WHERE split_part(ancestor,'/',1) NOT IN (SELECT org FROM approved)
- UNION ALL SELECT 'model',name,'licence '||license||' is not permissive' FROM g WHERE hub_id IS NOT NULL AND {KEY_SQL.format('license')} NOT IN {OKAY}""")
+ SELECT 'model' AS kind,name,'no_hub_id' AS problem,NULL::VARCHAR AS value FROM g WHERE hub_id IS NULL
+ UNION ALL SELECT 'model',name,'organisation',hub_id FROM g WHERE split_part(hub_id,'/',1) NOT IN (SELECT org FROM approved)
+ UNION ALL SELECT 'model',name,'ancestor',ancestor FROM g JOIN up USING (hub_id) WHERE split_part(ancestor,'/',1) NOT IN (SELECT org FROM approved)
+ UNION ALL SELECT 'model',name,'licence',license FROM g WHERE hub_id IS NOT NULL AND {KEY_SQL.format('license')} NOT IN {OKAY}""")
 def model_provenance_gate(spark, d):
     return L.model_problems(*_models(spark, d))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT source,substr(source,4)::INT AS n FROM documents),ds AS (SELECT source AS name,CASE WHEN n%3=0 THEN 'eval-only' ELSE 'train' END AS use,CASE WHEN n=7 THEN NULL WHEN n%2=0 THEN [{LIC_SQL}[n%7+1]] ELSE [{LIC_SQL}[n%7+1],'MIT'] END AS license FROM s)
- SELECT 'dataset' AS kind,name,'licence '||coalesce(array_to_string(list_filter(license, lambda x: {KEY_SQL.format('x')} NOT IN {OKAY}),', '),'')||' is not permissive' AS problem FROM ds
- WHERE use='train' AND (license IS NULL OR len(list_filter(license, lambda x: {KEY_SQL.format('x')} NOT IN {OKAY}))>0)""")
+ SELECT DISTINCT 'dataset' AS kind,name,'licence' AS problem,coalesce(l,'none') AS value FROM (SELECT name,unnest(CASE WHEN license IS NULL THEN [NULL] ELSE license END) AS l FROM ds WHERE use='train')
+ WHERE l IS NULL OR {KEY_SQL.format('l')} NOT IN {OKAY}""")
 def dataset_licence_gate(spark, d):
     n = F.col("n")
     src = table(spark, d, "documents").select(F.col("source").alias("name")).distinct().withColumn("n", F.substring("name", 4, 9).cast("int"))
@@ -72,6 +72,14 @@ def dataset_licence_gate(spark, d):
     return L.dataset_problems(ds)
 
 
+@query(f"""SELECT DISTINCT p_partkey AS task,'licence' AS problem,coalesce(l,'none') AS value FROM (SELECT p_partkey,CASE WHEN p_partkey%11=0 THEN NULL ELSE {LIC_SQL}[(p_partkey%7)::INT+1] END AS l FROM part)
+ WHERE l IS NULL OR {KEY_SQL.format('l')} NOT IN {OKAY}""")
+def collection_task_licences(spark, d):
+    """Tasks of a collection without a permissive licence of their own."""
+    lic = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).otherwise(F.get(F.array(*[F.lit(x) for x in LICENCES]), (F.col("p_partkey") % 7).cast("int")))
+    return L.task_problems(table(spark, d, "part").select(F.col("p_partkey").alias("task"), lic.alias("license")))
+
+
 NAMES = "CASE license WHEN 'CC BY 4.0' THEN 'CC-BY-4.0' WHEN 'Apache 2.0' THEN 'Apache-2.0' WHEN 'CC0: Public Domain' THEN 'CC0-1.0' WHEN 'cc-by-sa-3.0' THEN 'CC-BY-SA-3.0' ELSE 'MIT' END"
 EXCLUDED = ["lang_src3"]
 

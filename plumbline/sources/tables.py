@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """JSON lines under a fixed schema; blank lines are skipped and a broken line is kept in _corrupt_record."""
+    """JSON lines under a fixed schema; blank lines are skipped and a broken line is kept in _corrupt_record.
+
+    file_path and line_order (file, place of the split, place in the split) tell where a record stands.
+    """
     fixed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if "_corrupt_record" not in fixed.fieldNames():
         fixed = T.StructType([*fixed.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(paths).where(F.trim("value") != "")
     parsed = F.from_json("value", fixed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.select(parsed.alias("r"), F.col("_metadata.file_path").alias("file_path")).select("r.*", "file_path")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(parsed.alias("r"), place.alias("line_order")).select("r.*", F.col("line_order.file").alias("file_path"), "line_order")
 
 
 def write_jsonl(df: DataFrame, path: str, gzip: bool = False) -> None:
@@ -32,16 +36,25 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_predictions(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """Every run under root/<run_id>/predictions.jsonl (plain or gzip), with run_id from the folder; smoke runs left out."""
+    """Every run under root/<run_id>/predictions.jsonl (plain or gzip), with run_id from the folder; smoke runs left out.
+
+    One record per run and case: the last line of a case wins.
+    """
     rows = read_jsonl(spark, [f"{root}/*/predictions.jsonl*"], schema)
     run = F.regexp_extract("file_path", r"/([^/]+)/predictions\.jsonl", 1)
-    return rows.withColumn("run_id", run).where(~F.col("run_id").startswith("smoke")).drop("file_path")
+    runs = rows.withColumn("run_id", run).where(~F.col("run_id").startswith("smoke")).drop("file_path")
+    whole = runs.where("case_id IS NOT NULL")
+    return last_wins(whole, ["run_id", "case_id"], "line_order").drop("line_order").unionByName(runs.where("case_id IS NULL").drop("line_order"))
 
 
 def answered(df: DataFrame) -> DataFrame:
-    """Answered yes/no and choice records, the last record of a case winning."""
-    keep = df.where((F.col("task_type") != "score") & F.coalesce(F.col("error") == "", F.lit(True)) & F.col("pred").isNotNull())
-    return keep
+    """Answered yes/no and choice records of runs that hold one record per case."""
+    return df.where((F.col("task_type") != "score") & ~failed("error") & F.col("pred").isNotNull())
+
+
+def failed(error: str) -> Column:
+    """A record failed if its error is neither null nor empty."""
+    return F.coalesce(F.col(error) != "", F.lit(False))
 
 
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
