@@ -101,11 +101,14 @@ def public_rows(rows: DataFrame, excluded_tasks: Sequence[str] = ()) -> DataFram
     """Release rows: one schema, free-form fields as JSON text, published licence names; rows of excluded tasks left out."""
     kept = rows.where(~F.coalesce(F.col("provenance.task").isin(list(excluded_tasks)), F.lit(False))) if excluded_tasks else rows
     prov = F.struct(*[F.col(f"provenance.{c}").alias(c) for c in rows.schema["provenance"].dataType.fieldNames() if c not in ("origin", "license")])
-    question = F.struct(F.col("task_type").alias("type"), "instructions", F.map_from_entries(F.transform("options", lambda o: F.struct(o["key"], o["text"]))).alias("criteria"))
+    asked = [F.col("task_type").alias("type"), F.col("instructions")]
+    by_key = F.to_json(F.struct(*asked, F.map_from_entries(F.transform("options", lambda o: F.struct(o["key"], o["text"]))).alias("criteria")))
+    in_order = F.to_json(F.struct(*asked, F.transform("options", lambda o: o["text"]).alias("criteria")))
+    question = F.when(F.col("task_type") == "score", in_order).otherwise(by_key)  # an ordinal's criteria are a list of levels
     dist = lambda c: F.to_json(F.map_from_arrays(F.transform("options", lambda o: o["key"]), F.col(c)))
     extra = [dist(c).alias(c) for c in ("target", "teacher_calibrated") if c in rows.columns]
     plain = [c for c in ("gold_weight", "teacher", "teacher_conflict") if c in rows.columns]
-    return kept.select("row_id", "family", "task_type", "state", F.to_json(question).alias("question"), "gold", *plain, "holdout_family", *extra,
+    return kept.select("row_id", "family", "task_type", "state", question.alias("question"), "gold", *plain, "holdout_family", *extra,
                        licence_names(F.array("provenance.license")).alias("license"), F.to_json(prov).alias("provenance"))
 
 

@@ -146,11 +146,11 @@ def target_report(spark, d):
     return rounded(T.target_report(items, out))
 
 
-@query(TGT + """ SELECT t.row_id,d.family,length(d.state) AS state_chars,len(t.target) AS n_target,round(list_sum(t.target),4) AS mass FROM tgt t JOIN decisions d USING (row_id) WHERE d.state IS NOT NULL""")
+@query(TGT + """ SELECT t.row_id,d.family,length(d.state) AS state_chars,len(t.target) AS n_target,round(list_sum(t.target),4) AS mass FROM tgt t JOIN decisions d USING (row_id)""")
 def target_rows(spark, d):
-    """Kept targets joined back to their full decision rows (text states)."""
+    """Kept targets joined back to their full decision rows."""
     rows, _, out = built(spark, d)
-    full = T.with_target_columns(rows, out).where(F.col("task_type") != "score")
+    full = T.with_target_columns(rows, out)
     return full.select("row_id", "family", F.length("state").alias("state_chars"), F.size("target").alias("n_target"),
                        F.round(F.aggregate("target", F.lit(0.0), lambda a, x: a + x), 4).alias("mass"))
 
@@ -195,10 +195,10 @@ def macro_validation_accuracy(spark, d):
     return rounded(M.macro_by_family(items.select(split.alias("split"), "family", (argmax("z") == F.col("g")).alias("correct"))))
 
 
-@query("WITH " + DECISIONS + "," + TEACHER_LABELS + """ , s AS (SELECT count(*) FILTER (NOT failed) AS labelled,count(*) FILTER (failed) AS errors,sum(length(state)) FILTER (NOT failed)::BIGINT AS tokens,sum(latency_ms) FILTER (NOT failed)/1000.0 AS seconds FROM labels_t WHERE state IS NOT NULL)
+@query("WITH " + DECISIONS + "," + TEACHER_LABELS + """ , s AS (SELECT count(*) FILTER (NOT failed) AS labelled,count(*) FILTER (failed) AS errors,sum(length(state)) FILTER (NOT failed)::BIGINT AS tokens,sum(latency_ms) FILTER (NOT failed)/1000.0 AS seconds FROM labels_t)
  SELECT 'teacher' AS teacher,labelled,errors,tokens,round(seconds,4) AS seconds,round(labelled/seconds,4) AS rows_per_s,round(tokens/seconds,2) AS tokens_per_s FROM s""")
 def labelling_throughput(spark, d):
-    t = M.labelling_throughput(S.labels(spark, d).where("family not like 'train_priority%'"))
+    t = M.labelling_throughput(S.labels(spark, d))
     return t.select("teacher", "labelled", "errors", "tokens", F.round("seconds", 4).alias("seconds"), F.round("rows_per_s", 4).alias("rows_per_s"), F.round("tokens_per_s", 2).alias("tokens_per_s"))
 
 

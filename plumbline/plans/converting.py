@@ -12,7 +12,7 @@ from ..operators import guards as G
 from ..operators.sampling import repeat_rows
 from ..sources import derived as S
 from ..sources.tables import splits, table
-from .oracle import CASES, DECISIONS, JUDGED, TEACHER_LABELS, u
+from .oracle import ASK, TEXTS, CASES, DECISIONS, JUDGED, TEACHER_LABELS, u
 from .registry import query
 
 
@@ -154,13 +154,30 @@ def two_digit_labels(spark, d):
 LANG_TEXTS = "['German','English','Spanish','French']"
 
 
-@query("""SELECT 'lang-'||doc_id AS row_id,md5('You are a decision model. Read the state and answer the question by choosing one option.'||chr(10)||chr(10)||'STATE:'||chr(10)||'{'||chr(10)||' "text": '||to_json(text)||chr(10)||'}'||chr(10)||chr(10)||
- 'QUESTION: In which language is the text in the state written?'||chr(10)||chr(10)||'OPTIONS:'||chr(10)||'A) de: German'||chr(10)||'B) en: English'||chr(10)||'C) es: Spanish'||chr(10)||'D) fr: French'||chr(10)||chr(10)||'Answer with the option letter only.Answer:') AS prompt_md5,
- length(text)>=0 AS has_text FROM documents""")
+STATE_SQL = """CASE WHEN row_id LIKE 'topic-%' THEN '{'||chr(10)||' "vector": '||substr(row_id,7)||chr(10)||'}' WHEN task_type='score' THEN replace(replace(replace(state,'{"','{'||chr(10)||' "'),',"total":',','||chr(10)||' "total": '),'"status":','"status": ')[:-2]||chr(10)||'}'
+ ELSE '{'||chr(10)||' "text": '||substr(state,9,length(state)-9)||chr(10)||'}' END"""
+
+
+@query("WITH " + DECISIONS + f""", q AS (SELECT row_id,{STATE_SQL} AS st,{ASK} AS ask,list_transform(range(1,len(keys)+1), lambda i: chr((64+i)::INT)||') '||CASE WHEN task_type='score' THEN ts[i] ELSE keys[i]||': '||ts[i] END) AS ls FROM (SELECT *,{TEXTS} AS ts FROM decisions)),
+ b AS (SELECT row_id,'You are a decision model. Read the state and answer the question by choosing one option.'||chr(10)||chr(10)||'STATE:'||chr(10)||st||chr(10)||chr(10)||'QUESTION: '||ask||chr(10)||chr(10)||'OPTIONS:'||chr(10)||array_to_string(ls,chr(10))||chr(10)||chr(10) AS body FROM q)
+ SELECT row_id,'plain' AS turn,md5(body||'Answer with the option letter only.Answer:') AS prompt_md5 FROM b
+ UNION ALL SELECT row_id,'gemma4',md5('<|turn>user'||chr(10)||body||'Answer with the option letter only.<turn|>'||chr(10)||'<|turn>model'||chr(10)||'<|channel>thought'||chr(10)||'<channel|>Answer:') FROM b
+ UNION ALL SELECT row_id,'chat',md5(body||'Reply with only the option letter, nothing else.') FROM b""")
 def prompt_table(spark, d):
-    """The whole prompt per row; the digest covers every character of it."""
-    rows = S.decisions(spark, d).where(F.col("row_id").startswith("lang-"))
-    return rows.select("row_id", F.md5(O.prompt("state", "instructions", "options", "task_type")).alias("prompt_md5"), F.lit(True).alias("has_text"))
+    """The whole prompt per row of every type, plain, in turns and for chat; the digest covers every character of it."""
+    rows = S.decisions(spark, d)
+    forms = {"plain": ("plain", False), "gemma4": ("gemma4", False), "chat": ("plain", True)}
+    each = F.array(*[F.struct(F.lit(name).alias("turn"), F.md5(O.prompt("state", "instructions", "options", "task_type", turn, chat)).alias("md5")) for name, (turn, chat) in forms.items()])
+    return rows.select("row_id", F.explode(each).alias("p")).select("row_id", "p.turn", F.col("p.md5").alias("prompt_md5"))
+
+
+@query("""SELECT p_partkey,md5('You are a decision model. Read the state and answer the question by choosing one option.'||chr(10)||chr(10)||'STATE:'||chr(10)||'{'||chr(10)||' "size": '||p_size||chr(10)||'}'||chr(10)||chr(10)||'QUESTION: Which code?'||chr(10)||chr(10)||'OPTIONS:'||chr(10)||
+ array_to_string(list_transform(range(0,27+p_partkey%60), lambda i: (10+i)||') option '||i),chr(10))||chr(10)||chr(10)||'Answer with the option two-digit code only.Answer: ') AS prompt_md5 FROM part""")
+def code_prompts(spark, d):
+    """Prompts of more than 26 options, answered by two-digit codes."""
+    names = F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 60 + 26).cast("int")), lambda i: F.struct(i.alias("pos"), F.concat(F.lit("option "), i).alias("key"), F.concat(F.lit("option "), i).alias("text")))
+    state = F.to_json(F.struct(F.col("p_size").alias("size")))
+    return table(spark, d, "part").select("p_partkey", F.md5(O.prompt(state, F.lit("Which code?"), names.cast(O.OPTION), F.lit("choice"))).alias("prompt_md5"))
 
 
 @query("WITH " + DECISIONS + """ SELECT row_id,CASE task_type WHEN 'noul' THEN 'false: No, the condition does not hold.|true: Yes, the condition holds.' WHEN 'score' THEN 'urgent|high|medium|unspecified|low'

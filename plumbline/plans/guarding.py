@@ -149,12 +149,12 @@ def reply_labels(spark, d):
     return ev.select("event_id", reply_label(text, labels_for(F.when(k == 3, F.lit(30)).otherwise(F.lit(4)))).alias("label"))
 
 
-@query("""SELECT event_id,CASE event_id%8 WHEN 0 THEN NULL WHEN 1 THEN 'questions must be JSON' WHEN 2 THEN 'questions must be a JSON object' WHEN 3 THEN 'a needs at least two option keys'
+@query("""SELECT event_id,CASE event_id%8 WHEN 0 THEN NULL WHEN 1 THEN 'questions must be JSON' WHEN 2 THEN 'questions must be a JSON object' WHEN 3 THEN 'q needs at least two option keys'
  WHEN 4 THEN 'q needs a type and instructions' WHEN 5 THEN 'q needs at least two levels' WHEN 6 THEN 'too many questions' ELSE 'state is too long' END AS reject_reason FROM events""")
 def request_validation(spark, d):
     """Requests with one fault each and the reason they are refused."""
     good = '{"type":"noul","instructions":"ok?"}'
-    bodies = ['{"q":%s}' % good, "not json", "[1]", '{"q":%s,"a":{"type":"choice","instructions":"x","criteria":{"only":"one"}}}' % good, '{"q":{"type":"maybe","instructions":"x"}}',
+    bodies = ['{"q":%s}' % good, "not json", "[1]", '{"z":%s,"q":{"type":"choice","instructions":"x","criteria":{"only":"one"}},"a":{"type":"maybe"}}' % good, '{"q":{"type":"maybe","instructions":"x"}}',
               '{"q":{"type":"score","instructions":"x","criteria":["one"]}}', "{" + ",".join(f'"q{i}":{good}' for i in range(7)) + "}", '{"q":%s}' % good]
     k = (F.col("event_id") % 8).cast("int")
     ev = table(spark, d, "events")
@@ -163,11 +163,11 @@ def request_validation(spark, d):
     return G.request_problems(req).select(F.col("request_id").alias("event_id"), "reject_reason")
 
 
-@query("WITH " + DECISIONS + " SELECT row_id FROM decisions WHERE len(keys)<=26 AND length(row_id)<=8")
+@query("WITH " + DECISIONS + " SELECT row_id FROM decisions WHERE len(keys)<=26 AND len(regexp_extract_all(state,'[a-z]+|[0-9]+'))<=150")
 def within_limits(spark, d):
-    """Rows whose options and length stay under the limits."""
-    rows = S.decisions(spark, d).select("row_id", "options").withColumn("tokens", F.length("row_id"))
-    return G.within_limits(rows, 8).select("row_id")
+    """Rows whose options and state tokens stay under the limits."""
+    rows = S.decisions(spark, d).select("row_id", "options", F.regexp_count("state", F.lit("[a-z]+|[0-9]+")).alias("tokens"))
+    return G.within_limits(rows, 150).select("row_id")
 
 
 @query(P + " SELECT run_id,count(*) FILTER (error IS NULL) AS answered,count(*) FILTER (error IS NOT NULL) AS retry FROM predictions GROUP BY 1")

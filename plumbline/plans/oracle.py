@@ -28,6 +28,10 @@ def text_hash(x: str) -> str:
     return f"substr(sha256(trim(regexp_replace(lower({x}),'{SPACES}',' ','g'))),1,20)"
 
 
+# what a decision row asks, and the text of each of its options
+ASK = """CASE WHEN row_id LIKE 'lang-%' THEN 'In which language is the text in the state written?' WHEN row_id LIKE 'toxic-%' THEN 'Is the text in the state toxic?' WHEN row_id LIKE 'quality-%' THEN 'Is the text in the state of good quality?' WHEN row_id LIKE 'topic-%' THEN 'Which class does the record belong to?' ELSE 'Rate the priority of the order in the state.' END"""
+TEXTS = """CASE task_type WHEN 'noul' THEN ['No, the condition does not hold.','Yes, the condition holds.'] WHEN 'score' THEN ['urgent','high','medium','unspecified','low'] ELSE CASE WHEN family='dbpedia_topic' THEN list_transform(keys, lambda k: 'Class '||k[-1]) ELSE ['German','English','Spanish','French'] END END"""
+
 LEVEL_KEYS = lst(str(i) for i in range(5))
 LEVEL_OF = "((substr(o_orderpriority,1,1)::INT-1)::VARCHAR)"
 
@@ -41,7 +45,7 @@ decisions AS (
  UNION ALL SELECT 'quality-'||doc_id,'civil_toxicity','noul',['false','true'],(quality=1)::VARCHAR,'{{"text":'||to_json(text)||'}}','CC0: Public Domain','driver labels',NULL FROM judged
  UNION ALL SELECT 'topic-'||vec_id,'dbpedia_topic','choice',{lst(TOPICS)},'topic_'||label,'{{"vector":'||vec_id||'}}','cc-by-sa-3.0','driver embeddings',NULL FROM embeddings
  UNION ALL SELECT 'priority-'||o_orderkey,'train_priority_'||o_orderstatus,'score',{LEVEL_KEYS},{LEVEL_OF},
-  NULL,'MIT','rule generator','driver orders' FROM orders)"""
+  '{{"status":'||to_json(o_orderstatus)||',"total":'||o_totalprice||'}}','MIT','rule generator','driver orders' FROM orders)"""
 
 
 def weights(run: str, strength: str, case: str) -> str:

@@ -9,7 +9,7 @@ from ..operators import targets as T
 from ..operators.scale import materialise
 from ..sources import derived as S
 from ..sources.tables import table
-from .oracle import DECISIONS
+from .oracle import ASK, TEXTS, DECISIONS
 from .registry import query
 
 LICENCES = ["Apache 2.0", "MIT", "CC-BY-NC-4.0", "cc by 4.0", "CC0: Public Domain", "proprietary", "BSD"]
@@ -91,11 +91,16 @@ def release_statistics(spark, d):
     return L.release_statistics(S.decisions(spark, d), EXCLUDED)
 
 
-@query("WITH " + DECISIONS + f""" SELECT row_id,family,task_type,gold,{NAMES} AS license,md5(state) AS state_md5 FROM decisions WHERE family<>'sni_lang_src3' AND task_type<>'score'""")
+@query("WITH " + DECISIONS + f""", q AS (SELECT *,{ASK} AS ask,{TEXTS} AS texts,regexp_extract(row_id,'-(.*)',1) AS n FROM decisions WHERE family<>'sni_lang_src3')
+ SELECT row_id,family,task_type,gold,{NAMES} AS license,md5(state) AS state_md5,md5('{{"type":"'||task_type||'","instructions":'||to_json(ask)||',"criteria":'||CASE WHEN task_type='score' THEN '["'||array_to_string(texts,'","')||'"]'
+  ELSE '{{'||array_to_string(list_transform(range(1,len(keys)+1), lambda i: '"'||keys[i]||'":"'||texts[i]||'"'),',')||'}}' END||'}}') AS question_md5,
+  md5('{{"source":"'||source||'"'||CASE WHEN generator IS NOT NULL THEN ',"generator":"'||generator||'"' ELSE '' END||CASE WHEN row_id LIKE 'lang-%' THEN ',"task":"'||substr(family,5)||'"' ELSE '' END||',"source_row":"'||n||'"}}') AS provenance_md5,
+  md5('{{'||array_to_string(list_transform(keys, lambda k: '"'||k||'":'||CASE WHEN k=gold THEN '1.0' ELSE '0.0' END),',')||'}}') AS target_md5 FROM q""")
 def public_rows(spark, d):
-    """Release rows of the text and class questions; one excluded task is left out."""
-    rows = L.public_rows(S.decisions(spark, d), EXCLUDED).where("task_type <> 'score'")
-    return rows.select("row_id", "family", "task_type", "gold", "license", F.md5("state").alias("state_md5"))
+    """Release rows of every type with their JSON columns; one excluded task is left out."""
+    hot = F.transform("options", lambda o: F.when(o["key"] == F.col("gold"), 1.0).otherwise(0.0))
+    rows = L.public_rows(S.decisions(spark, d).withColumn("target", hot), EXCLUDED)
+    return rows.select("row_id", "family", "task_type", "gold", "license", *[F.md5(c).alias(f"{c}_md5") for c in ("state", "question", "provenance", "target")])
 
 
 def _registry(spark, d):
