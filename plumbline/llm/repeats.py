@@ -96,8 +96,8 @@ def _firsts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(r: np.ndarray, buckets: int, kind: int, hot: np.ndarray):
-    """Rows (bucket, kind, payload) of records; those of a hot anchor are dealt by their content."""
-    key = r["h"].copy()
+    """Rows (bucket, kind, payload) of records; those of a hot anchor are dealt by their content, covered ones by their document."""
+    key = r["doc"].astype(np.uint64) if kind == COVERED else r["h"].copy()
     if len(hot):
         key = np.where(np.isin(key, hot), mix(key + r["c"]), key)
     bucket = (mix(key) % _U(buckets)).astype(np.int64)
@@ -150,14 +150,17 @@ def _gather(routed: DataFrame, hot: np.ndarray) -> DataFrame:
 def _bytes_again(batches, length, buckets):
     """For each document its named contexts with their bytes, and its spread windows as records of one window."""
     for batch in batches:
-        texts, kinds = batch.column("text").to_pylist(), batch.column("kind").to_numpy()
-        for doc, text, kind, payload in zip(batch.column("doc").to_pylist(), texts, kinds, batch.column("payload").to_pylist(), strict=True):
-            raw, r = (text or "").encode(), np.frombuffer(payload, RECORD)
-            if kind == NAMED:
+        columns = [batch.column(c) for c in ("doc", "text", "named", "spread")]
+        for row in range(batch.num_rows):
+            doc, text, named, spread = (c[row].as_py() for c in columns)
+            raw = (text or "").encode()
+            if named:
+                r = np.frombuffer(b"".join(named), RECORD)
                 n = len(r)
                 yield [pa.array((mix(r["h"]) % _U(buckets)).astype(np.int32)), pa.array([NAMED] * n, pa.int32()), pa.array(r["h"].view(np.int64)), pa.array([doc] * n, pa.int64()),
                        pa.array(r["lo"]), pa.array([raw[a:b + length] for a, b in zip(r["lo"].tolist(), r["hi"].tolist(), strict=True)], pa.binary())]
-            else:
+            if spread:
+                r = np.frombuffer(b"".join(spread), RECORD)
                 at = np.unique(expand(r["lo"].astype(np.int64), (r["hi"] - r["lo"] + 1).astype(np.int64)))
                 for base in range(0, int(at[-1]) + 1, SEGMENT):
                     mine = at[(at >= base) & (at < base + SEGMENT)]
@@ -260,7 +263,9 @@ def covered_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = _hot_anchors(docs, length)
     routed = in_arrow(docs, lambda b: _route(b, length, buckets, hot), ROUTED)
     met = materialise(_gather(routed, hot), "anchors")
-    again = met.where(F.col("kind") != COVERED).join(docs, "doc").select("doc", "text", "kind", "payload")
+    of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("payload")))
+    asked = met.where(F.col("kind") != COVERED).groupBy("doc").agg(of(NAMED).alias("named"), of(SPREAD).alias("spread"))  # a text is read once
+    again = asked.join(docs, "doc").select("doc", "text", "named", "spread")
     kind = "bucket int, kind int, h bigint, doc bigint, lo int, payload binary"
     rows = materialise(in_arrow(again, lambda b: _bytes_again(b, length, buckets), kind), "contexts")
     named = rows.where(F.col("kind") == NAMED).groupBy("bucket").applyInPandas(lambda g: _sort_group(g, length), FOUND)
