@@ -21,10 +21,10 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import lists, slices
-from .common import even, in_arrow, narrow, query, table
+from .common import carried, even, fields, in_arrow, narrow, query, table
 from .pieces import SLICE_BYTES, Encoder
 
 LONG_PIECE = 256
@@ -173,6 +173,22 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
     return in_arrow(narrow(coded, doc_id=doc_id, ids=ids), lambda b: _decode(b, path, False), kind)
 
 
+def _round_trip(batches, path):
+    m = machine(path)
+    for batch in batches:
+        for part, data, off in slices(batch, limit=SLICE_BYTES):
+            ids, n = m.encoder.slice_ids(data, off)
+            found = [x for rows, mine in _pieces(ids, n) for x in m.decode(mine, n[rows])]
+            yield [part.column("doc_id"), lists(ids, n, pa.int32()), pa.array(found, pa.binary()), part.column("carried")]
+
+
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, bytes (decoded from the ids), carried (the other columns) of every text."""
+    base = even(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), carried(docs, doc_id, text)), "doc_id")
+    kind = fields("ids array<int>, bytes binary", base.schema["carried"])
+    return in_arrow(base, lambda b: _round_trip(b, path), StructType([base.schema["doc_id"], *kind.fields]))
+
+
 def digests(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded texts; the bytes stay in the task that decodes them."""
     kind = f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

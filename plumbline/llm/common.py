@@ -7,8 +7,9 @@ from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.scale import materialise, shared_folder
 from ..sources.tables import table
@@ -17,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-__all__ = ["QUERIES", "ORACLE", "query", "table", "materialise", "shared_folder", "narrow", "in_arrow", "task_count", "even"]
+__all__ = ["QUERIES", "ORACLE", "query", "table", "materialise", "shared_folder", "narrow", "in_arrow", "fields", "carried", "task_count", "even"]
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -39,14 +40,24 @@ def _apply(batches: Iterable[pa.RecordBatch], fn, schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from batches to lists of columns in the order of `schema`."""
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):  # Python workers of a local session find this package wherever it was started
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    return df.mapInArrow(partial(_apply, fn=fn, schema=to_arrow_schema(_parse_datatype_string(schema))), schema)
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return df.mapInArrow(partial(_apply, fn=fn, schema=to_arrow_schema(kind)), kind)
+
+
+def fields(ddl: str, *more: StructField) -> StructType:
+    return StructType([*StructType.fromDDL(ddl).fields, *more])
+
+
+def carried(df: DataFrame, *apart: str) -> Column:
+    """All columns but those apart as one struct `carried`, which an operator passes through untouched."""
+    rest = [df[c] for c in df.columns if c not in apart]
+    return (F.struct(*rest) if rest else F.struct(F.lit(None).cast("string").alias("none"))).alias("carried")
 
 
 def task_count(spark: SparkSession) -> int:

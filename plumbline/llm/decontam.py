@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import ALNUM, LOWER, expand, lists, slices, text_buffer, words
-from .common import even, in_arrow, narrow, query, table
+from .common import carried, even, fields, in_arrow, narrow, query, table
 
 WINDOW = 10
 PART_BYTES = 8 << 20  # item text per automaton
@@ -212,7 +213,7 @@ def _pass(batches, auto, texts):
                 found[r].add(i)
             yield [part.column("doc_id"), part.column("text") if texts else pa.nulls(n, pa.string()),
                    pa.array(np.bincount(row, minlength=n).astype(np.int64)), lists(runs, each, pa.int64()), lists(ranges, each, pa.int64()),
-                   pa.array([sorted(x) for x in found], pa.list_(pa.int64()))]
+                   pa.array([sorted(x) for x in found], pa.list_(pa.int64())), *([part.column("carried")] if "carried" in part.schema.names else [])]
 
 
 def _without(batches, limit):
@@ -228,12 +229,12 @@ def _without(batches, limit):
                         at = e
                     texts[i] = None if counts[i] > limit else b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
             yield [part.column("doc_id"), part.column("n_words"), part.column("n_hit"), part.column("items"), part.column("ranges"),
-                   part.column("coverage"), pa.array([c > limit for c in counts]), pa.array(texts, pa.string())]
+                   part.column("coverage"), pa.array([c > limit for c in counts]), pa.array(texts, pa.string()), part.column("carried")]
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
             item_id: str = "item_id", item_text: str = "text", texts: bool = False) -> DataFrame:
-    """doc_id, text (only if `texts`), n_words, hits, ranges, items of every document.
+    """doc_id, text, n_words, hits, ranges, items of every document; with `texts` also `carried` (its other columns), else text is null.
 
     hits are word ranges and ranges byte ranges [first, last), both flat and merged; items are the ids found.
     """
@@ -241,14 +242,17 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str
     bench = narrow(items, item_id=item_id, text=item_text).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
-    out = even(narrow(docs, doc_id=doc_id, text=text), "doc_id").withColumns(
+    rest = [carried(docs, doc_id, text)] if texts else []
+    out = even(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), *rest), "doc_id").withColumns(
         {"n_words": F.lit(0).cast("bigint"), **{c: F.array().cast("array<bigint>") for c in ("hits", "ranges", "items")}})
     for p in range(parts):
         mine = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else bench
         rows = [(r[0], r[1]) for r in mine.collect()]  # about PART_BYTES of text
         auto = spark.sparkContext.broadcast(build(rows, window))
         keep = texts or p + 1 < parts
-        kind = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text string, n_words bigint, hits array<bigint>, ranges array<bigint>, items array<bigint>"
+        kind = fields("text string, n_words bigint, hits array<bigint>, ranges array<bigint>, items array<bigint>", *([out.schema["carried"]] if texts else []))
+        kind = StructType([out.schema["doc_id"], *kind.fields])
+        out = out.select("doc_id", "text", "n_words", "hits", "ranges", "items", *["carried"] * texts)
         out = in_arrow(out, lambda b, auto=auto, keep=keep: _pass(b, auto, keep), kind)
     return out
 
@@ -260,11 +264,11 @@ def _hit_words():
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items, ranges, coverage, dropped, text (hit runs removed; null where the document is dropped)."""
+    """doc_id, n_words, n_hit, items, ranges, coverage, dropped, text (hit runs removed; null where the document is dropped), carried."""
     found = matches(docs, items, window, doc_id, text, item_id, item_text, texts=True).withColumn("n_hit", _hit_words())
     found = found.withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(0.0))
-    kind = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words bigint, n_hit bigint, items array<bigint>, ranges array<bigint>, coverage double, dropped boolean, text string"
-    return in_arrow(found, lambda b: _without(b, max_coverage), kind)
+    kind = fields("n_words bigint, n_hit bigint, items array<bigint>, ranges array<bigint>, coverage double, dropped boolean, text string", found.schema["carried"])
+    return in_arrow(found, lambda b: _without(b, max_coverage), StructType([found.schema["doc_id"], *kind.fields]))
 
 
 @query(r"""WITH w AS (SELECT item_id, string_split_regex(trim(regexp_replace(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x00-\x2F\x3A-\x60\x7B-\x7F]+',' ','g')),' ') AS w FROM benchmark),

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrays import slices
 from .common import even, in_arrow, narrow, query, table
@@ -158,12 +159,11 @@ def _score(batches, sent):
             yield [*[part.column(c) for c in part.schema.names], pa.array(score)]
 
 
-def scored(docs: DataFrame, weights: dict) -> DataFrame:
-    """All columns of docs, which has `text`, and quality_score (a name the operator owns: an input column of it is replaced)."""
-    base = docs.drop("quality_score")
+def scored(docs: DataFrame, weights: dict, score: str = "score") -> DataFrame:
+    """All columns of docs, which has `text`, and the score; an input column of the score's name is replaced."""
+    base = docs.drop(score)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", quality_score double"
-    return in_arrow(base, lambda b: _score(b, sent), kind)
+    return in_arrow(base, lambda b: _score(b, sent), StructType([*base.schema.fields, StructField(score, DoubleType())]))
 
 
 def _fold():
@@ -181,5 +181,5 @@ def op4_quality(spark, d):
     """Quality score of every document."""
     docs = table(spark, d, "documents")
     out = scored(even(narrow(docs, doc_id="doc_id", text="text"), "doc_id"), model(docs, table(spark, d, "labels")))
-    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
-                      (F.col("quality_score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -30,9 +30,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import expand, mix, powers, prefix_hashes, slices
-from .common import even, in_arrow, materialise, narrow, query, table, task_count
+from .common import carried, even, fields, in_arrow, materialise, query, table, task_count
 from .suffix_sort import common_prefixes, join, suffix_array
 
 LENGTH = 100
@@ -239,7 +240,7 @@ def _apply(batches, length, texts):
             for column, v in zip(rows, (len(raw), len(raw) - len(left), len(ranges) // 2, ranges, hashlib.sha256(left).hexdigest(), left if texts else None), strict=False):
                 column.append(v)
         yield [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.list_(pa.int64())),
-               pa.array(rows[4]), pa.array(rows[5], pa.binary())]
+               pa.array(rows[4]), *([pa.array(rows[5], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in rows[5]], pa.string()), batch.column("text"), batch.column("carried")] if texts else [])]
 
 
 def _hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
@@ -276,21 +277,28 @@ def covered_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, ranges (removed byte ranges, flat), kept_sha256, kept (remaining bytes, if `texts`)."""
-    base = even(narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id")
-    own = base.where("doc_id IS NOT NULL").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("print"))
-    twice = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("print")).where("n > 1")
+    """doc_id, n_bytes, n_removed, n_spans, ranges (removed byte ranges, flat), kept_sha256 of every row.
+
+    With `texts` also kept (remaining bytes), kept_text (its whole characters), text and carried (the other columns).
+    """
+    rest = [carried(docs, doc_id, text)] if texts else []
+    base = even(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"), *rest), "doc_id")
     used = base.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     base = base.withColumn("own", F.col("doc_id"))
-    if narrow(docs, doc_id=doc_id).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        twice = materialise(twice, "repeated").select(F.col("doc_id").alias("id"), "print")
-        stay = F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("print")
-        single = used.join(twice, used["doc"] == twice["id"], "left").where(F.col("id").isNull() | stay)
-        used = single.dropDuplicates(["doc"]).select("doc", "text")
-        base = base.join(twice, base["doc_id"] == twice["id"], "left").withColumn("own", F.when(F.col("id").isNull() | stay, F.col("doc_id"))).select("doc_id", "text", "own")
+    twice = materialise(docs.select(docs[doc_id].cast("bigint").alias("id")).where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if twice.limit(1).count():
+        mark = F.sha2(F.coalesce("text", F.lit("")), 256)
+        least = used.join(twice.select(F.col("id").alias("doc")), "doc", "left_semi").groupBy(F.col("doc").alias("id")).agg(F.min(mark).alias("print"))
+        least = materialise(least, "repeated")
+        stay = F.col("id").isNull() | (mark == F.col("print"))
+        met = used.join(least, used["doc"] == least["id"], "left").where(stay)
+        used = met.where("id IS NULL").select("doc", "text").union(met.where("id IS NOT NULL").select("doc", "text").distinct())
+        base = base.join(least, base["doc_id"] == least["id"], "left").withColumn("own", F.when(stay, F.col("doc_id"))).drop("id", "print")
     covered = covered_windows(used.where(F.octet_length("text") >= length), length)
-    placed = base.join(covered.withColumnRenamed("doc", "own"), "own", "left").select("doc_id", "text", "payload")
-    kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, ranges array<bigint>, kept_sha256 string, kept binary"
+    placed = base.join(covered.withColumnRenamed("doc", "own"), "own", "left").select("doc_id", "text", "payload", *["carried"] * texts)
+    kind = fields("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, ranges array<bigint>, kept_sha256 string")
+    if texts:
+        kind = StructType([*kind.fields, *fields("kept binary, kept_text string, text string", base.schema["carried"]).fields])
     return in_arrow(placed, lambda b: _apply(b, length, texts), kind)
 
 
