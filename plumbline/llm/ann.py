@@ -4,7 +4,7 @@
 * A random rotation makes any leading components of a vector a fair sample of it; vectors are kept in blocks of one list, the
   rotated components in column blocks of COLUMNS.
 * A task scans one block for up to QUERIES queries. The first column block is one matrix product for all pairs. The candidates
-  nearest by it give each query a bound, the exact distance of its k-th. Every other pair goes on from column block to column
+  nearest by it give each query a bound, the k-th of their exact distances. Every other pair goes on from column block to column
   block only while the hypothesis that its whole distance lies below the bound stands: partial * D / d <= bound * (1 + E/sqrt(d))^2.
 * Survivors are scored by the inner product of the original vectors in double precision.
 
@@ -36,6 +36,8 @@ LISTS = 4096
 SAMPLE = 65536
 TARGET = 0.96
 EPSILON = 2.1
+LEADERS = 8  # times k vectors, the nearest by the first column block, give the bound
+DENSE = 0.05
 ROUNDS = 10
 
 
@@ -111,33 +113,47 @@ class Model:
 
 
 def scan(q: np.ndarray, x: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) that may be among the k nearest of the block; x is the list of column blocks."""
+    """Pairs (query, vector) that may be among the k nearest of the block; x is the list of column blocks.
+
+    While many pairs stand a column block is one matrix product, after that it is read for the standing pairs alone.
+    """
     n, d = len(x[0]), q.shape[1]
     edge = np.concatenate(([0], np.cumsum([b.shape[1] for b in x])))
 
+    def whole(b: int) -> np.ndarray:
+        mine = q[:, edge[b]:edge[b + 1]]
+        return (mine * mine).sum(1)[:, None] + (x[b] * x[b]).sum(1) - 2 * mine @ x[b].T
+
     def part(b: int, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
         diff = q[qi, edge[b]:edge[b + 1]] - x[b][xi]
         return np.einsum("ij,ij->i", diff, diff)
 
-    head = q[:, :edge[1]]
-    near = np.maximum((head * head).sum(1)[:, None] + (x[0] * x[0]).sum(1) - 2 * head @ x[0].T, 0)
-    if n <= 2 * k or len(x) == 1:
+    if n <= LEADERS * k or len(x) == 1:
         qi = np.repeat(np.arange(len(q)), n)
         return qi, np.tile(np.arange(n), len(q))
-    first = np.argpartition(near, k, 1)[:, :k]
-    qi = np.repeat(np.arange(len(q)), k)
-    full = np.take_along_axis(near, first, 1).ravel()
-    for b in range(1, len(x)):
-        full = full + part(b, qi, first.ravel())
-    bound = full.reshape(-1, k).max(1) * (1 + 1e-5)
-    limit = lambda seen: (1 + EPSILON / math.sqrt(seen)) ** 2 * seen / d
-    qi, xi = np.nonzero(near <= (bound * limit(edge[1]))[:, None])
-    sofar = near[qi, xi]
+    near = np.maximum(whole(0), 0)
+    first = np.argpartition(near, LEADERS * k - 1, 1)[:, :LEADERS * k]
+    qi, xi = np.repeat(np.arange(len(q)), LEADERS * k), first.ravel()
+    full = near[qi, xi] + sum(part(b, qi, xi) for b in range(1, len(x)))
+    best = np.argpartition(full.reshape(len(q), -1), k - 1, 1)[:, :k]
+    bound = np.take_along_axis(full.reshape(len(q), -1), best, 1).max(1) * (1 + 1e-5)
+    own = np.take_along_axis(first, best, 1).ravel()
+    limit = lambda seen: (1 + EPSILON / math.sqrt(seen)) ** 2 * seen / d if seen < d else 1
+    standing, pairs = near <= (bound * limit(edge[1]))[:, None], None
     for b in range(1, len(x)):
-        sofar = sofar + part(b, qi, xi)
-        keep = sofar <= bound[qi] * (limit(edge[b + 1]) if b + 1 < len(x) else 1)
-        qi, xi, sofar = qi[keep], xi[keep], sofar[keep]
-    return np.concatenate((qi, np.repeat(np.arange(len(q)), k))), np.concatenate((xi, first.ravel()))  # rounding may not lose the bound's own
+        if pairs is None and standing.mean() > DENSE:
+            near += whole(b)
+            standing &= near <= (bound * limit(edge[b + 1]))[:, None]
+            continue
+        if pairs is None:
+            qi, xi = np.nonzero(standing)
+            pairs = near[qi, xi]
+        pairs = pairs + part(b, qi, xi)
+        keep = pairs <= bound[qi] * limit(edge[b + 1])
+        qi, xi, pairs = qi[keep], xi[keep], pairs[keep]
+    if pairs is None:
+        qi, xi = np.nonzero(standing)
+    return np.concatenate((qi, np.repeat(np.arange(len(q)), k))), np.concatenate((xi, own))  # rounding may not lose the bound's own
 
 
 def _top(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int):
