@@ -23,7 +23,7 @@ from .scale import attach, fits_broadcast, materialise
 # 200 temperatures, evenly spaced in log from 0.25 to 50.
 GRID_SIZE, GRID_LOW, GRID_HIGH = 200, 0.25, 50.0
 GRID = [math.exp(math.log(GRID_LOW) + (math.log(GRID_HIGH) - math.log(GRID_LOW)) * i / (GRID_SIZE - 1)) for i in range(GRID_SIZE)]
-STRIDE = 14
+PROBES = 9
 RIDGE = 1e-2
 MIN_SLICE_ROWS = 20
 POOLED = "*"
@@ -43,46 +43,51 @@ def items(preds: DataFrame) -> DataFrame:
 MAX_INLINE = 32
 
 
-def _grid_losses(data: DataFrame, by: list[str], points, options: int) -> DataFrame:
-    """(by, i, nll, n): summed loss per grid point, the log of the summed odds against the gold option of every row.
+def _grid_losses(data: DataFrame, by: list[str], temperatures: list, options: int) -> DataFrame:
+    """(by, n, l0, l1, ...): summed loss per temperature column, the log of the summed odds against the gold option of every row.
 
-    The odds of up to 32 options are written out term by term, which keeps the hot loop in generated code; a row with more
-    options is summed by a higher-order function.
+    One aggregate with a sum per temperature, no row is copied. The odds of up to MAX_INLINE options are columns, written out
+    term by term in generated code; a row with more options is summed by a higher-order function.
     """
-    t = F.get(F.array(*[F.lit(x) for x in GRID]), F.col("i"))
-    each = data.select(*by, "d", F.explode(points).alias("i")).withColumn("t", t)
-    terms = [F.exp(F.coalesce(F.get("d", F.lit(j)), F.lit(float("-inf"))) / F.col("t")) for j in range(min(options, MAX_INLINE))]
-    odds = terms[0]
-    for term in terms[1:]:
-        odds = odds + term
-    if options > MAX_INLINE:
-        odds = F.when(F.size("d") <= MAX_INLINE, odds).otherwise(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(x / F.col("t"))))
-    return each.select(*by, "i", F.log(odds).alias("nll")).groupBy(*by, "i").agg(F.sum("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
+    width = min(options, MAX_INLINE)
+    flat = data.withColumns({f"_d{j}": F.coalesce(F.get("d", F.lit(j)), F.lit(float("-inf"))) for j in range(width)})
+
+    def loss(t):
+        odds = F.exp(F.col("_d0") / t)
+        for j in range(1, width):
+            odds = odds + F.exp(F.col(f"_d{j}") / t)
+        if options > MAX_INLINE:
+            odds = F.when(F.size("d") <= MAX_INLINE, odds).otherwise(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(x / t)))
+        return F.log(odds)
+
+    return flat.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(loss(t)).alias(f"l{k}") for k, t in enumerate(temperatures)])
 
 
 def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, temperature, n): the grid point with the lowest mean loss, the lowest temperature winning a tie.
 
-    The loss is convex in 1/T, so its grid has one valley: a coarse pass over every 14th point finds the valley's
-    neighbourhood and a second pass scores the points in it. 42 evaluations a row give the same minimum as all 200.
+    The loss is convex in 1/T, so its grid has one valley. A round scores PROBES points of every group's stretch of the grid
+    and keeps the stretch between the neighbours of the best one, until a round has scored every point that is left: four
+    rounds and 36 scores a row give the same minimum as all 200. A round is one aggregate over narrow rows with few enough
+    terms to be compiled. Rounding keeps summation order from deciding between points that are equal.
     """
     by = list(by)
     narrow = rows.select(*by, F.expr("transform(z, v -> v - get(z, g))").alias("d"))
     data = materialise(narrow, "logits", for_cpu=True)
     options = data.agg(F.max(F.size("d"))).first()[0] or 1
-    coarse = sorted({*range(0, GRID_SIZE, STRIDE), GRID_SIZE - 1})
-
-    def best_of(df, points):
-        losses = _grid_losses(df, by, points, options)
-        # rounding keeps summation order from deciding between points that are equal
-        top = losses.groupBy(*by).agg(F.min_by("i", F.struct(F.round(F.col("nll") / F.col("n"), 12).alias("l"), "i")).alias("i"), F.max("n").alias("n"))
-        return top
-
-    first = materialise(best_of(data, F.array(*[F.lit(i) for i in coarse])), "coarse")
-    placed = attach(data, first.select(*by, F.col("i").alias("_at")), by, ready=True)
-    near = F.sequence(F.greatest(F.col("_at") - STRIDE, F.lit(0)), F.least(F.col("_at") + STRIDE, F.lit(GRID_SIZE - 1)))
-    fine = best_of(placed, near)
-    return fine.select(*by, F.get(F.array(*[F.lit(t) for t in GRID]), F.col("i")).alias("temperature"), "n")
+    grid = F.array(*[F.lit(t) for t in GRID])
+    point = lambda k: F.round(F.col("low") + (F.col("high") - F.col("low")) * F.lit(k / (PROBES - 1))).cast("int")
+    held, width = data.withColumns({"low": F.lit(0), "high": F.lit(GRID_SIZE - 1)}), GRID_SIZE - 1
+    while True:
+        placed = held.withColumns({f"_t{k}": F.get(grid, point(k)) for k in range(PROBES)})
+        losses = _grid_losses(placed, [*by, "low", "high"], [F.col(f"_t{k}") for k in range(PROBES)], options)
+        mean = F.array(*[F.struct(F.round(F.col(f"l{k}") / F.col("n"), 12).alias("l"), F.lit(k).alias("k")) for k in range(PROBES)])
+        best, points = F.array_min(mean)["k"], F.array(*[point(k) for k in range(PROBES)])
+        if width < PROBES:
+            return losses.select(*by, F.get(grid, F.get(points, best)).alias("temperature"), "n")
+        width = 2 * (-(-width // (PROBES - 1)) + 1)
+        ends = losses.select(*by, F.get(points, F.greatest(best - 1, F.lit(0))).alias("low"), F.get(points, F.least(best + 1, F.lit(PROBES - 1))).alias("high"))
+        held = attach(data, materialise(ends, "stretch"), by, ready=True, spread=["d"])
 
 
 def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:

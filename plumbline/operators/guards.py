@@ -83,20 +83,21 @@ def shared_families(a: DataFrame, b: DataFrame, family: str = "family_id") -> Da
 def first_source_wins(rows: DataFrame, text: str, priority: str, idx: str, min_chars: int = 8) -> DataFrame:
     """One row per normalised text over all pools: the lowest (priority, idx). Texts under min_chars drop.
 
-    The minimum is taken on the map side first, so copies of one text never meet in a single sort.
+    (priority, idx) names a row. Only hashes and names are aggregated, on the map side first; the texts meet the winners' names.
     """
     trimmed = F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     clean = rows.withColumn(text, trimmed).where(F.length(text) >= min_chars)
     keyed = clean.withColumn("_h", text_hash(text))
-    best = keyed.groupBy("_h").agg(F.min_by(F.struct(*rows.columns), F.struct(priority, idx)).alias("r"))
-    return best.select("r.*")
+    best = keyed.groupBy("_h").agg(F.min(F.struct(priority, idx)).alias("_r")).select("_h", f"_r.{priority}", f"_r.{idx}")
+    return keyed.join(best, ["_h", priority, idx], "left_semi").select(*rows.columns)
 
 
 def drop_exact_copies(rows: DataFrame, states: Sequence[str], order: str) -> DataFrame:
-    """One row per canonical content of some columns: the lowest `order`."""
+    """One row per canonical content of some columns: the lowest `order`, which names a row."""
     key = F.sha2(F.concat_ws("\u001f", *[F.coalesce(canonical_json(s), F.lit("null")) for s in states]), 256)
-    best = rows.withColumn("_h", key).groupBy("_h").agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r"))
-    return best.select("r.*")
+    keyed = rows.withColumn("_h", key)
+    best = keyed.groupBy("_h").agg(F.min(order).alias(order))
+    return keyed.join(best, ["_h", order], "left_semi").select(*rows.columns)
 
 
 def usage_violations(sources: DataFrame, registry: DataFrame, use: str = "train") -> DataFrame:

@@ -1,7 +1,7 @@
 """Shared ways to keep an operator whole when one key holds a large part of the rows.
 
 * `materialise` writes an intermediate table to the shared folder and reads it back, which cuts the lineage.
-* `attach` joins facts to a one-row-per-key table: broadcast when the counted size allows it, salted otherwise.
+* `attach` joins facts to a one-row-per-key table: broadcast when rows and bytes allow it, with salted hot keys otherwise.
 * `hash_positions` and `take_by_hash` rank and sample a group without ever sorting the group in one task.
 * `running_totals` gives exact prefix sums of an ordered group, block by block.
 """
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_order
 
-BROADCAST_ROWS = 200_000  # narrow rows only: ids, counts and a few numbers, a few dozen MB at most
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
+HOT_SHARE = 64  # a key with more than one of 64 rows is hot
 HASH_DIGITS = 4  # 65,536 blocks per group
 BLOCKS = 256
+BLOCK_ROWS = 4_000_000
 STEP = 16
 
 
@@ -69,27 +72,46 @@ def spread(df: DataFrame, *ids: str) -> DataFrame:
     return df.repartition(cores, *ids) if df.rdd.getNumPartitions() < cores else df
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Both the rows and the bytes of a table stay under their bounds, counted in one job that stops at max_rows."""
+    from pyspark.sql import types as T
+
+    def width(f):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.col(f"`{f.name}`"))), F.lit(0)) + 16
+        return F.lit(8)
+
+    total = F.lit(0).cast("bigint")
+    for f in dim.schema.fields:
+        total = total + width(f)
+    n, size = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner", spread: Sequence[str] = (),
            ready: bool = False, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join facts to a narrow table with at most one row per key, whatever the skew of the keys on the facts' side.
+    """Join facts to a table with at most one row per key, whatever the skew of the keys on the facts' side.
 
-    The table is written first (unless ready), so its size is known: up to max_rows it is broadcast, and the facts do not
-    move. A larger one is copied to every salt and the facts are spread by a hash of their `spread` columns, so one hot key
-    is shared by SALTS tasks.
+    The table is written first (unless ready), so its size is known: within the bounds of fits_broadcast it is broadcast, and
+    the facts do not move. Of a larger one only the hot keys (more than one of HOT_SHARE facts, so HOT_SHARE keys at most) are
+    copied to every salt, by a hash of the facts' `spread` columns; all others are joined plainly.
     """
     if not ready:
         dim = materialise(dim, "dim")
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), list(on), how)
-    if not spread:
-        return facts.join(dim, list(on), how)  # adaptive execution splits skewed partitions of a plain join
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    counts = materialise(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_k")), "keys")
+    total = counts.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
+    hot = materialise(counts.where(F.col("_k") > total / HOT_SHARE).select(*on), "hot")
+    if not spread or not hot.limit(1).count():
+        return facts.join(dim, on, how)
+    cold = facts.join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
+    salted = facts.join(F.broadcast(hot), on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = dim.join(F.broadcast(hot), on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cold.unionByName(salted.join(copies, [*on, "_salt"], how).drop("_salt"))
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -149,16 +171,17 @@ def take_by_hash(df: DataFrame, quota: int | Column | DataFrame, by: Sequence[st
     return sure.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
-def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """Inclusive prefix sums `sums = {new: column}` along a numeric `order` that is unique within its group.
+def _ordered_blocks(base: DataFrame, keys: list[str], order: str, sums: Sequence[str], descending: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with their block `_b`, and per (group, block) the sums before it `_o<i>` and inside it `_t<i>`.
 
-    Approximate quantiles cut each group into blocks (written once, so every use sees the same edges); block totals give the
-    offsets; only a block is ordered in one task. The result is exact for any edges.
+    Approximate quantiles cut each group into blocks, as many as keep a block near BLOCK_ROWS rows (written once, so every
+    use sees the same edges); the result is exact for any edges.
     """
-    base, keys = _grouping(df, by)
-    quantiles = [i / BLOCKS for i in range(1, BLOCKS)]
-    found = base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, 2_000).alias("_edges"))
-    every = F.sequence(F.lit(STEP - 1), F.lit(BLOCKS - 2), F.lit(STEP))
+    largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    blocks = max(BLOCKS, -(-largest // BLOCK_ROWS))
+    quantiles = [i / blocks for i in range(1, blocks)]
+    found = base.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), quantiles, max(2_000, 8 * blocks)).alias("_edges"))
+    every = F.sequence(F.lit(STEP - 1), F.lit(blocks - 2), F.lit(STEP))
     edges = materialise(found.withColumn("_steps", F.transform(every, lambda i: F.get("_edges", i))), "edges")
     placed = attach(base, edges, keys, spread=[order], ready=True)
     value = F.col(order).cast("double")
@@ -166,9 +189,18 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
     placed = placed.withColumn("_s", below("_steps") * STEP)  # the steps first, then the edges of one step
     block = F.col("_s") + below(F.slice("_edges", F.col("_s") + 1, F.lit(STEP)))
     placed = placed.withColumn("_b", -block if descending else block).drop("_edges", "_steps", "_s")
-    blocks = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    sizes = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])
+    return placed, sizes.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))], *[f"_t{i}" for i in range(len(sums))])
+
+
+def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Inclusive prefix sums `sums = {new: column}` along a numeric `order` that is unique within its group.
+
+    Block totals give the offsets; only a block is ordered in one task.
+    """
+    base, keys = _grouping(df, by)
+    placed, offsets = _ordered_blocks(base, keys, order, list(sums.values()), descending)
     sort = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*keys, "_b").orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.join(offsets, [*keys, "_b"])
@@ -178,12 +210,21 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str,
 
 
 def values_at(df: DataFrame, by: Sequence[str], value: str, index) -> DataFrame:
-    """The value at a zero-based index of each group's sorted values; index maps names to expressions over `n`."""
+    """The value at a zero-based index of each group's sorted values; index maps names to expressions over `n`.
+
+    Equal values are counted first; block counts tell which blocks hold the wanted ranks, and only those are sorted.
+    """
     base, keys = _grouping(df.where(F.col(value).isNotNull()), by)
     counts = materialise(base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "counts")
-    run = running_totals(counts, keys, value, {"_upto": "_c"})
+    placed, offsets = _ordered_blocks(counts, keys, value, ["_c"], False)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    joined = attach(run, sizes, keys, spread=[value])
+    holds = F.lit(False)
+    for i in index.values():
+        holds = holds | ((F.col("_o0") <= i) & (i < F.col("_o0") + F.col("_t0")))
+    wanted = materialise(offsets.join(sizes, keys).where(holds).select(*keys, "_b", "_o0", "n"), "blocks")
+    rows = attach(placed, wanted, [*keys, "_b"], ready=True, spread=[value])
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("_upto", F.col("_o0") + F.sum("_c").over(inside))
     first = F.col("_upto") - F.col("_c")
     picks = [F.max(F.when((first <= i) & (i < F.col("_upto")), F.col(value))).alias(name) for name, i in index.items()]
-    return joined.groupBy(*keys).agg(F.max("n").alias("n"), *picks).drop("_all")
+    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *picks).drop("_all")
