@@ -83,6 +83,16 @@ def assess(preds: DataFrame, base_run: str, watched: Sequence[str], alpha: float
     return s.join(F.broadcast(slice_mean_accuracy(preds).select("run_id", "mean_accuracy")), "run_id")  # one row per run
 
 
+def assess_suites(preds: DataFrame, base_run: str, watched: Sequence[str], regression: str, accuracy: str, alpha: float = ALPHA) -> DataFrame:
+    """The report over two suites: regressions are counted on one, accuracy on the other, coverage is the lower of both."""
+    left = assess(preds.where(F.col("suite") == regression), base_run, watched, alpha).drop("mean_accuracy", "accuracy_change", "non_inferior", "eligible", "eligible_non_inferior")
+    right = assess(preds.where(F.col("suite") == accuracy), base_run, watched, alpha)
+    right = right.select("run_id", F.col("coverage").alias("_other"), "mean_accuracy", "accuracy_change", "non_inferior")
+    both = left.join(right, "run_id").withColumn("coverage", F.least("coverage", "_other")).drop("_other")  # one row per run
+    covered = F.col("coverage") >= MIN_COVERAGE
+    return both.withColumn("eligible", covered & ~F.col("regresses")).withColumn("eligible_non_inferior", covered & F.col("non_inferior"))
+
+
 def missing_candidates(preds: DataFrame, names: DataFrame) -> DataFrame:
     """Named candidates without one comparable answer: coverage 0, never eligible."""
     seen = comparable(preds).select("run_id").distinct()

@@ -130,6 +130,9 @@ def attribution(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and sha256 of every file under a path. A file is one value, so release files stay of bounded size."""
+    """Name, size and sha256 of every file under a path. A file is one value, so release files stay of bounded size.
+
+    The reader passes over empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

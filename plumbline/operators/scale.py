@@ -30,9 +30,10 @@ STEP = 16
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only for a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

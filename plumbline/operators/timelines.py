@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import attach, materialise
+
+BUCKET_ROWS = 2_000_000
+
 
 def with_previous(df: DataFrame, by: Sequence[str], ts: str, event_id: str, values: Sequence[str], depth: int = 1, unit: str = "hour") -> DataFrame:
     """Adds prev_<value>_1 .. prev_<value>_<depth>: the values of the preceding events of the same key, null where there is none.
 
     Exact: a bucket hands its last `depth` events on, and since no bucket is empty the `depth` buckets before it hold all the
-    events that can be needed. A task ranks one (key, bucket), not one key; the carried events are a small table.
+    events that can be needed. A task ranks one (key, bucket), not one key; the carried events are a small table. A bucket of
+    more than BUCKET_ROWS events is cut into seconds.
     """
     by, values = list(by), list(values)
-    keyed = df.withColumn("_bucket", F.date_trunc(unit, ts))
+    keyed = _bucketed(df, by, ts, unit)
     order = F.struct(F.col(ts).alias("t"), F.col(event_id).alias("i"), *[F.col(v).alias(f"v{n}") for n, v in enumerate(values)])
     tails = _last_events(keyed, by, order, depth)
     none = F.array().cast(tails.schema["_tail"].dataType)
@@ -32,6 +37,15 @@ def with_previous(df: DataFrame, by: Sequence[str], ts: str, event_id: str, valu
     return both.select("*", *lags).where("_own").drop("_own", "_bucket")
 
 
+def _bucketed(df: DataFrame, by: list[str], ts: str, unit: str) -> DataFrame:
+    keyed = df.withColumn("_bucket", F.date_trunc(unit, ts))
+    full = materialise(keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).select(*by, "_bucket", F.lit(True).alias("_full")), "full")
+    if not full.limit(1).count():
+        return keyed
+    marked = attach(keyed, full, [*by, "_bucket"], "left", ready=True)
+    return marked.withColumn("_bucket", F.when(F.col("_full"), F.date_trunc("second", ts)).otherwise(F.col("_bucket"))).drop("_full")
+
+
 def _last_events(keyed: DataFrame, by: list[str], event, depth: int) -> DataFrame:
     """(by, bucket, _tail): the last `depth` events of each bucket in order. The rank limit prunes before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(F.desc("e.t"), F.desc("e.i")))

@@ -197,10 +197,8 @@ def streaming_labels(spark, d):
         return run
 
     J.label_stream(rows, label("first", 0.1), f"{root}/labels", f"{root}/retry", f"{root}/checkpoint").awaitTermination()
-    again = J.retry_rows(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "text"), spark, f"{root}/labels", f"{root}/retry")
-    second = label("second", 0.0)(again)
-    first = spark.read.parquet(f"{root}/labels/batch=*")
-    return first.select("row_id", "teacher").unionByName(second.select("row_id", "teacher"))
+    J.retry_labels(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "text"), label("second", 0.0), f"{root}/labels", f"{root}/retry")
+    return J.read_labels(spark, f"{root}/labels").select("row_id", "teacher")
 
 
 @query("SELECT doc_id,length(text) AS n FROM documents WHERE length(text) BETWEEN 60 AND 1500 AND regexp_matches(text,'tion')")
@@ -213,6 +211,15 @@ def streaming_filtered_pass(spark, d):
     return spark.read.parquet(f"{root}/kept/batch=*").select("doc_id", F.length("text").alias("n"))
 
 
+@query("""WITH seen AS (SELECT doc_id,text FROM documents ORDER BY doc_id LIMIT 150) SELECT doc_id FROM (SELECT doc_id FROM seen WHERE length(text) BETWEEN 60 AND 1500 ORDER BY doc_id LIMIT 40)""")
+def streaming_early_stop(spark, d):
+    """A filtered pass that stops keeping at 40 kept or 150 seen rows; the stop is the feature."""
+    root = new_path(spark, "stop")
+    s = J.read_files(spark, f"{d}/[d]ocuments.parquet", table(spark, d, "documents").schema)
+    J.filtered_pass(s, F.length("text").between(60, 1500), f"{root}/kept", f"{root}/counts", f"{root}/checkpoint", max_kept=40, max_seen=150, order="doc_id").awaitTermination()
+    return spark.read.parquet(f"{root}/kept/batch=*").select("doc_id")
+
+
 @query(R + ITEMS + fit_sql("items", []) + f""", q AS (SELECT event_id,event_id%4=3 AS bad,CASE WHEN event_id%3=0 THEN 'noul' WHEN event_id%3=1 THEN 'choice' ELSE 'score' END AS task_type,CASE WHEN event_id%3=0 THEN ['false','true'] WHEN event_id%3=1 THEN ['a','b','c'] ELSE ['0','1','2'] END AS keys,'?' AS gold FROM events),
  w AS (SELECT *,{weights("'s1'", "0.0::DOUBLE", "event_id::VARCHAR")} AS w1,{weights("'s2'", "0.0::DOUBLE", "event_id::VARCHAR")} AS w2 FROM q WHERE NOT bad),
  p AS (SELECT *,list_transform(range(1,len(keys)+1), lambda i: CASE WHEN task_type='choice' THEN (w1[i]/list_sum(w1)+w2[i]/list_sum(w2))/2 ELSE w1[i]/list_sum(w1) END) AS p FROM w),

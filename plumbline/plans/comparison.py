@@ -63,6 +63,17 @@ def candidate_report(spark, d):
     return rounded(D.assess(_preds(spark, d), "base", WATCHED))
 
 
+def _suite_sql(suite):
+    return "(" + REPORT.replace("FROM predictions WHERE", f"FROM predictions WHERE suite='{suite}' AND") + " SELECT * FROM report)"
+
+
+@query(f"""WITH bo AS (SELECT l.* EXCLUDE (coverage,mean_accuracy,accuracy_change,non_inferior,eligible,eligible_non_inferior),least(l.coverage,r.coverage) AS coverage,r.mean_accuracy,r.accuracy_change,r.non_inferior FROM {_suite_sql('dev')} l JOIN {_suite_sql('test')} r USING (run_id))
+ SELECT * REPLACE (round(coverage,6) AS coverage,round(p,6) AS p,round(watched_cap,6) AS watched_cap,round(accuracy_change,6) AS accuracy_change,round(mean_accuracy,6) AS mean_accuracy),coverage>=0.98 AND NOT regresses AS eligible,coverage>=0.98 AND non_inferior AS eligible_non_inferior FROM bo""")
+def two_suite_report(spark, d):
+    """Regressions on the dev suite, accuracy on the test suite, coverage the lower of both."""
+    return rounded(D.assess_suites(_preds(spark, d), "base", WATCHED, "dev", "test"))
+
+
 def _choose_sql(flag):
     return REPORT + f""", c AS (SELECT (SELECT run_id FROM report WHERE {flag} ORDER BY mean_accuracy DESC,run_id DESC LIMIT 1) AS best,
  (SELECT run_id FROM report WHERE coverage>=0.98 ORDER BY accuracy_change DESC,mean_accuracy DESC,run_id DESC LIMIT 1) AS f,(SELECT count(*) FROM report) AS candidates,(SELECT count(*) FROM report WHERE {flag}) AS eligible)

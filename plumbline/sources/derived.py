@@ -49,15 +49,29 @@ def _json(**fields):
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str, int], str] = {}
+
+
+def _files(spark: SparkSession, d: str) -> int:
+    """A number for the names, sizes and times of the files the derived tables are made of."""
+    jvm = spark.sparkContext._jvm
+    seen = []
+    for name in ("documents", "labels", "orders", "embeddings"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
 
 
 def written(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     """A derived input table, written to the shared folder the first time a session asks for it.
 
     Runs and label files are inputs of the operators, so they are derived once and read afterwards, like any landed table.
+    Tables that were rewritten under the same path (other files, sizes or times) are derived anew.
     """
-    key = (spark.sparkContext.applicationId, d, name)
+    key = (spark.sparkContext.applicationId, d, name, _files(spark, d))
     if key in _WRITTEN:
         try:
             return spark.read.parquet(_WRITTEN[key])

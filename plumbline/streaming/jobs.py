@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.probability import argmax, expected_level, let, normalise, platt, softmax
 from ..operators.combine import served_two_orders
 from ..operators.guards import request_problems, retry_set
+from ..operators.scale import materialise
+
+LABEL_BUCKETS = 64
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -28,43 +31,67 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 
 def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What is in an output folder so far; empty before the first batch."""
+    """What is in an output folder so far, with its batch ids; empty before the first batch."""
     try:
-        return spark.read.schema(schema).parquet(f"{path}/batch=*")
+        return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
     except Exception as exc:  # no batch has been written yet
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         return spark.createDataFrame([], schema)
 
 
+def _bucket(row_id: str = "row_id"):
+    return F.pmod(F.xxhash64(row_id), F.lit(LABEL_BUCKETS)).cast("int")
+
+
+def _done(spark: SparkSession, labels_path: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """Ids that other batches have labelled, read from the hash buckets a batch touches and from no other column."""
+    schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    past = _written(spark, labels_path, schema).where(F.col("batch") != batch_id)
+    return past.where(F.col("bucket").isin(buckets)).select("row_id")
+
+
+def _store(records: DataFrame, labels_path: str, retry_path: str, batch_id: int) -> None:
+    """Label records of one batch, made once in a staging folder beside the store, then good ones and failed ones apart."""
+    spark = records.sparkSession
+    out = f"{labels_path}-staged/batch={batch_id}"
+    records.write.mode("overwrite").parquet(out)
+    good, bad = retry_set(spark.read.schema(records.schema).parquet(out))
+    good.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{labels_path}/batch={batch_id}")
+    bad.write.mode("overwrite").parquet(f"{retry_path}/batch={batch_id}")
+
+
 def label_stream(rows: DataFrame, label: Callable[[DataFrame], DataFrame], labels_path: str, retry_path: str, checkpoint: str) -> StreamingQuery:
-    """Label rows as they arrive: exactly one good label per row id, failed rows in a retry table.
+    """Label rows as they arrive: exactly one good label per row id in one label store, failed rows in a retry table.
 
     `label` maps rows to label records (row_id, ..., error). A row that already has a label is skipped, also when it arrives
-    twice in one batch or when a batch is replayed.
+    twice in one batch (of rows with one id the one with the smallest hash is labelled) or when a batch is replayed.
     """
     spark = rows.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        schema = label(batch.limit(0)).schema
-        done = _written(spark, labels_path, T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).where(F.col("batch") != batch_id)
-        todo = batch.dropDuplicates(["row_id"]).join(done.select("row_id"), "row_id", "left_anti")
-        records = label(todo)
-        out = f"{labels_path}/staged={batch_id}"
-        records.write.mode("overwrite").parquet(out)
-        staged = spark.read.schema(schema).parquet(out)
-        good, bad = retry_set(staged)
-        good.write.mode("overwrite").parquet(f"{labels_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{retry_path}/batch={batch_id}")
+        rest = [c for c in batch.columns if c != "row_id"]
+        once = batch.groupBy("row_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select("row_id", "_r.*") if rest else batch.distinct()
+        buckets = sorted(r[0] for r in batch.select(_bucket().alias("b")).distinct().collect())  # LABEL_BUCKETS at most
+        _store(label(once.join(_done(spark, labels_path, batch_id, buckets), "row_id", "left_anti")), labels_path, retry_path, batch_id)
 
     return _start(rows, each, checkpoint)
 
 
 def retry_rows(rows: DataFrame, spark: SparkSession, labels_path: str, retry_path: str) -> DataFrame:
-    """Rows of the retry table that still have no label: the input of the next run."""
+    """Rows of the retry table that still have no label: the input of the next attempt."""
     failed = spark.read.parquet(f"{retry_path}/batch=*").select("row_id").distinct()
-    done = spark.read.parquet(f"{labels_path}/batch=*").select("row_id").distinct()
-    return rows.join(failed, "row_id", "left_semi").join(done, "row_id", "left_anti")
+    return rows.join(failed, "row_id", "left_semi").join(_done(spark, labels_path, -1 << 62, list(range(LABEL_BUCKETS))), "row_id", "left_anti")
+
+
+def retry_labels(rows: DataFrame, label: Callable[[DataFrame], DataFrame], labels_path: str, retry_path: str, attempt: int = 1) -> None:
+    """One attempt (1, 2, ...) at the rows that failed, into the same label store; what fails again stays in the retry table."""
+    _store(label(retry_rows(rows, rows.sparkSession, labels_path, retry_path)), labels_path, retry_path, -attempt)
+
+
+def read_labels(spark: SparkSession, labels_path: str) -> DataFrame:
+    """The label store as a table."""
+    return spark.read.option("basePath", labels_path).parquet(f"{labels_path}/batch=*").drop("batch", "bucket")
 
 
 def filtered_pass(stream: DataFrame, keep, kept_path: str, counts_path: str, checkpoint: str, max_kept: int | None = None, max_seen: int | None = None,
@@ -116,7 +143,7 @@ def decision_stream(requests: DataFrame, scorer: Callable[[DataFrame], DataFrame
     """Requests to answers: a request with a problem goes to the rejected table, the rest is scored and calibrated."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        checked = request_problems(batch)
+        checked = materialise(request_problems(batch), "checked")
         checked.where(F.col("reject_reason").isNotNull()).select("request_id", "reject_reason").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
         good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
         answers(scorer(good), calibration).write.mode("overwrite").parquet(f"{answers_path}/batch={batch_id}")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -70,7 +71,7 @@ def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").appName("compare").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-")).getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     return spark
 
