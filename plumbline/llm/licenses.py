@@ -59,7 +59,10 @@ def phrases(docs: DataFrame, known: dict[str, str] = PHRASES) -> DataFrame:
     out = docs.withColumn("n_words", _words(F.col("lower")))
     for i, phrase in enumerate(known):
         cut = F.split("lower", _pattern(phrase), -1)  # the text between the places
-        out = out.withColumn(f"_cut{i}", F.when(F.col("lower").rlike(_pattern(phrase)), cut))
+        holds = F.lit(True)
+        for word in sorted(set(phrase.split()), key=len, reverse=True):  # a search for plain bytes spares most texts the pattern
+            holds = holds & F.contains("lower", F.lit(word))
+        out = out.withColumn(f"_cut{i}", F.when(holds & F.col("lower").rlike(_pattern(phrase)), cut))
     count = [F.coalesce(F.size(F.col(f"_cut{i}")) - 1, F.lit(0)) for i in range(len(known))]
     first = [_words(F.get(f"_cut{i}", F.lit(0))) for i in range(len(known))]
     last = [F.col("n_words") - _words(F.element_at(f"_cut{i}", -1)) - len(p.split()) for i, p in enumerate(known)]
@@ -77,7 +80,7 @@ def templates_found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     vocabulary = sorted({t for _, s in sets for t in s})
     literal = lambda tokens: F.array(*[F.lit(t) for t in tokens])
     blocks = docs.select("doc_id", F.posexplode(F.split("lower", "\n")).alias("line", "block"))
-    blocks = blocks.withColumn("tokens", F.regexp_extract_all("block", F.lit(f"{WORD}+"), F.lit(0))).drop("block")
+    blocks = blocks.withColumn("tokens", F.array_remove(F.split("block", f"{GAP}+"), "")).drop("block")
     held = blocks.select(F.explode(F.array_intersect(literal(vocabulary), "tokens")).alias("token"))
     counts = {r[0]: r[1] for r in held.groupBy("token").count().collect()}  # one row per template token at most
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
