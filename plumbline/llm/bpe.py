@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .arrays import lists, slices
-from .common import carried, even, fields, in_arrow, narrow, query, table
+from .common import CACHES, carried, even, fields, in_arrow, narrow, query, table
 from .pieces import SLICE_BYTES, Encoder
 
 LONG_PIECE = 256
-DUCK_MEMORY = "256MB"
+DUCK_MEMORY = "128MB"
+DUCK_PIECES = 15_000  # in one recursive query
+DUCK_IDS = 100_000  # in one decoding query
+TEXT_BYTES = SLICE_BYTES // 2
 MERGE = """
 WITH RECURSIVE step(piece, place, id, round) AS (
     SELECT piece, place, id, 0 FROM fresh
@@ -43,6 +46,8 @@ GROUP BY piece ORDER BY piece
 """  # place: byte position among all fresh pieces
 DECODE = "SELECT text, from_hex(string_agg(v.hex, '' ORDER BY place)) AS bytes FROM coded JOIN vocabulary v USING (id) GROUP BY text ORDER BY text"
 _MACHINES: dict[str, Machine] = {}
+CACHES.append((__name__, _MACHINES))
+CACHE_PIECES = 600_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +70,7 @@ class Machine:
         pairs, out = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         self._table("merges", pair=pairs, merged=out)
         self._table("vocabulary", id=np.array(list(self.rank.values()), np.int64), hex=[t.hex() for t in self.rank])
-        self.encoder = Encoder(self.encode)
+        self.encoder = Encoder(self.encode, CACHE_PIECES)
 
     def _table(self, name: str, **columns) -> None:
         arrow = pa.table(columns)
@@ -76,8 +81,9 @@ class Machine:
     def encode(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
         out: list = [[self.rank[r]] if r in self.rank else None for r in raw]
-        rows = [i for i, r in enumerate(raw) if out[i] is None and len(r) <= LONG_PIECE]
-        if rows:
+        every = [i for i, r in enumerate(raw) if out[i] is None and len(r) <= LONG_PIECE]
+        for a in range(0, len(every), DUCK_PIECES):
+            rows = every[a:a + DUCK_PIECES]
             size = np.array([len(raw[i]) for i in rows])
             data = np.frombuffer(b"".join(raw[i] for i in rows), np.uint8)
             self._table("fresh", piece=np.repeat(np.arange(len(rows)), size), place=np.arange(len(data)), id=self.byte_id[data])
@@ -129,7 +135,7 @@ def machine(path: str) -> Machine:
 def _encode(batches, path):
     m = machine(path)
     for batch in batches:
-        for part, data, off in slices(batch, limit=SLICE_BYTES):
+        for part, data, off in slices(batch, limit=TEXT_BYTES):
             ids, n = m.encoder.slice_ids(data, off)
             yield [part.column("doc_id"), lists(ids, n, pa.int32())]
 
@@ -140,7 +146,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return in_arrow(even(narrow(docs, doc_id=doc_id, text=text), "doc_id"), lambda b: _encode(b, path), kind)
 
 
-def _pieces(ids: np.ndarray, counts: np.ndarray, most: int = 400_000):
+def _pieces(ids: np.ndarray, counts: np.ndarray, most: int = DUCK_IDS):
     """Row ranges with at most `most` ids (one row at least)."""
     ends, i = np.cumsum(counts), 0
     while i < len(counts):
@@ -176,7 +182,7 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
 def _round_trip(batches, path):
     m = machine(path)
     for batch in batches:
-        for part, data, off in slices(batch, limit=SLICE_BYTES):
+        for part, data, off in slices(batch, limit=TEXT_BYTES):
             ids, n = m.encoder.slice_ids(data, off)
             found = [x for rows, mine in _pieces(ids, n) for x in m.decode(mine, n[rows])]
             yield [part.column("doc_id"), lists(ids, n, pa.int32()), pa.array(found, pa.binary()), part.column("carried")]

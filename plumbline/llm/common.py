@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from pathlib import Path
@@ -14,6 +17,9 @@ from pyspark.sql.types import StructField, StructType
 from ..operators.scale import materialise, shared_folder
 from ..sources.tables import table
 
+CACHES: list[tuple[str, dict]] = []  # (module, what it keeps in a worker process)
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20  # texts are long: a batch is bounded by bytes
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}  # freed arrays go back
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,14 +41,35 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([df[c].alias(new) for new, c in columns.items()])
 
 
+def _bytes(setting: str) -> int:
+    return int(setting.rstrip("bB"))
+
+
+def _forget(owner: str) -> None:
+    """A worker process serves many operators: what others keep between tasks is dropped before this one's memory grows."""
+    held = [(name, cache) for name, cache in CACHES if name != owner and cache]
+    for _, cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _apply(batches: Iterable[pa.RecordBatch], fn, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    _forget(getattr(fn, "__module__", ""))
     for out in fn(batches):
         yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
 
 def in_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from batches to lists of columns in the order of `schema`."""
-    env = df.sparkSession.sparkContext.environment
+    spark, env = df.sparkSession, df.sparkSession.sparkContext.environment
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
+    if _bytes(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if ROOT not in env.get("PYTHONPATH", ""):  # Python workers of a local session find this package wherever it was started
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     from pyspark.sql.pandas.types import to_arrow_schema

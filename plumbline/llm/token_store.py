@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import new_path
 from .arrays import expand, slices
-from .common import in_arrow, materialise, narrow, query, table, task_count
+from .common import CACHES, in_arrow, materialise, narrow, query, table, task_count
 from .pieces import SLICE_BYTES, Encoder
 
 MAGIC = b"DAC1"
@@ -38,6 +38,7 @@ SEGMENT_IDS = 6 << 20
 STEP = 512
 END_ID = 2
 _ENCODERS: dict[tuple, Encoder] = {}
+CACHES.append((__name__, _ENCODERS))
 
 
 def library_encoder(path: str, per_text: int = 400):
