@@ -8,6 +8,10 @@
   block only while the hypothesis that its whole distance lies below the bound stands: partial * D / d <= bound * (1 + E/sqrt(d))^2.
 * Survivors are scored by the inner product of the original vectors in double precision.
 
+Equal vectors are indexed once: one representative with the k + 1 smallest of its ids, which are all that can be among the k
+nearest of any query, so exact ties between copies go to the smaller ids. Distances are kept in single precision; no pair is
+dropped for a difference within the rounding of that (`MARGIN`).
+
 Rotation, centroids and the number of probed lists are fitted on a bounded sample (`sample` vectors, the first in hash order):
 lists are probed until TARGET of the sample's own neighbours are found, so evenly spread vectors need many lists and clustered
 ones few. All vectors are indexed. A list of any size is cut into blocks, so one hot list is many tasks.
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import expand
 from .common import in_arrow, materialise, narrow, query, table
 
 COLUMNS = 16
@@ -38,6 +43,7 @@ TARGET = 0.96
 EPSILON = 2.1
 LEADERS = 8  # times k vectors, the nearest by the first column block, give the bound
 DENSE = 0.05
+MARGIN = 32 * float(np.finfo(np.float32).eps)  # times |q|*|q| + |x|*|x|: rounding of a distance of any column blocks
 ROUNDS = 10
 
 
@@ -52,6 +58,20 @@ def usable(df: DataFrame, vec_id: str, vector: str, dimension: int | None = None
     return rows.where(F.size("vec") == dimension), dimension
 
 
+def distinct(base: DataFrame, k: int) -> DataFrame:
+    """id, ids, vec of all different vectors: the smallest of a vector's ids, and its k + 1 smallest.
+
+    Repeated rows are dropped first; the limit of the window holds before the rows meet by vector, so copies by the million
+    are k + 1 rows of a task.
+    """
+    rows = base.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).distinct()  # -0.0 is 0.0
+    rows = rows.select("id", "vec", F.xxhash64("vec").alias("hash"))
+    rank = F.row_number().over(Window.partitionBy("hash", "vec").orderBy("id"))
+    least = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    ids = F.array_sort(F.collect_list("id"))
+    return least.groupBy("hash", "vec").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("id"), "ids", "vec")
+
+
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dimension)
 
@@ -137,37 +157,41 @@ def scan(q: np.ndarray, x: list[np.ndarray], k: int) -> tuple[np.ndarray, np.nda
     full = near[qi, xi] + sum(part(b, qi, xi) for b in range(1, len(x)))
     best = np.argpartition(full.reshape(len(q), -1), k - 1, 1)[:, :k]
     bound = np.take_along_axis(full.reshape(len(q), -1), best, 1).max(1) * (1 + 1e-5)
+    slack = MARGIN * ((q * q).sum(1) + sum((b * b).sum(1) for b in x).max())
     own = np.take_along_axis(first, best, 1).ravel()
     limit = lambda seen: (1 + EPSILON / math.sqrt(seen)) ** 2 * seen / d if seen < d else 1
-    standing, pairs = near <= (bound * limit(edge[1]))[:, None], None
+    standing, pairs = near <= (bound * limit(edge[1]) + slack)[:, None], None
     for b in range(1, len(x)):
         if pairs is None and standing.mean() > DENSE:
             near += whole(b)
-            standing &= near <= (bound * limit(edge[b + 1]))[:, None]
+            standing &= near <= (bound * limit(edge[b + 1]) + slack)[:, None]
             continue
         if pairs is None:
             qi, xi = np.nonzero(standing)
             pairs = near[qi, xi]
         pairs = pairs + part(b, qi, xi)
-        keep = pairs <= bound[qi] * limit(edge[b + 1])
+        keep = pairs <= bound[qi] * limit(edge[b + 1]) + slack[qi]
         qi, xi, pairs = qi[keep], xi[keep], pairs[keep]
     if pairs is None:
         qi, xi = np.nonzero(standing)
     return np.concatenate((qi, np.repeat(np.arange(len(q)), k))), np.concatenate((xi, own))  # rounding may not lose the bound's own
 
 
-def _top(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int):
-    """The k best of each query by the original vectors, best first, ties to the smaller id."""
-    pair = np.unique(qi * len(vid) + xi)
-    qi, xi = pair // len(vid), pair % len(vid)
-    other = qid[qi] != vid[xi]
-    qi, xi = qi[other], xi[other]
+def _top(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, held: np.ndarray, v: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int):
+    """The k best of each query by the original vectors, best first, ties to the smaller id; vector i holds held[i] of the ids."""
+    pair = np.unique(qi * len(v) + xi)
+    qi, xi = pair // len(v), pair % len(v)
     score = np.einsum("ij,ij->i", q[qi], v[xi])
-    order = np.lexsort((vid[xi], -score, qi))
-    qi, xi, score = qi[order], xi[order], score[order]
+    n = held[xi]
+    found = vid[expand((np.cumsum(held) - held)[xi], n)]
+    qi, score = np.repeat(qi, n), np.repeat(score, n)
+    other = qid[qi] != found
+    qi, found, score = qi[other], found[other], score[other]
+    order = np.lexsort((found, -score, qi))
+    qi, found, score = qi[order], found[order], score[order]
     start = np.searchsorted(qi, np.arange(len(qid)))
     keep = np.arange(len(qi)) - start[qi] < k
-    return qid[qi[keep]], vid[xi[keep]], score[keep]
+    return qid[qi[keep]], found[keep], score[keep]
 
 
 def _assign(batches, sent, dimension, probes):
@@ -179,7 +203,9 @@ def _assign(batches, sent, dimension, probes):
             near = m.order(m.turn(x) if probes else m.lift(x), m.centroids, probes or 1)
             raw = [r.tobytes() for r in x]
             ids = np.repeat(part.column("id").to_numpy(), near.shape[1])
-            yield [pa.array(near.ravel().astype(np.int32)), pa.array(ids), pa.array([r for r in raw for _ in range(near.shape[1])], pa.binary())]
+            kept = [np.array(i, np.int64).tobytes() for i in part.column("ids").to_pylist()]
+            again = lambda values: pa.array([r for r in values for _ in range(near.shape[1])], pa.binary())
+            yield [pa.array(near.ravel().astype(np.int32)), pa.array(ids), again(kept), again(raw)]
 
 
 def _pack(frame: pd.DataFrame, sent, dimension: int, rotated: bool) -> pd.DataFrame:
@@ -189,18 +215,19 @@ def _pack(frame: pd.DataFrame, sent, dimension: int, rotated: bool) -> pd.DataFr
     if rotated:
         y = sent.value.lift(x)
         columns = [np.ascontiguousarray(y[:, a:a + COLUMNS]).tobytes() for a in range(0, y.shape[1], COLUMNS)]
-    return pd.DataFrame({"list": [frame["list"].iloc[0]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vecs": [x.tobytes()], "columns": [columns]})
+    held = np.array([len(i) // 8 for i in frame["ids"]], np.int64)
+    return pd.DataFrame({"list": [frame["list"].iloc[0]], "ids": [b"".join(frame["ids"])], "held": [held.tobytes()], "vecs": [x.tobytes()], "columns": [columns]})
 
 
 def _search(batches, sent, dimension, k):
     m = sent.value
     for batch in batches:
         for row in batch.to_pylist():
-            vid, qid = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+            vid, held, qid = (np.frombuffer(row[c], np.int64) for c in ("ids", "held", "query_ids"))
             v = np.frombuffer(row["vecs"], np.float64).reshape(-1, dimension)
             q = np.frombuffer(row["query_vecs"], np.float64).reshape(-1, dimension)
-            x = [np.frombuffer(c, np.float32).reshape(len(vid), -1) for c in row["columns"]]
-            a, b, s = _top(qid, q, vid, v, *scan(m.turn(q), x, k + 1), k)
+            x = [np.frombuffer(c, np.float32).reshape(len(v), -1) for c in row["columns"]]
+            a, b, s = _top(qid, q, vid, held, v, *scan(m.turn(q), x, k + 1), k)
             yield [pa.array(a), pa.array(b), pa.array(s)]
 
 
@@ -215,21 +242,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     size = min(sample, max(4096, 16 * round(math.sqrt(total) / 4)))
     chosen = base.orderBy(F.xxhash64("id"), "id").limit(size).select("vec").toArrow()
-    model = Model(_matrix(chosen.column("vec").combine_chunks(), dimension), norm2, total, k, lists)
+    drawn = _matrix(chosen.column("vec").combine_chunks(), dimension)
+    drawn = drawn[np.sort(np.unique(drawn, axis=0, return_index=True)[1])]  # copies say nothing about the lists
+    model = Model(drawn, norm2, total, k, lists)
     sent = spark.sparkContext.broadcast(model)
-    homes = materialise(in_arrow(base, lambda b: _assign(b, sent, dimension, 0), "list int, id bigint, vec binary"), "homes")
+    home = "list int, id bigint, ids binary, vec binary"
+    homes = materialise(in_arrow(distinct(base, k), lambda b: _assign(b, sent, dimension, 0), home), "homes")
     counts = homes.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     sizes = np.zeros(len(model.centroids), np.int64)
     for at, n in counts.collect():  # one row per list, LISTS at most
         sizes[at] = n
     probes = min(len(sizes), model.enough(sizes, 10 * k))
-    kind = "list int, ids binary, vecs binary, columns array<binary>"
+    kind = "list int, ids binary, held binary, vecs binary, columns array<binary>"
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / VECTORS))
     blocks = homes.join(F.broadcast(counts), "list").groupBy("list", block.alias("block")).applyInPandas(lambda f: _pack(f, sent, dimension, True), kind)
     asked, _ = usable(queries, vec_id, vector, dimension)
     asked = materialise(asked, "queries")
     chunks = max(1, math.ceil(asked.count() * probes / len(sizes) / QUERIES))
-    probed = in_arrow(asked, lambda b: _assign(b, sent, dimension, probes), "list int, id bigint, vec binary")
+    probed = in_arrow(asked.withColumn("ids", F.array("id")), lambda b: _assign(b, sent, dimension, probes), home)
     packs = probed.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")).applyInPandas(lambda f: _pack(f, sent, dimension, False), kind)
     units = blocks.join(packs.select("list", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs")), "list").drop("list")
     pairs = in_arrow(units, lambda b: _search(b, sent, dimension, k), found)

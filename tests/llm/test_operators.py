@@ -306,6 +306,30 @@ def test_nearest_odd_vectors(spark):
     assert ann.nearest(few, few, 20).count() == 5 * 4 and ann.nearest(df.where("1 = 0"), df, 20).count() == 0
 
 
+def test_copies_go_to_the_smaller_ids(spark):
+    """Many copies of the queries' vector in blocks of other vectors: exact ties, of which the smallest ids are due."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[rng.choice(2000, 600, replace=False)] = x[0]
+    copies = np.flatnonzero((x == x[0]).all(1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(int(copies[3]), x[0].tolist())] * 30, "vec_id long, embedding array<double>")
+    asked = copies[[0, 5, 300, 599]].tolist()
+    got = {}
+    for r in ann.nearest(df, df.where(F.col("vec_id").isin(asked)), 20, lists=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == {q: [int(c) for c in copies if c != q][:20] for q in asked}
+
+
+def test_near_ties_within_rounding_are_scored():
+    """More near copies than leaders, their differences below the rounding of single precision: none may be dropped."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=65)
+    x = np.concatenate((centre / np.linalg.norm(centre) + rng.normal(size=(400, 65)) * 1e-6, rng.normal(size=(1600, 65)))).astype(np.float32)
+    qi, xi = ann.scan(x[:5], [np.ascontiguousarray(x[:, a:a + ann.COLUMNS]) for a in range(0, 65, ann.COLUMNS)], 21)
+    assert all(set(range(400)) <= set(xi[qi == i].tolist()) for i in range(5))
+
+
 def test_probing_reaches_its_target(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(30, 16))
