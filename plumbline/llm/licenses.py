@@ -1,10 +1,11 @@
 """Licence scan: phrases in consecutive words, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text, its tokens are its distinct words. A template is found in a block that holds at least
-`containment` of the template's tokens. Tokens are ordered by the number of blocks that hold them, rarest first, counted over
+A block is a line of a text, or any run of consecutive words as long as the template, which finds notices wrapped over lines;
+its tokens are its distinct words. A template is found in a block that holds at least `containment` of the template's tokens. Tokens are ordered by the number of blocks that hold them, rarest first, counted over
 all texts. A block can only qualify if it holds one of a template's rarest |T| - need + 1 tokens (prefix filter), has `need`
 tokens (length filter), and has enough tokens left behind the common one in that order (positional filter); what passes is
-verified on the whole sets. Templates are a parameter of bounded size (MAX_TEMPLATES), so they are broadcast; no text moves,
+verified on the whole sets. Runs of words are looked at in texts of several lines which as a whole pass the same filters, and
+only at the places of the template's tokens. Templates are a parameter of bounded size (MAX_TEMPLATES), so they are broadcast; no text moves,
 only the few blocks that qualify are grouped by document. Everything is DataFrame functions.
 
 Defined cases: a null or empty text has no words and no labels. Rows that repeat an id share the templates found in any of
@@ -71,13 +72,28 @@ def phrases(docs: DataFrame, known: dict[str, str] = PHRASES) -> DataFrame:
                       F.array_max(F.array_compact(F.array(*last))).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"))
 
 
+def _wrapped(docs: DataFrame, order: Column, listed: DataFrame) -> DataFrame:
+    """doc_id, label, share of templates met by as many consecutive words as they have, wherever lines end."""
+    held = F.array_intersect(order, F.split("lower", f"{GAP}+"))
+    whole = docs.where(F.contains("lower", F.lit("\n"))).select("doc_id", "lower", held.alias("held"))
+    prefix = whole.where(F.size("held") > 0).select("*", F.posexplode("held").alias("here", "token"))
+    common = F.array_intersect("held", "template_tokens")
+    near = prefix.join(F.broadcast(listed), "token").where((F.size(common) >= F.col("need")) & (F.element_at(common, 1) == F.col("token")))  # once a template
+    words = F.array_remove(F.split("lower", f"{GAP}+"), "")
+    place = F.transform(words, lambda w, i: F.when(F.array_contains("template_tokens", w), F.struct(i.alias("at"), w.alias("word"))))
+    met = near.select("doc_id", "label", "size", "need", "span", F.array_compact(place).alias("places"))
+    run = lambda p, i: F.filter(F.slice("places", i + 1, F.col("span")), lambda o: o["at"] < p["at"] + F.col("span"))
+    best = F.array_max(F.transform("places", lambda p, i: F.size(F.array_distinct(F.transform(run(p, i), lambda o: o["word"])))))
+    return met.select("doc_id", "label", "size", "need", best.alias("best")).where(F.col("best") >= F.col("need")).select("doc_id", "label", (F.col("best") / F.col("size")).alias("share"))
+
+
 def templates_found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, found (labels), score (largest containment) of documents with a block that meets a template; docs has doc_id, lower."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     spark = docs.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({t for _, s in sets for t in s})
+    sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in templates]
+    vocabulary = sorted({t for _, s, _ in sets for t in s})
     literal = lambda tokens: F.array(*[F.lit(t) for t in tokens])
     blocks = docs.select("doc_id", F.posexplode(F.split("lower", "\n")).alias("line", "block"))
     blocks = blocks.withColumn("tokens", F.array_remove(F.split("block", f"{GAP}+"), "")).drop("block")
@@ -86,17 +102,18 @@ def templates_found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     place = {t: i for i, t in enumerate(order)}
     index = []
-    for i, (label, tokens) in enumerate(sets):
+    for i, (label, tokens, span) in enumerate(sets):
         ranked = sorted(tokens, key=place.get)
         need = math.ceil(containment * len(ranked) - 1e-9)
-        index += [(t, i, label, at, len(ranked), need, ranked) for at, t in enumerate(ranked[:len(ranked) - need + 1])]
-    listed = spark.createDataFrame(index, "token string, template int, label string, at int, size int, need int, template_tokens array<string>")
+        index += [(t, i, label, at, len(ranked), need, span, ranked) for at, t in enumerate(ranked[:len(ranked) - need + 1])]
+    listed = spark.createDataFrame(index, "token string, template int, label string, at int, size int, need int, span int, template_tokens array<string>")
     mine = blocks.select("doc_id", "line", F.array_intersect(literal(order), "tokens").alias("held"), F.size(F.array_distinct("tokens")).alias("length"))
     prefix = mine.where(F.size("held") > 0).select("*", F.posexplode("held").alias("here", "token"))
     left = F.least(F.col("size") - F.col("at"), F.size("held") - F.col("here"))
     near = prefix.join(F.broadcast(listed), "token").where((F.col("length") >= F.col("need")) & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("held", "template_tokens"))
     met = near.where(overlap >= F.col("need")).select("doc_id", "label", (overlap / F.col("size")).alias("share"))
+    met = met.unionByName(_wrapped(docs, literal(order), listed))
     return met.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
 
 

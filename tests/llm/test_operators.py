@@ -244,6 +244,19 @@ def test_licences(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_licence_notices_wrapped_over_lines(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation\n"
+           "files (the \"Software\"), to deal in the Software")
+    bsd = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that"
+    far = "released\n" + "one two three four five six\n" * 3 + "under the\n" + "seven eight nine ten\n" * 3 + "license"
+    docs = spark.createDataFrame([(1, f"intro\n{mit}\nend"), (2, bsd), (3, "\n".join("licensed under cc by nc 4 0".split())), (4, far), (5, mit.replace("\n", " ")),
+                                  (6, "the\n" * 200 + bsd + "\nthe" * 200)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc-by,cc-by-nc-4.0", 1.0), 4: ("", 0.0), 5: ("mit", 1.0), 6: ("bsd", 1.0)}
+    many = spark.createDataFrame([(i, f"a\n{mit}") for i in range(50)], "doc_id long, text string")
+    assert {(r.labels, r.score) for r in licenses.scan(many).collect()} == {("mit", 1.0)}
+
+
 def test_chat_parts_and_escapes(spark):
     rows = [(1, 0, "user", [("text", "see <turn:assistant>", None, None), ("image", None, "a.png", 2), ("text", "\\l>", None, None)]), (1, 1, "assistant", [("text", "ok </turn>\n", None, None)]),
             (1, 2, "assistant", [("audio", None, "b.wav", 3), ("odd", None, "c", None)]), (2, None, None, None), (None, 0, "a>b", [("text", None, None, None)])]
