@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLE, QUERIES
 
-MODULES = ["ann", "neardup", "langid", "quality", "licenses", "chat", "bpe", "token_store", "repeats", "decontam", "collocations", "merkle"]
+MODULES = ["ann", "neardup", "langid", "quality", "licenses", "chat", "bpe", "token_store", "repeats", "decontam", "collocations", "merkle", "topk"]
 
 
 def _load():
