@@ -12,7 +12,7 @@ label; the output is shifted from that to the labels' shares among all labelled
 
 Defined cases: a null text is empty; an empty text is one block of padding and gets a score like any other. Rows of labels
 without id or label, or whose repetitions disagree, teach nothing. Without both labels every score is the share of label 1
-(0.5 if there are none).
+(0.5 if there are none). A score depends on the text alone, to the last bit, whatever texts share its slice.
 """
 
 from __future__ import annotations
@@ -41,13 +41,13 @@ class Layout:
     """Texts of a slice as padded byte codes, positions, blocks and chunks."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        span = BLOCK * STRIDE
+        span, lead = BLOCK * STRIDE, WIDTH - STRIDE  # a text begins behind padding, which is all that the last position of the text before reads
         size = np.diff(offsets)
-        blocks = -(-(size + WIDTH - STRIDE) // span)
+        blocks = -(-(size + lead) // span)
         blocks = np.maximum(blocks, 1)
         starts = np.concatenate(([0], np.cumsum(blocks)))
         self.codes = np.full(int(starts[-1]) * span + WIDTH, PAD, np.int16)
-        self.codes[np.arange(len(data)) + np.repeat(starts[:-1] * span - offsets[:-1], size)] = data
+        self.codes[np.arange(len(data)) + np.repeat(starts[:-1] * span + lead - offsets[:-1], size)] = data
         self.positions = int(starts[-1]) * BLOCK
         step = CHUNK_BLOCKS - 1
         chunks = np.maximum(1, -(-(blocks - CHUNK_BLOCKS) // step) + 1)
@@ -155,7 +155,7 @@ def _score(batches, sent):
                 score = np.full(part.num_rows, float(w["constant"]))
             else:
                 x, _, _ = features(Layout(data, off), tables, w["bias"].astype(np.float32))
-                score = 1 / (1 + np.exp(-np.clip(x @ w["out"] + w["shift"][0], -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip((x * w["out"]).sum(1) + w["shift"][0], -30, 30)))  # row by row: the same in any slice
             yield [*[part.column(c) for c in part.schema.names], pa.array(score)]
 
 
