@@ -12,6 +12,8 @@ block. A segment is a self-delimiting byte string:
 Documents are range-partitioned and sorted by id, so shards and, within them, segments ascend. Spark's own writer commits the
 files (one segment each, at most SEGMENT_IDS ids unless one document is longer), so lost tasks leave nothing behind.
 
+A text that holds the string of one of the tokenizer's added tokens is encoded by the library as it is, like any plain call does.
+
 Defined cases: a null or empty text has only the end id; a null document id sorts first and is kept as null; rows that repeat
 an id are all stored, in the order of their texts; an empty table gives no segment.
 """
@@ -24,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def library_encoder(path: str, per_text: int = 400):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
+    tok.encode_special_tokens = True  # a piece is ordinary text; texts that hold an added token are left to marked_texts
     ids = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
     feed = ids(["\n"])[0]
 
@@ -74,6 +77,15 @@ def library_encoder(path: str, per_text: int = 400):
     return encode
 
 
+def marked_texts(path: str):
+    """The strings of the tokenizer's added tokens, and the library's own encoding for the texts that hold one."""
+    if ("added", path) not in _ENCODERS:
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(path)
+        _ENCODERS["added", path] = [t.content for t in tok.get_added_tokens_decoder().values()], lambda text: tok.encode(text, add_special_tokens=False).ids
+    return _ENCODERS["added", path]
+
+
 def encoder(path: str) -> Encoder:
     if ("tokenizers", path) not in _ENCODERS:
         _ENCODERS["tokenizers", path] = Encoder(library_encoder(path))
@@ -162,6 +174,7 @@ def segments(data: bytes):
 def _encode(batches, path, end_id, most):
     from pyspark import TaskContext
     shard, enc = TaskContext.get().partitionId(), encoder(path)
+    added, whole = marked_texts(path)
     docs, counts, held, size, sequence, first = [], [], [], 0, 0, 0
 
     def flush():
@@ -171,6 +184,15 @@ def _encode(batches, path, end_id, most):
     for batch in batches:
         for part, data, off in slices(batch, limit=SLICE_BYTES):
             ids, n = enc.slice_ids(data, off)
+            texts = part.column("text")
+            marked = np.zeros(part.num_rows, bool)
+            for token in added:
+                marked |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+            if marked.any():
+                rows = np.split(ids, np.cumsum(n)[:-1])
+                for i in np.flatnonzero(marked):
+                    rows[i] = np.array(whole(texts[i].as_py()), ids.dtype)
+                ids, n = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 n = n + 1
