@@ -34,6 +34,7 @@ KEEP = 48
 BLOCK = 400
 CHUNK = 1200
 COLUMNS = 4096
+PAIRS = 20_000
 
 
 def _share(percent: int) -> int:
@@ -42,10 +43,20 @@ def _share(percent: int) -> int:
     return math.floor(KEEP * j - 6 * math.sqrt(KEEP * j * (1 - j)))
 
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity estimated from the bottom-k sketch of the union."""
-    both = np.union1d(a, b)[:KEEP]
-    return np.isin(both, np.intersect1d(a, b, True), True).sum() / len(both)
+def _estimates(heads: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values that the sketches of pairs share within the bottom-k sketch of their union, less those a union of fewer values lacks."""
+    top = np.uint64(2**64 - 1)
+    wide = np.full((len(heads), KEEP), top, np.uint64)
+    for i, h in enumerate(heads):
+        wide[i, :len(h)] = h
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), PAIRS):
+        both = np.sort(np.concatenate((wide[a[at:at + PAIRS]], wide[b[at:at + PAIRS]]), 1), 1)
+        twice = np.zeros(both.shape, bool)
+        twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
+        rank = np.cumsum(~twice & (both != top), 1)
+        out[at:at + PAIRS] = (twice & (rank <= KEEP)).sum(1) + np.maximum(0, KEEP - rank[:, -1])
+    return out
 
 
 def _overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -92,6 +103,8 @@ def _links(sets: list[np.ndarray], names: np.ndarray, left: np.ndarray, right: n
     heads = [s[:KEEP] for s in sets]
     need = np.minimum(share, np.ceil(percent / 100 * size))
     near &= _overlaps(heads, left, right) >= np.minimum(need[left][:, None], need[right])
+    i, j = np.nonzero(near)
+    near[i, j] = _estimates(heads, left[i], right[j]) >= share
     rows, cols = near.any(1), near.any(0)
     if not rows.any():
         return []
