@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import attach
-from .arrays import LOWER, SLICE_BYTES, expand, lists, mix, separators, slices
+from ..sources.tables import union_all
+from .arrays import BLOCK_BYTES, LOWER, SLICE_BYTES, expand, mix, powers, separators, slices, text_buffer
 from .common import even, in_arrow, materialise, narrow, query, table
 
 LEAST, TOP, LONGEST = 30, 2000, 4
@@ -47,8 +48,8 @@ WORD = separators((0x20, 0x20), (0x09, 0x09), *PIECE_ENDS)
 INSIDE = separators(*PIECE_ENDS)
 FILTER_BITS = 26
 HELD = 1_000_000  # rows a task adds up before it hands them on
-GRAM = "lang string, key array<bigint>, n bigint"
 _U = np.uint64
+_VALUES: dict[int, np.ndarray] = {}
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,28 +67,37 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             a = b
 
 
-def _tokens(data: np.ndarray, off: np.ndarray, lang: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, and of every word its place among them, its row, and whether the next one follows in its piece."""
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word its start, end and row, and whether the next one follows in its piece."""
     is_word, edge = WORD[data], np.zeros(len(data) + 1, bool)
     edge[off] = True
-    before = np.concatenate(([False], is_word))
-    start = np.flatnonzero(is_word & (~before[:-1] | edge[:-1]))
-    end = np.flatnonzero(is_word & (~np.append(is_word[1:], False) | edge[1:])) + 1
-    ends = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=ends[1:])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[expand(start, end - start)])])
-    coded = words.dictionary_encode()
-    piece = np.cumsum(~INSIDE[data])
+    first, last = is_word.copy(), is_word.copy()
+    first[1:] &= ~is_word[:-1] | edge[1:-1]
+    last[:-1] &= ~is_word[1:] | edge[1:-1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    piece = np.cumsum(~INSIDE[data], dtype=np.int32)
     row = np.searchsorted(off, start, "right") - 1
     joined = np.zeros(len(start), bool)
     if len(start) > 1:
         joined[:-1] = (row[1:] == row[:-1]) & (piece[start[1:]] == piece[end[:-1] - 1])
-    return coded.dictionary, coded.indices.to_numpy(), row, joined
-
-
-def _hashes(words: pa.Array, seed: int) -> np.ndarray:
-    """Never zero, which stands for no word."""
-    return np.array([xxhash.xxh3_64_intdigest(w, seed) or 1 for w in words.to_pylist()], np.uint64)
+    return start, end, row, joined
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded polynomial of every word's bytes; never zero, which stands for no word."""
+    if seed not in _VALUES:
+        _VALUES[seed] = np.random.Generator(np.random.PCG64(20260301 + seed)).integers(1, 1 << 63, 256, dtype=np.uint64)
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + BLOCK_BYTES, "right")))
+        low, high = start[a], end[b - 1]
+        up, down = powers(high - low)
+        c = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_VALUES[seed][data[low:high]] * up, out=c[1:])
+        s, e = start[a:b] - low, end[a:b] - low
+        out[a:b] = mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return np.maximum(out, _U(1))
 
 
 def _lang_keys(names: np.ndarray, seed: int) -> np.ndarray:
@@ -133,8 +143,8 @@ class _Sums:
         out = []
         for code, words, n in self.parts:
             for a in range(0, len(code), 100_000):
-                part = np.stack([w[a:a + 100_000] for w in words], 1)
-                out.append([pa.array(self.names, pa.string()).take(pa.array(code[a:a + 100_000])), lists(part[part != 0].view(np.int64), (part != 0).sum(1), pa.int64()), pa.array(n[a:a + 100_000])])
+                part = [w[a:a + 100_000] for w in words]
+                out.append([pa.array(self.names, pa.string()).take(pa.array(code[a:a + 100_000])), *[pa.array(w.view(np.int64), mask=w == 0) for w in part], pa.array(n[a:a + 100_000])])
         self.parts, self.rows = [], 0
         return out
 
@@ -157,9 +167,12 @@ def _count_words(batches, seed: int):
     held = None
     for batch in batches:
         for data, off, lang in _chunks(batch):
-            words, place, row, _ = _tokens(data, off, lang)
-            if not len(place):
+            start, end, row, _ = _tokens(data, off)
+            if not len(start):
                 continue
+            ends = np.concatenate(([0], np.cumsum(end - start)))
+            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[expand(start, end - start)])]).dictionary_encode()
+            words, place = coded.dictionary, coded.indices.to_numpy()
             names, of = np.unique(lang.astype(str), return_inverse=True)
             at, n = np.unique(of[row].astype(np.int64) * len(words) + place, return_counts=True)
             made = pa.table({"lang": pa.array(names).take(pa.array(at // len(words))), "word": words.take(pa.array(at % len(words))), "n": pa.array(n)})
@@ -179,7 +192,8 @@ def _added(t: pa.Table) -> pa.Table:
 
 def _word_rows(t: pa.Table, seed: int):
     for b in t.combine_chunks().to_batches(max_chunksize=50_000):
-        yield [b.column(0), pa.array(_hashes(b.column(1), seed).view(np.int64)), b.column(1).cast(pa.binary()).cast(pa.string()), b.column(2)]
+        data, off = text_buffer(b.column(1))
+        yield [b.column(0), pa.array(_hashes(data, off[:-1], off[1:], seed).view(np.int64)), b.column(1).cast(pa.binary()).cast(pa.string()), b.column(2)]
 
 
 def _count_grams(batches, seed: int, sent, level: int | None):
@@ -190,15 +204,15 @@ def _count_grams(batches, seed: int, sent, level: int | None):
     sums = _Sums(names, 2 if level else LONGEST)
     for batch in batches:
         for data, off, lang in _chunks(batch):
-            words, place, row, joined = _tokens(data, off, lang)
-            if len(place) < 2:
+            start, end, row, joined = _tokens(data, off)
+            if len(start) < 2:
                 continue
             for x in set(lang) - codes.keys():
                 codes[x] = len(codes)
                 names.append(x)
             code = np.array([codes[x] for x in lang], np.int32)[row]
             key = _lang_keys(lang, seed)[row]
-            h = _hashes(words, seed)[place]
+            h = _hashes(data, start, end, seed)
             good = _holds(known["words"], _fold(key, [h]))
             i = np.flatnonzero(joined & good & np.append(good[1:], False))
             if level:
@@ -253,68 +267,79 @@ def count_words(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
 
 
 def _count(docs: DataFrame, seed: int, filters: dict, level: int | None, least: int) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(filters)
-    rows = in_arrow(docs, partial(_count_grams, seed=seed, sent=sent, level=level), GRAM)
-    out = materialise(rows.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
+    """lang, key (array of word hashes), n of the phrases of at least `least` occurrences that the filters let through."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    words = [f"w{i + 1}" for i in range(level or LONGEST)]
+    rows = in_arrow(docs, partial(_count_grams, seed=seed, sent=sent, level=level), f"lang string, {', '.join(w + ' bigint' for w in words)}, n bigint")
+    sums = rows.groupBy("lang", *words).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = materialise(sums.select("lang", F.array_compact(F.array(*words)).alias("key"), "n"), "grams")
     sent.unpersist()
     return out
 
 
-def _part(c: str, first: int, size) -> F.Column:
-    return F.slice(c, first, size)
+def _ratio(a: str, more) -> F.Column:
+    """SCALE * a / (a part's count + more), rounded down; products pass 64 bits."""
+    wide = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")
+    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(a), wide(more[0]) + wide(more[1]))
 
 
-def _scored(grams: DataFrame) -> DataFrame:
+def _scored(new: DataFrame, grams: DataFrame) -> DataFrame:
     """Candidates with their weakest cut: score, l, r, and whether all parts are counted (a missing right part is put at n)."""
-    many = grams.where(F.size("key") > 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("key") - 1)))
-    cuts = many.withColumn("left", _part("key", 1, F.col("k"))).withColumn("right", F.slice("key", F.col("k") + 1, F.size("key") - F.col("k")))
+    cuts = None
+    for k in range(1, LONGEST):
+        one = new.where(F.size("key") > k).select("lang", "key", "n", F.lit(k).alias("k"), F.slice("key", 1, k).alias("left"), F.slice("key", F.lit(k + 1), F.size("key") - k).alias("right"))
+        cuts = one if cuts is None else cuts.union(one)
     cuts = attach(cuts, grams.select("lang", F.col("key").alias("left"), F.col("n").alias("l")), ["lang", "left"], spread=["key"], ready=True)
     cuts = attach(cuts, grams.select("lang", F.col("key").alias("right"), F.col("n").alias("r")), ["lang", "right"], "left", spread=["key"], ready=True)
-    wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  products pass 64 bits
-    score = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide("n"), wide("l") + F.coalesce(wide("r"), wide("n")))
-    weakest = F.min(F.struct(score.alias("score"), "k", "l", "r"))
+    weakest = F.min(F.struct(_ratio("n", ("l", F.coalesce("r", "n"))).alias("score"), "k", "l", "r"))
     return cuts.groupBy("lang", "key", "n").agg(weakest.alias("cut"), F.bool_and(F.col("r").isNotNull()).alias("exact")).select("lang", "key", "n", "cut.score", "cut.l", "cut.r", "exact")
 
 
-def _standing(grams: DataFrame) -> DataFrame:
+def _prefixes(new: DataFrame, begin: DataFrame, singles: DataFrame) -> DataFrame:
+    """Phrases that may go on: `most`, what a longer one can count at most, and `bound`, what it can score at most."""
+    able = new.where(F.size("key").between(2, LONGEST - 1)).withColumn("last", F.slice("key", -1, 1)).withColumn("first", F.slice("key", 1, 1))
+    able = attach(able, begin, ["lang", "last"], spread=["key"], ready=True)  # the others end in a word that begins no frequent pair
+    able = attach(able, singles.select("lang", F.col("key").alias("first"), F.col("n").alias("f1")), ["lang", "first"], spread=["key"], ready=True)
+    able = able.withColumn("most", F.least("n", "on"))
+    return able.select("lang", "key", "n", "most", F.slice("key", 2, F.size("key") - 1).alias("tail"), _ratio("most", ("f1", "most")).alias("bound"))
+
+
+def _standing(scored: DataFrame, longer: DataFrame) -> DataFrame:
     """Scored candidates that no known longer phrase drops; the phrases one word longer are enough, as counts fall with length."""
-    inner = F.explode(F.array(F.slice("key", 1, F.size("key") - 1), F.slice("key", 2, F.size("key") - 1)))
-    longer = grams.where(F.size("key") > 2).select("lang", inner.alias("key"), F.col("n").alias("around")).groupBy("lang", "key").agg(F.max("around").alias("around"))
+    sides = [longer.select("lang", F.slice("key", F.lit(a), F.size("key") - 1).alias("key"), F.col("n").alias("around")) for a in (1, 2)]
+    around = sides[0].union(sides[1]).groupBy("lang", "key").agg(F.max("around").alias("around"))
     kept = F.coalesce(F.col("around") * WHOLE < F.col("n") * COVER, F.lit(True))
-    return _scored(grams).join(longer, ["lang", "key"], "left").where(kept).drop("around")
+    return attach(scored, around, ["lang", "key"], "left", spread=["key"]).where(kept).drop("around")
 
 
 def _reach(standing: DataFrame, depth: int) -> DataFrame:
     """lang, theta: the score at place `depth` of every language, -1 where there are fewer."""
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
     first = standing.select("lang", "score").withColumn("place", place).where(F.col("place") <= depth)
-    return first.groupBy("lang").agg(F.when(F.count(F.lit(1)) == depth, F.min("score")).otherwise(F.lit(-1)).alias("theta"))
+    return materialise(first.groupBy("lang").agg(F.when(F.count(F.lit(1)) == depth, F.min("score")).otherwise(F.lit(-1)).alias("theta")), "theta")
 
 
-def _wanted(grams: DataFrame, standing: DataFrame, done: DataFrame, depth: int) -> DataFrame:
+def _at_least(rows: DataFrame, theta: DataFrame) -> DataFrame:
+    return attach(rows, theta, ["lang"], spread=["key"], ready=True).where("score >= theta").drop("theta")
+
+
+def _wanted(prefixes: DataFrame, standing: DataFrame, done: DataFrame, theta: DataFrame) -> DataFrame:
     """Prefixes (lang, key) that must be expanded before everything at or above theta is settled."""
-    theta = materialise(_reach(standing, depth), "theta")
-    nearly = lambda c: F.col(c) * COVER
-    begin = grams.where(F.size("key") == 2).select("lang", F.slice("key", 1, 1).alias("last"), F.col("n").alias("on")).groupBy("lang", "last").agg(F.max("on").alias("on"))
-    prefix = grams.where(F.size("key").between(2, LONGEST - 1)).withColumn("last", F.slice("key", -1, 1)).withColumn("first", F.slice("key", 1, 1))
-    prefix = attach(prefix, materialise(begin, "begin"), ["lang", "last"], spread=["key"], ready=True)  # a phrase after whose last word nothing frequent comes has no longer ones
-    single = grams.where(F.size("key") == 1).select("lang", F.col("key").alias("first"), F.col("n").alias("f1"))
-    prefix = attach(prefix, single, ["lang", "first"], spread=["key"], ready=True).withColumn("most", F.least("n", "on"))
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    bound = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide("most"), wide("f1") + wide("most"))
-    open_ = materialise(prefix.join(done, ["lang", "key"], "left_anti").select("lang", "key", "n", "most", bound.alias("bound")), "open")
-    frontier = attach(open_, theta, ["lang"], spread=["key"], ready=True).where("bound >= theta").select("lang", "key")
-    near = materialise(attach(standing, theta, ["lang"], spread=["key"], ready=True).where("score >= theta"), "near")
-    right = near.where(~F.col("exact")).select("lang", F.slice("key", 2, 2).alias("key"))
-    own = near.select("lang", "key").join(open_.where(F.col("most") * WHOLE >= nearly("n")).select("lang", "key"), ["lang", "key"])
+    near = materialise(_at_least(standing, theta).select("lang", "key", "n", "exact"), "near")
+    own = near.where(F.size("key") < LONGEST).select("lang", "key", F.lit(True).alias("own"))
     # phrases that end in the first words of a candidate and are frequent enough to drop it with its last word
-    tails = near.where(F.size("key") < LONGEST).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("key") - 1), lambda j: F.slice("key", 1, j))).alias("tail"), "n")
-    tails = materialise(tails.groupBy("lang", "tail").agg(F.min("n").alias("few")), "tails")
-    before = open_.withColumn("tail", F.slice("key", 2, F.size("key") - 1))
-    left = attach(before, tails, ["lang", "tail"], spread=["key"], ready=True).where(F.col("most") * WHOLE >= nearly("few")).select("lang", "key")
-    wanted = frontier.union(right).union(own).union(left).distinct()
-    return wanted.join(done, ["lang", "key"], "left_anti")
+    tails = None
+    for k in range(1, LONGEST - 1):
+        one = near.where((F.size("key") > k) & (F.size("key") < LONGEST)).select("lang", F.slice("key", 1, k).alias("tail"), "n")
+        tails = one if tails is None else tails.union(one)
+    tails = tails.groupBy("lang", "tail").agg(F.min("n").alias("few"))
+    asked = attach(prefixes, theta, ["lang"], "left", spread=["key"], ready=True)
+    asked = attach(asked, tails, ["lang", "tail"], "left", spread=["key"])
+    asked = attach(asked, own, ["lang", "key"], "left", spread=["key"])
+    around = F.when(F.col("own"), F.least("n", F.coalesce("few", "n"))).otherwise(F.col("few"))
+    asked = asked.where((F.col("bound") >= F.col("theta")) | (F.col("most") * WHOLE >= around * COVER)).select("lang", "key")
+    right = near.where(~F.col("exact")).select("lang", F.slice("key", 2, 2).alias("key")).distinct()
+    return materialise(asked.union(right).distinct().join(done, ["lang", "key"], "left_anti"), "wanted")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -326,20 +351,34 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str
     filters = {"words": _filter(singles, seed)}
     pairs = _count(rows, seed, filters, 2, least)
     filters["pairs"] = _filter(pairs, seed)
-    grams = materialise(singles.unionByName(pairs), "grams")
-    done = docs.sparkSession.createDataFrame([], "lang string, key array<bigint>")
-    depth = 2 * top
+    begin = materialise(pairs.groupBy("lang", F.slice("key", 1, 1).alias("last")).agg(F.max("n").alias("on")), "begin")
+    known = [singles, pairs]  # every table of phrases is written once and only read from then on
+    scored, prefixes = [materialise(_scored(pairs, singles), "scored")], [materialise(_prefixes(pairs, begin, singles), "prefixes")]
+    longer, done = pairs.where("1 = 0"), pairs.where("1 = 0").select("lang", "key")
+    deep = 4 * top
     while True:
-        standing = materialise(_standing(grams), "standing")
-        more = materialise(_wanted(grams, standing, done, depth), "wanted")
-        if not more.limit(1).count():
+        # candidates below place `deep` stay out of play, unless so many above them are dropped that they are needed
+        low = _reach(union_all(*scored), deep)
+        pool = materialise(_at_least(union_all(*scored), low), "pool")
+        standing = materialise(_standing(pool, longer), "standing")
+        theta = _reach(standing, top)
+        if low.withColumnRenamed("theta", "low").join(theta, "lang", "left").where("coalesce(theta, -1) < low").limit(1).count():
+            deep *= 4
+            continue
+        if not _wanted(union_all(*prefixes), standing, done, theta).limit(1).count():
             break
-        depth = top
+        below = attach(_reach(standing, 2 * top), low.withColumnRenamed("theta", "low"), ["lang"], ready=True)  # passes are saved by looking further than needed
+        more = _wanted(union_all(*prefixes), standing, done, below.select("lang", F.greatest("theta", "low").alias("theta")))
         filters["open"] = _filter(more, seed)
-        found = _count(rows, seed, filters, None, least)
-        asked = found.withColumn("prefix", F.slice("key", 1, F.size("key") - 1)).join(more.withColumnRenamed("key", "prefix"), ["lang", "prefix"], "left_semi")
-        grams, done = materialise(grams.unionByName(asked.select("lang", "key", "n")), "grams"), materialise(done.unionByName(more), "done")
-    best = attach(standing, _reach(standing, top), ["lang"], spread=["key"]).where("score >= theta")
+        found = _count(rows, seed, filters, None, least).withColumn("prefix", F.slice("key", 1, F.size("key") - 1))
+        new = materialise(found.join(more.withColumnRenamed("key", "prefix"), ["lang", "prefix"], "left_semi").select("lang", "key", "n"), "new")
+        known.append(new)
+        again = union_all(*[s.where(~F.col("exact")).select("lang", "key", "n") for s in scored[1:]], new)
+        made = materialise(_scored(again, union_all(*known)), "scored")
+        scored = [scored[0], *[s.where("exact") for s in scored[1:]], made]
+        prefixes.append(materialise(_prefixes(new, begin, singles), "prefixes"))
+        longer, done = union_all(*known[2:]), materialise(done.union(more), "done")
+    best = _at_least(standing, theta)
     spelt = best.select("lang", "key", F.posexplode("key").alias("at", "w")).withColumn("w", F.array("w"))
     spelt = attach(spelt, frequent.select("lang", F.col("key").alias("w"), "word"), ["lang", "w"], spread=["key"], ready=True)
     phrase = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]))
