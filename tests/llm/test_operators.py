@@ -1,7 +1,9 @@
 """Edge cases of the llm operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, hot groups."""
 
 import random
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +224,29 @@ def test_quality_odd_rows(spark, odd, empty):
     assert {r.score for r in quality.scored(odd, constant).collect()} == {0.5} and quality.scored(empty, weights).count() == 0
 
 
+def test_a_score_depends_on_the_text_alone():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in [0, 1, 3, 4, 59, 60, 61, 64, 123, 124, 125, 700, *rng.integers(0, 500, 40).tolist()]]
+    w = quality.fit(texts, (np.arange(len(texts)) % 2).astype(float), 0.5, 3)
+    tables, bias = quality.tables_of(w), w["bias"].astype(np.float32)
+
+    def scores(some):
+        layout = quality.Layout(np.frombuffer(b"".join(some), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64))
+        return (quality.features(layout, tables, bias)[0] * w["out"]).sum(1)
+
+    alone = np.concatenate([scores([t]) for t in texts])
+    assert (scores(texts) == alone).all() and (scores(texts[::-1]) == alone[::-1]).all()
+    for t, found in zip(texts, alone, strict=True):  # one position after the other, in plain Python
+        codes = [quality.PAD] * 4 + list(t)
+        blocks = max(1, -(-len(codes) // 64))
+        codes += [quality.PAD] * (blocks * 64 + 8 - len(codes))
+        z = [[float(bias[f]) + sum(float(tables[j][codes[4 * p + j]][f]) for j in range(8)) for f in range(quality.FILTERS)] for p in range(blocks * 16)]
+        parts = [z[48 * c:48 * c + 64] for c in range(max(1, -(-(blocks - 4) // 3) + 1))]
+        pooled = [[max(0.0, *(row[f] for row in part)) for f in range(quality.FILTERS)] for part in parts]
+        x = [sum(c[f] for c in pooled) / len(pooled) for f in range(quality.FILTERS)] + [max(c[f] for c in pooled) for f in range(quality.FILTERS)]
+        assert abs(sum(a * b for a, b in zip(x, w["out"], strict=True)) - found) < 1e-5
+
+
 def test_chunks_cover_the_whole_text():
     rng = np.random.default_rng(1)
     w = {"embed": rng.normal(size=(257, 8)), "kernel": rng.normal(size=(8, 8, 16))}
@@ -253,6 +278,19 @@ def test_licence_notices_wrapped_over_lines(spark):
                                   (6, "the\n" * 200 + bsd + "\nthe" * 200)], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc-by,cc-by-nc-4.0", 1.0), 4: ("", 0.0), 5: ("mit", 1.0), 6: ("bsd", 1.0)}
+    others = [("released under the apache license", "apache"), ("released under the bsd license", ""), ("licensed under cc by 4 0", "cc-by"), ("this work is licensed under the gnu general public license version 2", "gpl"),
+              ("licensed under the apache license version 1 0", "apache"), ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ""),
+              (" ".join(["released", *["x"] * 60, "under", *["y"] * 60, "the", "mit", *["z"] * 80, "license"]), ""),
+              ("this work is licensed under a creative commons attribution 4 0 international licence", "cc-by-4.0")]
+    told = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(others)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(told).collect()} == {i: labels for i, (_, labels) in enumerate(others)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?,?)", [(i, t) for i, (t, _) in enumerate(others)] + [tuple(r) for r in docs.withColumn("doc_id", F.col("doc_id") + 100).collect()])
+    both = told.union(docs.withColumn("doc_id", F.col("doc_id") + 100))
+    want = con.execute(licenses._sql())
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in licenses.scan(both).select(columns).collect()))) == sorted(map(str, want.fetchall()))
     many = spark.createDataFrame([(i, f"a\n{mit}") for i in range(50)], "doc_id long, text string")
     assert {(r.labels, r.score) for r in licenses.scan(many).collect()} == {("mit", 1.0)}
 
@@ -283,6 +321,35 @@ def test_bpe_round_trip_and_long_pieces(spark, odd, empty):
     assert {bytes(r.bytes) for r in bpe.decode(coded, path).collect()} == {bytes(r.bytes) for r in got} and bpe.encode(empty, path).count() == 0
 
 
+def test_added_tokens_are_those_of_the_plain_library(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    token = library.get_added_tokens_decoder()[max(library.get_added_tokens_decoder())].content
+    texts = {1: f"a {token} b", 2: "plain", 3: token * 3, 4: f"{token[:-1]} {token} \n\n{token}x", 5: None, 6: "after"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read(spark, token_store.write(docs, f"{tmp_path}/ids", path)).collect()}
+    start = 0
+    for doc, text in texts.items():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[doc] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_union_sketch_estimate():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(1, 300))
+        both = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+        a, b = both[rng.random(len(both)) < 0.8], both[rng.random(len(both)) < 0.8]
+        if not len(a) or not len(b):
+            continue
+        union = np.union1d(a, b)[:neardup.KEEP]
+        shared = np.isin(union, np.intersect1d(a, b)).sum()
+        assert neardup._estimates([a[:neardup.KEEP], b[:neardup.KEEP]], np.array([0]), np.array([1]))[0] == shared + max(0, neardup.KEEP - len(np.union1d(a[:neardup.KEEP], b[:neardup.KEEP])))
+
+
 def test_token_store_random_access(spark, odd, empty, tmp_path):
     import public_tokenizers
     rng = np.random.default_rng(2)
