@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import mcnemar_p
-from .metrics import comparable, slice_mean_accuracy, with_correct
+from ..sources.tables import failed
+from .metrics import comparable, latency_at_index, slice_mean_accuracy, with_correct
 from .scale import attach, with_scalar
 
 MIN_COVERAGE = 0.98
@@ -130,7 +131,7 @@ def canary(pairs: DataFrame, expected: int, threshold: float, min_share: float =
 
 def labelling_complete(rows: DataFrame, labels: DataFrame, min_share: float = 0.98) -> DataFrame:
     """Labelled against wanted rows per family, and whether the whole passes."""
-    ok = labels.where(F.col("error").isNull()).select("row_id").distinct().withColumn("ok", F.lit(1))
+    ok = labels.where(~failed("error")).select("row_id").distinct().withColumn("ok", F.lit(1))
     s = rows.select("row_id").join(ok, "row_id", "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("ok").alias("labelled"))
     return s.withColumn("complete", F.col("labelled") >= F.lit(min_share) * F.col("wanted"))
 
@@ -164,12 +165,14 @@ def scorer_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def served_check(direct: DataFrame, served: DataFrame, min_same: float) -> DataFrame:
-    """Same-answer share over all direct cases and the errors of the served side."""
-    s = served.select("case_id", F.col("pred").alias("served_pred"), F.col("error").alias("served_error"))
+    """Same-answer share over all direct cases, the errors of the served side and its round trip: p50 and p95 of the sorted latencies by index."""
+    s = served.select("case_id", F.col("pred").alias("served_pred"), F.col("error").alias("served_error"), F.col("latency_ms").alias("served_ms"))
     rows = direct.join(s, "case_id")
     out = rows.agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.lower("served_pred") == F.lower("pred")).alias("same"),
-                   F.count_if(F.col("served_error").isNotNull()).alias("errors"))
-    return out.select("cases", (F.col("same") / F.greatest(F.col("cases"), F.lit(1))).alias("same_top"), "errors",
+                   F.count_if(failed("served_error")).alias("errors"))
+    times = latency_at_index(rows.select(F.lit(0).alias("all"), F.col("served_ms").alias("latency_ms")), ["all"])
+    out = with_scalar(out, times.agg(F.max("p50_ms").alias("p50_ms"), F.max("p95_ms").alias("p95_ms")))
+    return out.select("p50_ms", "p95_ms", "cases", (F.col("same") / F.greatest(F.col("cases"), F.lit(1))).alias("same_top"), "errors",
                       ((F.col("cases") > 0) & (F.col("same") / F.greatest(F.col("cases"), F.lit(1)) >= min_same)).alias("passed"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import _c
+from ..sources.tables import union_all
 from .scale import attach, materialise
 
 # Licences that allow redistribution of rows and derived weights, their published spelling, and aliases.
@@ -42,25 +43,30 @@ def organisation(col) -> Column:
     return F.when(F.contains(_c(col), F.lit("/")), F.lower(F.substring_index(_c(col), "/", 1)))
 
 
-def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(hub_id, ancestor, depth): every ancestor over (child, parent) edges once, at its smallest depth.
+def closure(edges: DataFrame) -> DataFrame:
+    """(start, end, depth): every pair joined by a path of (child, parent) edges, at its smallest depth.
 
-    Level by level until a level is empty: a level is a join of the last one with the edges, less what was seen, so a cycle
-    ends by itself. Each level is written, which keeps the plan flat.
+    Path doubling: a pair at a depth between m + 1 and 2 m is one at depth m exactly, followed by one of at most m. Every round
+    joins the two, keeps what is new and writes only that; rounds grow with the logarithm of the depth, and a cycle ends by itself.
     """
-    edges = edges.select(F.col("child").alias("_c"), F.col("parent").alias("ancestor")).distinct()
-    frontier = roots.select("hub_id", F.col("hub_id").alias("_c")).distinct()
-    seen, depth = None, 0
+    named = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("start"), F.col("parent").alias("end")).distinct()
+    known, reach = [materialise(named.withColumn("depth", F.lit(1)), "paths")], 1
     while True:
-        depth += 1
-        step = frontier.join(edges, "_c").select("hub_id", "ancestor").distinct()
-        if seen is not None:
-            step = step.join(seen, ["hub_id", "ancestor"], "left_anti")
-        step = materialise(step.withColumn("depth", F.lit(depth)), "ancestors")
-        seen = step if seen is None else materialise(seen.unionByName(step), "ancestors")
-        if step.isEmpty():
-            return seen
-        frontier = step.select("hub_id", F.col("ancestor").alias("_c"))
+        pairs = union_all(*known)
+        far = known[-1].where(F.col("depth") == reach).select("start", F.col("end").alias("via"))
+        on = pairs.select(F.col("start").alias("via"), "end", "depth")
+        found = far.join(on, "via").groupBy("start", "end").agg((F.min("depth") + reach).alias("depth"))
+        new = materialise(found.join(pairs.select("start", "end"), ["start", "end"], "left_anti"), "paths")
+        if new.isEmpty():
+            return pairs
+        known.append(new)
+        reach *= 2
+
+
+def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub_id, ancestor, depth): every ancestor over (child, parent) edges once, at its smallest depth."""
+    paths = closure(edges).select(F.col("start").alias("hub_id"), F.col("end").alias("ancestor"), "depth")
+    return paths.join(roots.select("hub_id").distinct(), "hub_id", "left_semi")
 
 
 def model_problems(models: DataFrame, edges: DataFrame, approved: DataFrame) -> DataFrame:

@@ -7,15 +7,16 @@ probabilities; the bootstrap interval is the 2.5 and 97.5 percentile of resample
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import brier_sum, decision_loss, logits, one_hot, ranked_probability_score
 from ..functions.stats import ece_bin, is_correct, poisson_one
 from ..sources.tables import failed
-from .scale import attach, materialise, running_totals, task_count, values_at
+from .scale import attach, materialise, running_totals, task_count, values_at, with_scalar
 
 BY = ["run_id", "slice", "task_type"]
+SKETCH_K = 800
 
 
 def answered(preds: DataFrame) -> DataFrame:
@@ -178,14 +179,69 @@ def position_bias(preds: DataFrame) -> DataFrame:
 
 
 def runtime(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Latency percentiles (interpolated p50, p95, p99) without holding a group's values in one place."""
+    """Latency percentiles (interpolated p50, p95, p99) without holding a group's values in one place, tokens and retries.
+
+    Rows without latency count for tokens and retries; a group without any latency has no percentiles.
+    """
     by = by or ["run_id", "slice"]
     at = lambda q, up: (F.ceil if up else F.floor)((F.col("n") - 1) * F.lit(q)).cast("bigint")
     qs = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
     picks = values_at(preds.select(*by, "latency_ms"), by, "latency_ms",
                       {f"{k}_{s}": at(q, s == "hi") for k, q in qs.items() for s in ("lo", "hi")})
     frac = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
-    return picks.select(*by, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * frac(q)).alias(f"latency_ms_{k}") for k, q in qs.items()])
+    found = picks.select(*by, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * frac(q)).alias(f"latency_ms_{k}") for k, q in qs.items()])
+    sums = preds.groupBy(*by).agg(*_usage(preds))
+    return sums.join(found, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), *[f"latency_ms_{k}" for k in qs], *_usage_figures())
+
+
+def _usage(preds: DataFrame) -> list[Column]:
+    again = F.sum("retries") if "retries" in preds.columns else F.lit(None)
+    return [F.count("input_tokens").alias("with_tokens"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("tokens"), F.coalesce(again, F.lit(0)).cast("bigint").alias("retries")]
+
+
+def _usage_figures() -> list[Column]:
+    return [F.try_divide(F.col("tokens").cast("double"), F.col("with_tokens")).alias("input_tokens_mean"), F.col("tokens").alias("input_tokens_total"), "retries"]
+
+
+def runtime_summaries(preds: DataFrame, by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """One mergeable row per group: a KLL sketch of the latencies beside exact counts and sums.
+
+    A sketch has a size bounded by k whatever the group's size; with k = 800 a rank is off by less than 0.5 % of the rows.
+    """
+    by = by or ["run_id", "slice"]
+    return preds.groupBy(*by).agg(F.kll_sketch_agg_double("latency_ms", F.lit(k)).alias("sketch"), F.count("latency_ms").alias("n"), *_usage(preds))
+
+
+def merged_summaries(summaries: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Stored summaries of any parts of a group as one: the runs themselves are not read again."""
+    sums = [F.sum(c).alias(c) for c in ("n", "with_tokens", "tokens", "retries")]
+    return summaries.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), *sums)
+
+
+def runtime_from_summaries(summaries: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of `runtime` out of summaries, the percentiles within the sketch's rank error."""
+    qs = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    value = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return summaries.select(*by, "n", *[value(q).alias(f"latency_ms_{name}") for name, q in qs.items()], *_usage_figures())
+
+
+def rank_errors(preds: DataFrame, estimates: DataFrame, by: list[str], names: dict[str, float]) -> DataFrame:
+    """How far the share of values below and up to each estimate is from its quantile, per group."""
+    rows = attach(preds.where("latency_ms IS NOT NULL").select(*by, "latency_ms"), estimates.select(*by, *names), by, spread=["latency_ms"])
+    share = lambda cond: F.avg(cond.cast("double"))
+    off = [F.greatest(share(F.col("latency_ms") < F.col(c)) - F.lit(q), F.lit(q) - share(F.col("latency_ms") <= F.col(c)), F.lit(0.0)).alias(f"{c}_off") for c, q in names.items()]
+    return rows.groupBy(*by).agg(*off)
+
+
+def order_and_latency(preds: DataFrame) -> DataFrame:
+    """Run by slice: answers changed by reordering (per mille of the families) and median latency, `n/a` where a run lacks the slice."""
+    runs = preds.agg(F.collect_set("run_id").alias("runs"))  # the compared runs
+    every = with_scalar(preds.select("slice").distinct(), runs).select(F.explode("runs").alias("run_id"), "slice")
+    shown = lambda c: F.coalesce(F.floor(F.col(c) + 0.5).cast("bigint").cast("string"), F.lit("n/a"))
+    flips = position_bias(preds).select("run_id", "slice", (F.col("flipped_by_reordering") * 1000).alias("flipped"))
+    times = latency_at_index(preds, ["run_id", "slice"]).select("run_id", "slice", "p50_ms")
+    both = every.join(flips, ["run_id", "slice"], "left").join(times, ["run_id", "slice"], "left")
+    return both.select("run_id", "slice", shown("flipped").alias("flipped_permille"), shown("p50_ms").alias("p50_ms"))
 
 
 def latency_at_index(rows: DataFrame, by: list[str]) -> DataFrame:

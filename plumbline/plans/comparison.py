@@ -116,6 +116,7 @@ def scorer_difference(spark, d):
 
 
 @query(P + f""" SELECT count(*) AS cases,round(count(*) FILTER (lower(a.pred)=lower(b.pred))/count(*)::DOUBLE,6) AS same_top,count(*) FILTER (b.error IS NOT NULL) AS errors,
+ round(list_sort(list(b.latency_ms))[1+count(*)//2],6) AS p50_ms,round(list_sort(list(b.latency_ms))[1+greatest(0,floor(count(*)*0.95::DOUBLE)::BIGINT-1)],6) AS p95_ms,
  count(*) FILTER (lower(a.pred)=lower(b.pred))/count(*)::DOUBLE>=0.4 AS passed FROM predictions a JOIN predictions b USING (case_id) WHERE a.run_id='base' AND b.run_id='wide' AND a.{CMP.replace("pred IS", "a.pred IS").replace("task_type", "a.task_type")}""")
 def direct_against_served(spark, d):
     p = _preds(spark, d)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_fraction
 from ..operators import metrics as M
 from ..operators.scale import materialise
 from ..sources import derived as S
-from .oracle import BIN, PREDICTIONS
+from .oracle import BIN, PREDICTIONS, u
 from .registry import query, rounded
 
 P = "WITH " + PREDICTIONS
@@ -123,10 +124,32 @@ def option_order_bias(spark, d):
     return rounded(M.position_bias(S.predictions(spark, d)))
 
 
-@query(P + """ SELECT run_id,slice,count(*) AS n,round(quantile_cont(latency_ms,0.5),6) AS latency_ms_p50,round(quantile_cont(latency_ms,0.95),6) AS latency_ms_p95,
- round(quantile_cont(latency_ms,0.99),6) AS latency_ms_p99 FROM predictions GROUP BY ALL""")
+RETRIES = u("run_id||':'||case_id||':again'")
+USAGE = f"round(avg(input_tokens),6) AS input_tokens_mean,sum(input_tokens)::BIGINT AS input_tokens_total,sum(CASE WHEN {RETRIES}<0.02 THEN 2 WHEN {RETRIES}<0.1 THEN 1 ELSE 0 END)::BIGINT AS retries"
+
+
+def _calls(spark, d):
+    """Prediction records with their retries, drawn like the rest of them."""
+    drawn = hash_fraction(F.concat_ws(":", "run_id", "case_id", F.lit("again")))
+    return S.predictions(spark, d).withColumn("retries", F.when(drawn < 0.02, 2).when(drawn < 0.1, 1).otherwise(0))
+
+
+@query(P + f""" SELECT run_id,slice,count(*) AS n,round(quantile_cont(latency_ms,0.5),6) AS latency_ms_p50,round(quantile_cont(latency_ms,0.95),6) AS latency_ms_p95,
+ round(quantile_cont(latency_ms,0.99),6) AS latency_ms_p99,{USAGE} FROM predictions GROUP BY ALL""")
 def runtime_percentiles(spark, d):
-    return rounded(M.runtime(S.predictions(spark, d)))
+    return rounded(M.runtime(_calls(spark, d)))
+
+
+@query(P + f""" SELECT slice,count(*) AS n,{USAGE},true AS p50_within,true AS p95_within,true AS p99_within FROM predictions GROUP BY ALL""")
+def runtime_merged(spark, d):
+    """Runtime of each slice over all runs from the stored summaries of the runs; ranks of the percentiles are within 1 %."""
+    calls = _calls(spark, d)
+    stored = materialise(M.runtime_summaries(calls), "summaries")  # each run's rows are written when the run ends
+    out = materialise(M.runtime_from_summaries(M.merged_summaries(stored, ["slice"]), ["slice"]), "merged")
+    names = {"latency_ms_p50": 0.50, "latency_ms_p95": 0.95, "latency_ms_p99": 0.99}
+    off = M.rank_errors(calls, out, ["slice"], names)
+    both = out.drop(*names).join(off, "slice")
+    return rounded(both.select(*[c for c in out.columns if c not in names], *[(F.col(f"{c}_off") <= 0.01).alias(f"{c[-3:]}_within") for c in names]))
 
 
 @query(P + """, o AS (SELECT run_id,slice,latency_ms,row_number() OVER (PARTITION BY run_id,slice ORDER BY latency_ms)-1 AS i,count(*) OVER (PARTITION BY run_id,slice) AS n FROM predictions)
@@ -135,6 +158,18 @@ def latency_at_index(spark, d):
     return rounded(M.latency_at_index(S.predictions(spark, d), ["run_id", "slice"]))
 
 
+@query(P + f""", ok AS (SELECT *,lower(pred)=lower(gold) AS c FROM predictions WHERE {CMP} AND NOT (run_id='wide' AND slice='lang')),
+ f AS (SELECT run_id,slice,family_id,bool_or(c) FILTER (perturbation='none') AS a,bool_or(c) FILTER (perturbation='permuted') AS b FROM ok GROUP BY ALL),
+ s AS (SELECT run_id,slice,1000*(count(*) FILTER (a<>b)/count(*)::DOUBLE) AS v FROM f WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+ o AS (SELECT run_id,slice,latency_ms,row_number() OVER (PARTITION BY run_id,slice ORDER BY latency_ms)-1 AS i,count(*) OVER (PARTITION BY run_id,slice) AS n FROM predictions WHERE NOT (run_id='wide' AND slice='lang')),
+ t AS (SELECT run_id,slice,max(latency_ms) FILTER (i=n//2) AS p FROM o GROUP BY ALL),
+ e AS (SELECT run_id,slice FROM (SELECT DISTINCT run_id FROM predictions),(SELECT DISTINCT slice FROM predictions))
+ SELECT run_id,slice,coalesce(floor(v+0.5)::BIGINT::VARCHAR,'n/a') AS flipped_permille,coalesce(floor(p+0.5)::BIGINT::VARCHAR,'n/a') AS p50_ms FROM e LEFT JOIN s USING (run_id,slice) LEFT JOIN t USING (run_id,slice)""")
+def order_and_latency(spark, d):
+    """Order sensitivity and median latency of every run and slice; one run here did not see the `lang` slice."""
+    return M.order_and_latency(S.predictions(spark, d).where("NOT (run_id = 'wide' AND slice = 'lang')"))
+
+
 CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
        0.9994058151824183, 0.999916758850712, 0.9999898032318297, 0.9999988748269639, 0.9999998885745217]
 RESAMPLES = 2000
@@ -147,7 +182,7 @@ RESAMPLES = 2000
  m AS (SELECT run_id,slice,b,sum(w*s)/nullif(sum(w*n),0) AS m FROM f JOIN w2 USING (family_id) GROUP BY ALL)
  SELECT run_id,slice,round(quantile_cont(m,0.025),6) AS ci_low,round(quantile_cont(m,0.975),6) AS ci_high FROM m GROUP BY ALL""")
 def bootstrap_interval(spark, d):
-    """95% interval by family; 200 resamples here, 2,000 by default."""
+    """95% interval by family over 2,000 resamples."""
     return rounded(M.bootstrap_interval(materialise(S.predictions(spark, d).select(
         "run_id", "slice", "family_id", "task_type", "error", "pred", "gold", "expected_level"), "preds"), RESAMPLES))
 
