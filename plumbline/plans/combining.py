@@ -151,6 +151,20 @@ def token_batches(spark, d):
     return B.token_batches(rows, "n_chars", ["doc_id"], 48000).select("batch", "place", "doc_id")
 
 
+@query("""SELECT CASE WHEN lang='en' THEN 'english' ELSE 'other' END AS config,CASE doc_id%10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split,count(*) AS n,sum(n_chars)::BIGINT AS chars
+ FROM documents WHERE lang='en' AND doc_id%10 IN (0,1) OR lang<>'en' AND doc_id%10>1 GROUP BY ALL""")
+def landed_splits(spark, d):
+    """Two configurations of three splits landed from the documents; two splits of one and one of the other are read."""
+    root = new_path(spark, "landed")
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
+    for config, rows in (("english", docs.where("lang = 'en'")), ("other", docs.where("lang <> 'en'"))):
+        for name in ("train", "validation", "test"):
+            IO.land(rows.where(split == name), root, config, name)
+    read = IO.landed(spark, root, "english", ["test", "validation"]).unionByName(IO.landed(spark, root, "other", ["train"]))
+    return read.groupBy("config", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
 PRED_SCHEMA = "case_id string, slice string, task_type string, pred string, gold string, error string"
 
 

@@ -11,6 +11,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def land(df: DataFrame, root: str, config: str, split: str) -> None:
+    """Write one split of one configuration of a data set as root/config=.../split=..., replacing that split alone, with a line of the manifest."""
+    part = f"config={config}/split={split}"
+    df.write.mode("overwrite").parquet(f"{root}/{part}")
+    told = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{part}").agg(F.count(F.lit(1)).alias("rows"))
+    columns = F.lit(",".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields))
+    told.select(F.lit(config).alias("config"), F.lit(split).alias("split"), "rows", columns.alias("columns")).write.mode("overwrite").json(f"{root}/_manifest/{part.replace('/', '_')}")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """config, split, rows, columns of everything landed under root."""
+    return spark.read.schema("config string, split string, rows bigint, columns string").json(f"{root}/_manifest/*")
+
+
+def landed(spark: SparkSession, root: str, config: str, splits: list[str] | None = None) -> DataFrame:
+    """One configuration of a landed data set, some of its splits or all, with the columns config and split.
+
+    Both name folders, so only those of the wanted splits are listed and read. A configuration or split that the manifest does
+    not name stops the job, and so do splits of different columns; a split without rows is read as none.
+    """
+    have = {r.split: r.columns for r in manifest(spark, root).where(F.col("config") == config).select("split", "columns").collect()}  # a few splits
+    wanted = sorted(have) if splits is None else list(dict.fromkeys(splits))
+    missing = [s for s in wanted if s not in have]
+    if missing or not wanted:
+        raise ValueError(f"configuration {config!r} has no split {missing or 'at all'}")
+    if len({have[s] for s in wanted}) > 1:
+        raise ValueError(f"the splits of configuration {config!r} differ in their columns")
+    schema = T.StructType([*T.StructType.fromDDL(", ".join(f"`{c.split(' ', 1)[0]}` {c.split(' ', 1)[1]}" for c in _fields(have[wanted[0]]))).fields, T.StructField("config", T.StringType()), T.StructField("split", T.StringType())])
+    return spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/config={config}/split={s}" for s in wanted])
+
+
+def _fields(columns: str) -> list[str]:
+    """The entries of a manifest's column list, cut at commas outside of brackets."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
     """JSON lines under a fixed schema; blank lines are skipped and a broken line is kept in _corrupt_record.
 

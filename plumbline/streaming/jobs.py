@@ -7,6 +7,7 @@ replayed batch harmless.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,28 +96,49 @@ def read_labels(spark: SparkSession, labels_path: str) -> DataFrame:
 
 
 def filtered_pass(stream: DataFrame, keep, kept_path: str, counts_path: str, checkpoint: str, max_kept: int | None = None, max_seen: int | None = None,
-                  order: str = "idx") -> StreamingQuery:
+                  order: str = "idx", endless: bool = False) -> StreamingQuery:
     """Incremental pass over an unbounded source: rows passing a filter are kept, with running counts per batch.
 
-    With limits the pass stops keeping rows once max_kept were kept or max_seen were seen; both counts carry over batches.
+    With limits the query ends by itself once max_kept were kept or max_seen were seen; both counts carry over batches and
+    restarts, and `seen` counts up to the row that met the limit. A batch is admitted by its files (see read_files), written once
+    and then read from there; a batch after the stop is never read, so its files are not opened. endless: go on waiting for files
+    instead of ending with those that are there.
     """
-    spark = stream.sparkSession
+    spark, met = stream.sparkSession, threading.Event()
     counts_schema = T.StructType([T.StructField("seen", T.LongType()), T.StructField("kept", T.LongType()), T.StructField("batch", T.LongType())])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         past = _written(spark, counts_path, counts_schema).where(F.col("batch") < batch_id).agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("s"), F.coalesce(F.sum("kept"), F.lit(0)).alias("k")).first()
-        good = batch.where(keep)
-        if max_seen is not None:
-            left = max(0, max_seen - past["s"])
-            good = batch.orderBy(order).limit(left).where(keep)
-        if max_kept is not None:
-            good = good.orderBy(order).limit(max(0, max_kept - past["k"]))
+        left = [None if most is None else most - past[c] for most, c in ((max_seen, "s"), (max_kept, "k"))]
+        if any(n is not None and n <= 0 for n in left):
+            met.set()
+            return
+        staged = f"{kept_path}-staged/batch={batch_id}"
+        batch.withColumn("_keep", F.coalesce(keep, F.lit(False))).write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        shown = rows if left[0] is None else rows.orderBy(order).limit(left[0])
+        good = shown.where("_keep").drop("_keep")
         out = f"{kept_path}/batch={batch_id}"
-        good.write.mode("overwrite").parquet(out)
-        kept = spark.read.schema(batch.schema).parquet(out).count()
-        spark.range(1).select(F.lit(batch.count()).cast("bigint").alias("seen"), F.lit(kept).cast("bigint").alias("kept")).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
-
-    return _start(stream, each, checkpoint)
+        (good if left[1] is None else good.orderBy(order).limit(left[1])).write.mode("overwrite").parquet(out)
+        kept, last = spark.read.schema(batch.schema).parquet(out).agg(F.count(F.lit(1)), F.max(order) if left[1] is not None else F.lit(None)).first()
+        full = left[1] is not None and kept >= left[1]
+        seen = shown.where(F.col(order) <= F.lit(last)).count() if full else shown.count()
+        spark.range(1).select(F.lit(seen).cast("bigint").alias("seen"), F.lit(kept).cast("bigint").alias("kept")).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
+        if full or left[0] is not None and seen >= left[0]:
+            met.set()
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime="1 second") if endless else writer.trigger(availableNow=True)).start()
+    if max_kept is not None or max_seen is not None:
+        threading.Thread(target=_stop_when, args=(query, met), daemon=True).start()
+    return query
+
+
+def _stop_when(query: StreamingQuery, met: threading.Event) -> None:
+    while query.isActive:
+        if met.wait(0.2):
+            query.stop()
+            return
 
 
 def answers(scored: DataFrame, calibration: DataFrame) -> DataFrame:

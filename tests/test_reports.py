@@ -1,5 +1,6 @@
 """Packing, closures, runtime summaries and report tables on hand-made rows."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import batching, compare, lineage, metrics
+from plumbline.sources import tables
+from plumbline.streaming import jobs
 
 
 def greedy(lengths, budget):
@@ -81,3 +84,56 @@ def test_report_tables(spark):
     assert got == {("a", "s"): ("1000", "20"), ("a", "t"): ("n/a", "7"), ("b", "s"): ("n/a", "30"), ("b", "t"): ("n/a", "n/a")}
     out = compare.served_check(preds.where("run_id = 'a'"), preds.where("run_id = 'b'"), 0.4).first()
     assert (out.cases, out.errors, out.p50_ms, out.p95_ms, out.passed) == (2, 1, 30.0, 30.0, True)
+
+
+def numbered_files(spark, root, n, rows=10):
+    """Files of `rows` rows with ascending idx, in the order of their times."""
+    os.makedirs(root)
+    for i in range(n):
+        spark.range(i * rows, (i + 1) * rows).withColumnRenamed("id", "idx").coalesce(1).write.parquet(f"{root}-{i}")
+        name = next(f for f in os.listdir(f"{root}-{i}") if f.endswith(".parquet"))
+        with open(f"{root}-{i}/{name}", "rb") as source, open(f"{root}/f{i}.parquet", "wb") as target:
+            target.write(source.read())
+        os.utime(f"{root}/f{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+@pytest.mark.parametrize(("limits", "kept", "seen"), [({"max_kept": 7}, [0, 3, 6, 9, 12, 15, 18], 19), ({"max_seen": 15}, [0, 3, 6, 9, 12], 15), ({"max_kept": 4, "max_seen": 15}, [0, 3, 6, 9], 10)])
+def test_a_pass_stops_its_source(spark, tmp_path, limits, kept, seen):
+    root = f"{tmp_path}/in"
+    numbered_files(spark, root, 5)
+    for i in (2, 3, 4):  # what follows the stop cannot be read
+        with open(f"{root}/f{i}.parquet", "wb") as broken:
+            broken.write(b"not a table")
+        os.utime(f"{root}/f{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def run(endless=False):
+        stream = jobs.read_files(spark, root, spark.range(0).withColumnRenamed("id", "idx").schema, files_per_batch=1)
+        query = jobs.filtered_pass(stream, F.col("idx") % 3 == 0, f"{tmp_path}/kept", f"{tmp_path}/counts", f"{tmp_path}/check", **limits, endless=endless)
+        assert query.awaitTermination(60)
+
+    run(endless=True)
+    counts = lambda: spark.read.parquet(f"{tmp_path}/counts/batch=*").agg(F.sum("seen"), F.sum("kept")).first()
+    rows = lambda: sorted(r.idx for r in spark.read.parquet(f"{tmp_path}/kept/batch=*").collect())
+    assert (rows(), tuple(counts())) == (kept, (seen, len(kept)))
+    run()
+    assert (rows(), tuple(counts())) == (kept, (seen, len(kept)))
+
+
+def test_landed_splits_are_the_only_ones_read(spark, tmp_path):
+    root = f"{tmp_path}/set"
+    for config in ("a", "b"):
+        for split in ("train", "test", "dev"):
+            tables.land(spark.range(5 if split == "train" else 2).select("id", F.array(F.struct(F.lit(1).alias("x"), F.lit("y").alias("z"))).alias("parts")), root, config, split)
+    tables.land(spark.range(0).select("id", F.array(F.struct(F.lit(1).alias("x"), F.lit("y").alias("z"))).alias("parts")), root, "b", "dev")
+    read = tables.landed(spark, root, "a", ["train", "dev"])
+    assert {(r.config, r.split): r.n for r in read.groupBy("config", "split").agg(F.count("*").alias("n")).collect()} == {("a", "train"): 5, ("a", "dev"): 2}
+    assert all("config=a/split=train" in f or "config=a/split=dev" in f for f in read.inputFiles())
+    assert "config=b" not in read._jdf.queryExecution().executedPlan().toString()
+    assert tables.landed(spark, root, "b").count() == 7 and tables.landed(spark, root, "b", ["dev"]).count() == 0
+    assert sorted((r.config, r.split, r["rows"]) for r in tables.manifest(spark, root).collect())[0] == ("a", "dev", 2)
+    for config, splits in (("c", None), ("a", ["valid"])):
+        with pytest.raises(ValueError, match="has no split"):
+            tables.landed(spark, root, config, splits)
+    tables.land(spark.range(3), root, "a", "odd")
+    with pytest.raises(ValueError, match="differ"):
+        tables.landed(spark, root, "a")
