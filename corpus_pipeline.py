@@ -3,7 +3,7 @@
 quality -> near duplicates -> repeated passages -> benchmark decontamination -> byte-level BPE. All stages but the last return
 the columns of the documents; where a stage changes a text it sets n_chars anew. Rows without id are judged by their text alone:
 they pass the stages that compare documents. No stage is expressible in SQL as a whole (a trained network comes first), so
-there is no ORACLE_SQL; tests/llm compares the stages with brute force.
+there is no ORACLE_SQL; tests/llm checks invariants of the stages.
 """
 
 from __future__ import annotations
