@@ -50,7 +50,7 @@ def mcnemar_p(newly_wrong, newly_right) -> Column:
 
 
 def _poisson_steps() -> list[int]:
-    """The 32-bit values up to which a uniform draw stands for 0, 1, ...; from the last on, no 32-bit value is left."""
+    """The 32-bit values up to which a uniform draw stands for 0, 1, ... of Poisson(1); from the last on, no 32-bit value is left."""
     out, total, term = [], 0.0, math.exp(-1.0)
     while not out or out[-1] < 0xFFFFFFFF:
         total += term
@@ -60,15 +60,3 @@ def _poisson_steps() -> list[int]:
 
 
 POISSON_STEPS = _poisson_steps()
-
-
-def poisson_one(hex_digits) -> Column:
-    """Poisson(1) draw out of eight hex digits, by the inverse distribution function.
-
-    Hex digits of one length sort as text like the numbers they write, so nothing is converted.
-    """
-    col = _c(hex_digits)
-    out = F.when(col <= f"{POISSON_STEPS[0]:08x}", 0)
-    for k, top in enumerate(POISSON_STEPS[1:], 1):
-        out = out.when(col <= f"{top:08x}", k)
-    return out

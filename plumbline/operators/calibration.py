@@ -1,15 +1,18 @@
 """Calibrators fitted for every group in one job: temperatures on a fixed grid, Platt scaling by Newton steps.
 
 Input rows carry the group columns and, for a temperature, `z` (log-probabilities) and `g` (gold position); for Platt scaling
-`x` (log-odds) and `y` (0 or 1). Groups are never collected: each round is a map-side aggregate over all rows, with the few
-parameters of a group attached.
+`x` (log-odds) and `y` (0 or 1). Groups are never collected: temperatures come from one scan that sums every grid point, and a
+round of Platt scaling is a map-side aggregate over all rows, with the few parameters of a group attached.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,12 @@ from ..functions.options import keys_of
 from ..functions.probability import from_map, let, logits, platt, softmax
 from ..functions.stats import ece_bin
 from ..sources.tables import failed
-from .scale import attach, fits_broadcast, materialise
+from .scale import attach, fits_broadcast, materialise, spread
 
 # 200 temperatures, evenly spaced in log from 0.25 to 50.
 GRID_SIZE, GRID_LOW, GRID_HIGH = 200, 0.25, 50.0
 GRID = [math.exp(math.log(GRID_LOW) + (math.log(GRID_HIGH) - math.log(GRID_LOW)) * i / (GRID_SIZE - 1)) for i in range(GRID_SIZE)]
-PROBES = 9
+GROUPS_HELD, VALUES = 4096, 8192  # of one task: 6.5 MB of sums, a matrix of 13 MB
 RIDGE = 1e-2
 MIN_SLICE_ROWS = 20
 POOLED = "*"
@@ -40,54 +43,72 @@ def items(preds: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.when(noul, F.get("z", F.lit(1)) - F.get("z", F.lit(0)))).withColumn("y", F.when(noul, F.col("g").cast("double")))
 
 
-MAX_INLINE = 32
+def _grid_sums(batches, by: list[str]):
+    """Per group the summed loss of every temperature, as one array; at most GROUPS_HELD groups are held at a time.
 
-
-def _grid_losses(data: DataFrame, by: list[str], temperatures: list, options: int) -> DataFrame:
-    """(by, n, l0, l1, ...): summed loss per temperature column, the log of the summed odds against the gold option of every row.
-
-    One aggregate with a sum per temperature, no row is copied. The odds of up to MAX_INLINE options are columns, written out
-    term by term in generated code; a row with more options is summed by a higher-order function.
+    A row's loss is the log of its summed odds against the gold option. Rows go through in slices of about VALUES options, so a
+    slice is a matrix of options by temperatures, summed row by row, then group by group.
     """
-    width = min(options, MAX_INLINE)
-    flat = data.withColumns({f"_d{j}": F.coalesce(F.get("d", F.lit(j)), F.lit(float("-inf"))) for j in range(width)})
-
-    def loss(t):
-        odds = F.exp(F.col("_d0") / t)
-        for j in range(1, width):
-            odds = odds + F.exp(F.col(f"_d{j}") / t)
-        if options > MAX_INLINE:
-            odds = F.when(F.size("d") <= MAX_INLINE, odds).otherwise(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(x / t)))
-        return F.log(odds)
-
-    return flat.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(loss(t)).alias(f"l{k}") for k, t in enumerate(temperatures)])
+    inverse, held, kinds = 1.0 / np.array(GRID), {}, []
+
+    def out():
+        keys = list(held)
+        columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+        sums, n = pa.array([held[k][0] for k in keys], pa.list_(pa.float64())), pa.array([held[k][1] for k in keys], pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, sums, n], names=[*by, "l", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds = [batch.schema.field(c).type for c in by]
+        numbers, group = {}, np.empty(batch.num_rows, dtype=np.int64)
+        for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in by]) if by else [()] * batch.num_rows):
+            group[i] = numbers.setdefault(key, len(numbers))
+        keys, counts = list(numbers), np.bincount(group)
+        if len(held) + len(keys) > GROUPS_HELD and held:
+            yield out()
+            held.clear()
+        for k, n in zip(keys, counts):
+            held.setdefault(k, [np.zeros(GRID_SIZE), 0])[1] += int(n)
+        lengths = np.array(batch.column("n_values"))
+        rows = np.flatnonzero(lengths > 0)  # the others have no usable gold: they count, but have no loss
+        rows = rows[np.argsort(group[rows], kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        flat = batch.column("d").flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths[rows])
+        at = 0
+        while at < len(rows):
+            before = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, before + VALUES, side="right")), at + 1)
+            some = rows[at:to]
+            places = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in some])
+            offsets = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+            loss = np.log(np.add.reduceat(np.exp(np.multiply.outer(flat[places], inverse)), offsets))
+            mine = group[some]
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            for g, total in zip(mine[first], np.add.reduceat(loss, first)):
+                held[keys[g]][0] += total
+            at = to
+    if held:
+        yield out()
 
 
 def fit_temperature(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, temperature, n): the grid point with the lowest mean loss, the lowest temperature winning a tie.
 
-    The loss is convex in 1/T, so its grid has one valley. A round scores PROBES points of every group's stretch of the grid
-    and keeps the stretch between the neighbours of the best one, until a round has scored every point that is left: four
-    rounds and 36 scores a row give the same minimum as all 200. A round is one aggregate over narrow rows with few enough
-    terms to be compiled. Rounding keeps summation order from deciding between points that are equal.
+    The rows are read once and never written: a task sums the losses of all grid points per group, and only those arrays are
+    shuffled. Rounding keeps summation order from deciding between points that are equal. A row whose gold option is missing
+    counts in n and has no loss.
     """
     by = list(by)
-    narrow = rows.select(*by, F.expr("transform(z, v -> v - get(z, g))").alias("d"))
-    data = materialise(narrow, "logits", for_cpu=True)
-    options = data.agg(F.max(F.size("d"))).first()[0] or 1
-    grid = F.array(*[F.lit(t) for t in GRID])
-    point = lambda k: F.round(F.col("low") + (F.col("high") - F.col("low")) * F.lit(k / (PROBES - 1))).cast("int")
-    held, width = data.withColumns({"low": F.lit(0), "high": F.lit(GRID_SIZE - 1)}), GRID_SIZE - 1
-    while True:
-        placed = held.withColumns({f"_t{k}": F.get(grid, point(k)) for k in range(PROBES)})
-        losses = _grid_losses(placed, [*by, "low", "high"], [F.col(f"_t{k}") for k in range(PROBES)], options)
-        mean = F.array(*[F.struct(F.round(F.col(f"l{k}") / F.col("n"), 12).alias("l"), F.lit(k).alias("k")) for k in range(PROBES)])
-        best, points = F.array_min(mean)["k"], F.array(*[point(k) for k in range(PROBES)])
-        if width < PROBES:
-            return losses.select(*by, F.get(grid, F.get(points, best)).alias("temperature"), "n")
-        width = 2 * (-(-width // (PROBES - 1)) + 1)
-        ends = losses.select(*by, F.get(points, F.greatest(best - 1, F.lit(0))).alias("low"), F.get(points, F.least(best + 1, F.lit(PROBES - 1))).alias("high"))
-        held = attach(data, materialise(ends, "stretch"), by, ready=True, spread=["d"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    usable = F.col("g").isNotNull() & F.get("z", F.col("g")).isNotNull()
+    narrow = rows.select(*by, F.when(usable, F.expr("transform(filter(z, v -> v IS NOT NULL), v -> v - get(z, g))")).otherwise(F.array().cast("array<double>")).alias("d"))
+    narrow = spread(narrow.withColumn("n_values", F.size("d")))
+    sums = narrow.mapInArrow(partial(_grid_sums, by=by), ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "l array<double>", "n bigint"]))
+    points = sums.select(*by, "n", F.posexplode("l").alias("i", "l")).groupBy(*by, "i").agg(F.sum("l").alias("l"), F.sum("n").alias("n"))
+    best = points.groupBy(*by).agg(F.min(F.struct(F.round(F.col("l") / F.col("n"), 12).alias("l"), "i", "n")).alias("best"))
+    return best.select(*by, F.get(F.array(*[F.lit(t) for t in GRID]), F.col("best.i")).alias("temperature"), F.col("best.n").alias("n"))
 
 
 def fit_platt(rows: DataFrame, by: Sequence[str], ridge: float = RIDGE, max_rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:

@@ -83,21 +83,26 @@ def shared_families(a: DataFrame, b: DataFrame, family: str = "family_id") -> Da
 def first_source_wins(rows: DataFrame, text: str, priority: str, idx: str, min_chars: int = 8) -> DataFrame:
     """One row per normalised text over all pools: the lowest (priority, idx). Texts under min_chars drop.
 
-    (priority, idx) names a row. Only hashes and names are aggregated, on the map side first; the texts meet the winners' names.
+    (priority, idx) names a row. A text is cleaned and hashed once; hashes and names are written, and the texts meet the
+    winners' names.
     """
     trimmed = F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    clean = rows.withColumn(text, trimmed).where(F.length(text) >= min_chars)
-    keyed = clean.withColumn("_h", text_hash(text))
-    best = keyed.groupBy("_h").agg(F.min(F.struct(priority, idx)).alias("_r")).select("_h", f"_r.{priority}", f"_r.{idx}")
-    return keyed.join(best, ["_h", priority, idx], "left_semi").select(*rows.columns)
+    clean = rows.withColumn(text, trimmed)
+    names = clean.where(F.length(text) >= min_chars).select(F.unhex(text_hash(text)).alias("_h"), priority, idx)
+    return clean.join(_winners(names, [priority, idx]), [priority, idx], "left_semi").select(*rows.columns)
 
 
 def drop_exact_copies(rows: DataFrame, states: Sequence[str], order: str) -> DataFrame:
     """One row per canonical content of some columns: the lowest `order`, which names a row."""
     key = F.sha2(F.concat_ws("\u001f", *[F.coalesce(canonical_json(s), F.lit("null")) for s in states]), 256)
-    keyed = rows.withColumn("_h", key)
-    best = keyed.groupBy("_h").agg(F.min(order).alias(order))
-    return keyed.join(best, ["_h", order], "left_semi").select(*rows.columns)
+    return rows.join(_winners(rows.select(F.unhex(key).alias("_h"), order), [order]), order, "left_semi")
+
+
+def _winners(names: DataFrame, name: list[str]) -> DataFrame:
+    """The lowest name of every hash, of rows (_h, name columns), written: the reader may broadcast it by its size."""
+    if len(name) == 1:  # a plain minimum is summed by hash, one of structs by sorting
+        return materialise(names.groupBy("_h").agg(F.min(name[0]).alias(name[0])).drop("_h"), "winners")
+    return materialise(names.groupBy("_h").agg(F.min(F.struct(*name)).alias("_r")).select("_r.*"), "winners")
 
 
 def usage_violations(sources: DataFrame, registry: DataFrame, use: str = "train") -> DataFrame:

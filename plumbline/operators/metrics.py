@@ -7,16 +7,22 @@ probabilities; the bootstrap interval is the 2.5 and 97.5 percentile of resample
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import brier_sum, decision_loss, logits, one_hot, ranked_probability_score
-from ..functions.stats import ece_bin, is_correct, poisson_one
+from ..functions.stats import POISSON_STEPS, ece_bin, is_correct
 from ..sources.tables import failed
 from .scale import attach, materialise, running_totals, task_count, values_at, with_scalar
 
 BY = ["run_id", "slice", "task_type"]
 SKETCH_K = 800
+SUMS_HELD = 512  # arrays of one task in the interval: 16 MB at 2,000 draws
 
 
 def answered(preds: DataFrame) -> DataFrame:
@@ -255,26 +261,55 @@ def latency_at_index(rows: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap_interval(preds: DataFrame, resamples: int = 2000, seed="bootstrap") -> DataFrame:
     """95% interval of the headline, resampling whole families with Poisson(1) weights drawn from a hash.
 
-    Cases shrink to family sums first; eight draws come out of one digest. The exploded draws meet a map-side aggregate whose size is slices times resamples.
+    Cases shrink to family sums first. A task draws a family's weights once for all runs and slices, eight out of one digest,
+    and keeps only the weighted sums of each run and slice, as arrays with a place per draw; the tasks' arrays are added up.
+    Records without a family take no part.
     """
     score = F.col("task_type") == "score"
     value = F.when(score, F.abs(F.col("expected_level") - F.col("gold").cast("double"))).otherwise(is_correct("pred", "gold").cast("double"))
-    families = answered(preds).groupBy("run_id", "slice", "family_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    # One row per family with its few (run, slice) sums, spread over all cores: a draw is hashed once for every run.
-    cells = families.repartition(task_count(preds), "family_id").groupBy("family_id").agg(
-        F.collect_list(F.struct("run_id", "slice", "s", "n")).alias("cells"))
-    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8))))
-    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("block"), F.col("family_id")), 256)
-    weights = [poisson_one(F.substring("h", 8 * i + 1, 8)).alias(f"w{i}") for i in range(8)]
-    drawn = blocks.select("block", "cells", digest.alias("h")).select("block", "cells", *weights)  # once for all runs of a family
-    drawn = drawn.withColumn("c", F.explode("cells")).select("block", "c.*", *[f"w{i}" for i in range(8)])
-    sums = drawn.groupBy("run_id", "slice", "block").agg(*[F.sum(F.col(f"w{i}") * F.col(c)).alias(f"{c}{i}") for i in range(8) for c in ("s", "n")])
-    each_draw = F.posexplode(F.array(*[F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"n{i}")) for i in range(8)])).alias("i", "m")
-    means = sums.select("run_id", "slice", "block", each_draw).where(F.col("block") * 8 + F.col("i") < resamples)
+    families = answered(preds).where("family_id IS NOT NULL").groupBy("run_id", "slice", "family_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    near = families.repartition(task_count(preds), "family_id").sortWithinPartitions("family_id")
+    types = {f.name: f.dataType.simpleString() for f in families.schema}
+    drawn = near.mapInArrow(partial(_weighted_sums, resamples=resamples, seed=str(seed)), f"run_id {types['run_id']}, slice {types['slice']}, s array<double>, n array<double>, known boolean")
+    each = drawn.select("run_id", "slice", "known", F.posexplode(F.arrays_zip("s", "n")).alias("draw", "w"))
+    means = each.groupBy("run_id", "slice", "draw").agg(F.when(F.bool_or("known"), F.try_divide(F.sum("w.s"), F.sum("w.n"))).alias("m"))
     ends = means.groupBy("run_id", "slice").agg(F.percentile("m", [0.025, 0.975]).alias("q"))  # `resamples` values a group
     return ends.select("run_id", "slice", F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"))
 
 
+def _weighted_sums(batches, resamples: int, seed: str):
+    """Per run and slice the sums of weight * s and weight * n of every draw; at most SUMS_HELD of them are held at a time."""
+    steps, digests, held = np.array(POISSON_STEPS, dtype=np.uint64), -(-resamples // 8), {}
+
+    def weights(family):
+        hashed = b"".join(hashlib.sha256(f"{seed}:{i}:{family}".encode()).digest() for i in range(digests))
+        return np.searchsorted(steps, np.frombuffer(hashed, ">u4")[:resamples], side="left").astype(float)
+
+    def out():
+        keys, sums = list(held), [held[k] for k in held]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], kinds[0]), pa.array([k[1] for k in keys], kinds[1]), pa.array([x[0] for x in sums], pa.list_(pa.float64())),
+                                           pa.array([x[1] for x in sums], pa.list_(pa.float64())), pa.array([x[2] for x in sums], pa.bool_())], names=["run_id", "slice", "s", "n", "known"])
+
+    last, w = None, None
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in ("run_id", "slice")]
+        for run, part, family, s, n in zip(*[batch.column(c).to_pylist() for c in ("run_id", "slice", "family_id", "s", "n")]):
+            if family != last:
+                last, w = family, weights(family)
+            if (run, part) not in held:
+                if len(held) >= SUMS_HELD:
+                    yield out()
+                    held.clear()
+                held[run, part] = [np.zeros(resamples), np.zeros(resamples), False]
+            sums = held[run, part]
+            if s is not None:
+                sums[0] += w * s
+                sums[2] = True
+            sums[1] += w * n
+    if held:
+        yield out()
+
+
 def decision_losses(rows: DataFrame) -> DataFrame:
     """Mean training loss and accuracy per family and task type of (probs, target) rows."""
     loss = decision_loss(logits("probs"), "target", "task_type")
