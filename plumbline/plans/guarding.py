@@ -113,22 +113,32 @@ def usage_guard(spark, d):
 
 
 def _replies(spark, d):
-    """One reply per 40 parts: a family in free text, or text that is not JSON."""
-    part = table(spark, d, "part")
-    inst = F.struct(F.struct(F.col("p_size").alias("size"), F.col("p_type").alias("kind")).alias("state"), F.when(F.col("p_size") > 25, F.lit("true")).otherwise(F.lit("False")).alias("answer"))
-    fams = part.groupBy(F.floor(F.col("p_partkey") / 40).alias("idx")).agg(F.collect_list(inst).alias("instances"))
-    spec = F.to_json(F.struct(F.concat(F.lit("Part Size "), F.col("idx")).alias("family_name"), F.lit("Is the part large?").alias("instructions"),
-                              F.struct(F.lit("yes").alias("true"), F.lit("no").alias("false")).alias("options"), "instances"))
-    text = F.when(F.col("idx") % 5 == 4, F.concat(F.lit("sorry {"), spec)).otherwise(F.concat(F.lit("Here it is:\n"), spec, F.lit("\nDone.")))
-    return fams.select("idx", F.lit("noul").alias("qtype"), text.alias("reply"))
-
-
-@query("""WITH p AS (SELECT p_partkey//40 AS idx,p_size,p_type,(p_size>25)::VARCHAR AS gold FROM part WHERE (p_partkey//40)%5<>4),n AS (SELECT idx FROM p GROUP BY 1 HAVING count(*)>=8),
- o AS (SELECT DISTINCT idx,p_size,p_type,gold FROM p WHERE idx IN (SELECT idx FROM n)) SELECT 'syn_'||printf('%04d',idx)||'_part_size_'||idx AS family,gold,count(*) AS n FROM o
+    """One reply per 40 parts: a family of one of the three answer types in free text, or text that is not JSON."""
+    part = table(spark, d, "part").withColumn("idx", F.floor(F.col("p_partkey") / 40))
+    size, kind = F.col("p_size"), F.col("idx") % 3
+    level = F.when(size > 33, 2).when(size > 16, 1).otherwise(0).cast("string")
+    answer = F.when(kind == 0, F.when(size > 25, F.lit("true")).otherwise(F.lit("False"))).when(kind == 1, F.concat(F.lit(" size"), level)).otherwise(level)
+    inst = F.struct(F.struct(size.alias("size"), F.col("p_type").alias("kind")).alias("state"), answer.alias("answer"))
+    fams = part.groupBy("idx").agg(F.collect_list(inst).alias("instances"))  # 40 parts
+
+    def spec(question, options):
+        return F.to_json(F.struct(F.concat(F.lit("Part Size "), F.col("idx")).alias("family_name"), F.lit(question).alias("instructions"), options.alias("options"), "instances"))
+
+    named = F.struct(*[F.lit(text).alias(f"size{i}") for i, text in enumerate(("small", "middle", "large"))])
+    body = F.when(kind == 0, spec("Is the part large?", F.struct(F.lit("yes").alias("true"), F.lit("no").alias("false")))).when(
+        kind == 1, spec("Which size has the part?", named)).otherwise(spec("How large is the part?", F.array(*[F.lit(x) for x in ("small", "middle", "large")])))
+    text = F.when(F.col("idx") % 5 == 4, F.concat(F.lit("sorry {"), body)).otherwise(F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone.")))
+    return fams.select("idx", F.when(kind == 0, F.lit("noul")).when(kind == 1, F.lit("choice")).otherwise(F.lit("score")).alias("qtype"), text.alias("reply"))
+
+
+@query("""WITH p AS (SELECT p_partkey//40 AS idx,p_size,p_type,CASE WHEN p_size>33 THEN '2' WHEN p_size>16 THEN '1' ELSE '0' END AS level FROM part WHERE (p_partkey//40)%5<>4),
+ a AS (SELECT idx,p_size,p_type,CASE idx%3 WHEN 0 THEN 'noul' WHEN 1 THEN 'choice' ELSE 'score' END AS qtype,CASE idx%3 WHEN 0 THEN (p_size>25)::VARCHAR WHEN 1 THEN 'size'||level ELSE level END AS gold FROM p),
+ n AS (SELECT idx FROM a GROUP BY 1 HAVING count(*)>=8),o AS (SELECT DISTINCT idx,p_size,p_type,qtype,gold FROM a WHERE idx IN (SELECT idx FROM n))
+ SELECT 'syn_'||printf('%04d',idx)||'_part_size_'||idx AS family,qtype,gold,count(*) AS n FROM o
  WHERE idx IN (SELECT idx FROM o GROUP BY 1 HAVING count(*)>=8 AND count(DISTINCT gold)>=2) GROUP BY ALL""")
 def generated_families(spark, d):
-    """Families parsed out of free text, validated, deduplicated by state."""
-    return G.generated_families(_replies(spark, d)).groupBy("family", "gold").agg(F.count(F.lit(1)).alias("n"))
+    """Families of every answer type parsed out of free text, validated, deduplicated by state."""
+    return G.generated_families(_replies(spark, d)).groupBy("family", "qtype", "gold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id,CASE WHEN event_id%3=0 THEN props WHEN event_id%3=1 THEN NULL ELSE props END AS body FROM events""")
