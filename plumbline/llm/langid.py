@@ -6,7 +6,8 @@ learning rows; the log-probability matrix (languages times BUCKETS, bounded by M
 slice of texts at once: the bucket of every n-gram picks a row of the matrix, and the rows are summed text by text.
 
 Defined cases: `und` with score 0 for a null text, one without letters, or when nothing could be learnt. A row without text,
-language or id teaches nothing. The score is the posterior probability of the predicted language.
+language or id teaches nothing. The score is the posterior probability of the predicted language; of languages with equal
+posteriors the first by code points is predicted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix, slices
-from .common import even, in_arrow, narrow, query, table
+from .common import even, in_arrow, materialise, narrow, query, table
 from .pieces import LETTER, code_points, tables
 
 BITS = 15
@@ -85,19 +86,29 @@ def _counts(batches):
         yield [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[name]))]
 
 
+def _column(table: pa.Table) -> pa.Table:
+    """One language's documents and its column of the matrix, of at most BUCKETS + 1 counts."""
+    dense = np.zeros(BUCKETS + 1)
+    dense[table.column("bucket").to_numpy()] = table.column("n").to_numpy()  # bucket -1, the last place: documents
+    seen = dense[:-1] + SMOOTHING
+    return pa.table({"lang": table.column("lang").slice(0, 1), "docs": pa.array(dense[-1:]), "logs": pa.array([np.log(seen / seen.sum()).astype(np.float32)], pa.list_(pa.float32()))})
+
+
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors and the matrix (BUCKETS, languages) from rows with text and lang."""
+    """Languages, log priors and the matrix (BUCKETS, languages) from rows with text and lang.
+
+    The driver gets one array per language, in Arrow, after their number has been checked.
+    """
     usable = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = in_arrow(usable, _counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r[0] for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
+    sums = materialise(in_arrow(usable, _counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    if sums.where("bucket = -1").limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    dense = np.zeros((BUCKETS + 1, len(names)))
-    place = {x: i for i, x in enumerate(names)}
-    for lang, bucket, n in sums.collect():  # at most languages times BUCKETS
-        dense[bucket, place[lang]] = n
-    prior, seen = dense[-1], dense[:-1] + SMOOTHING
-    return names, np.log(prior / max(prior.sum(), 1)), np.log(seen / seen.sum(0)).astype(np.float32)
+    made = sums.groupBy("lang").applyInArrow(_column, "lang string, docs double, logs array<float>").toArrow()
+    names, docs = made.column("lang").to_pylist(), made.column("docs").to_numpy()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    logs = made.column("logs").combine_chunks()
+    flat = logs.flatten().to_numpy() if len(names) else np.zeros(0, np.float32)
+    return [names[i] for i in order], np.log(docs[order] / max(docs.sum(), 1)), np.ascontiguousarray(flat.reshape(-1, BUCKETS)[order].T)
 
 
 def _score(batches, model):

@@ -215,6 +215,48 @@ def test_language_odd_rows(odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_against_counting_gram_by_gram(spark):
+    import math
+    from collections import Counter
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0xD6E8FEB86659FD93 + int(langid.signs()[ord(c)])) % 2**64
+        h = int(arrays.mix(np.array([h], np.uint64))[0]) if len(gram) > 1 else h
+        return h >> 64 - langid.BITS
+
+    def of(text):
+        return [bucket(text[i:i + k]) for k in (1, 2, 3) for i in range(len(text) - k + 1)]
+
+    rng = random.Random(3)
+    kinds = {"a": "abcdefg hij", "b": "hijklmé nop", "c": "defghij kl"}
+    rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))), lang) for i, (lang, letters) in enumerate(list(kinds.items()) * 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, docs = {k: Counter() for k in kinds}, Counter(lang for _, _, lang in rows)
+    for _, text, lang in rows:
+        counts[lang].update(of(text))
+    names, prior, matrix = langid.learn(df)
+    assert names == sorted(kinds) and matrix.shape == (langid.BUCKETS, 3)
+    for r in langid.identify(df, (names, prior, matrix)).collect():
+        text, log = rows[r.doc_id][1], {}
+        for k, seen in counts.items():
+            total = sum(seen.values()) + langid.SMOOTHING * langid.BUCKETS
+            log[k] = math.log(docs[k] / len(rows)) + sum(float(np.float32(math.log((seen[g] + langid.SMOOTHING) / total))) for g in of(text))
+        top = max(log.values())
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert r.lang_pred == min(k for k in log if log[k] > top - 1e-9)
+        assert r.score == pytest.approx(1 / sum(math.exp(v - top) for v in log.values()), abs=1e-5)
+
+
+def test_languages_that_tie(spark):
+    both = spark.createDataFrame([(1, "abc abd", "y"), (2, "abc abd", "x")], "doc_id long, text string, lang string")
+    got = langid.identify(both, langid.learn(both)).collect()
+    assert {r.lang_pred for r in got} == {"x"} and all(r.score == pytest.approx(0.5) for r in got)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(6, 1), (1, 0), (None, 1), (2, None), (9, 0), (9, 1)], "doc_id long, label int")
     weights = quality.learn(narrow(odd, doc_id="doc_id", text="text"), labels, steps=3)
