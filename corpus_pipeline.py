@@ -2,7 +2,8 @@
 
 quality -> near duplicates -> repeated passages -> benchmark decontamination -> byte-level BPE. All stages but the last return
 the columns of the documents; where a stage changes a text it sets n_chars anew. Rows without id are judged by their text alone:
-they pass the stages that compare documents. No stage is expressible in SQL as a whole (a trained network comes first), so
+they pass the stages that compare documents. Null texts count as empty; an empty table gives an empty table; other columns are
+carried, whatever their names. No stage is expressible in SQL as a whole (a trained network comes first), so
 there is no ORACLE_SQL; tests/llm checks invariants of the stages.
 """
 
@@ -26,9 +27,12 @@ def _restored(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches REJECT."""
+    """Documents whose quality score reaches REJECT; rows that share an id are judged one by one, empty texts like any other."""
     weights = quality.model(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(even(docs, "doc_id"), weights, SCORE).where(F.col(SCORE) >= REJECT).drop(SCORE)
+    name = SCORE
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return quality.scored(even(docs, "doc_id"), weights, name).where(F.col(name) >= REJECT).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,17 +61,21 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of words inside benchmark windows; documents that are mostly such runs go."""
+    """Texts without runs of words inside benchmark windows; documents that are mostly such runs, or emptied by it, go.
+
+    Null and empty texts have no words and stay as they are.
+    """
     clean = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _restored(clean.where(~F.col("dropped") & ((F.col("n_hit") == 0) | (F.trim("text") != ""))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the text decoded from the ids."""
+    """doc_id, lang, source (null where docs has none), n_tokens, ids, and the text decoded from the ids (null: empty)."""
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = bpe.round_trip(docs, path)
-    return both.select("doc_id", F.col("carried.lang").alias("lang"), F.col("carried.source").alias("source"), F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+    own = [(F.col(f"carried.{c}") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")]
+    return both.select("doc_id", *own, F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                        F.decode("bytes", "UTF-8").alias("text"))
 
 
