@@ -113,3 +113,26 @@ def test_pipeline_stages(spark, duck):
     assert len(seen) <= after < before
     last = out[4]
     assert all(r.text == out[3][d].text and r.n_tokens == len(r.ids) for d, r in last.items())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, "a plain text of its own, long enough to hold some words", "en", "s"), (1, "a plain text of its own, long enough to hold some words", "en", "s"), (2, None, None, None),
+            (3, "", "en", "s"), (None, "a row without id", "en", None), (4, long, "de", "s"), (5, long, "de", "t"), (6, "one text", "fr", "s"), (6, "another one under the id", "fr", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars", "'own' AS _quality_score", "'own' AS carried", "'own' AS ids")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and stage(spark, docs.where("1 = 0"), SF).count() == 0
+        got = out.collect()
+        assert {(r._quality_score, r.carried, r.ids) for r in got} <= {("own", "own", "own")}
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and all(r.text is None or r.n_chars == len(r.text) for r in got)
+        ids = [r.doc_id for r in got]
+        if name == "near_duplicates":  # one row of equal ones, one of the copies, all that are unlike anything
+            assert ids.count(1) == 1 and 4 in ids and 5 not in ids and {2, 3, None, 6} <= set(ids)
+        if name == "decontamination":
+            assert len(got) == len(rows)
+    last = p.STAGES[-1][1]
+    assert sorted((r.doc_id or 0, r.text) for r in last(spark, docs, SF).collect()) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    bare = last(spark, docs.select("doc_id", "text"), SF).collect()
+    assert len(bare) == len(rows) and {(r.lang, r.source) for r in bare} == {(None, None)} and last(spark, docs.where("1 = 0"), SF).count() == 0
