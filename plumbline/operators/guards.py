@@ -112,12 +112,6 @@ def usage_violations(sources: DataFrame, registry: DataFrame, use: str = "train"
         "hub_id", F.when(F.col("use").isNull(), F.lit("not in the registry")).otherwise(F.concat(F.lit("marked "), F.col("use"))).alias("problem"))
 
 
-def require_empty(problems: DataFrame, what: str) -> None:
-    bad = problems.limit(3).collect()
-    if bad:
-        raise ValueError(f"{what}: {[r.asDict() for r in bad]}")
-
-
 def generated_families(replies: DataFrame) -> DataFrame:
     """Validated rows of generated families: replies (idx, qtype, reply) with one JSON object in free text.
 
@@ -147,9 +141,9 @@ def generated_families(replies: DataFrame) -> DataFrame:
 
 
 def request_problems(requests: DataFrame, demo_limits: bool = True) -> DataFrame:
-    """Requests (request_id, state, questions JSON text) with the reason they are refused, null for a good one.
+    """Requests (request_id, state, questions JSON text) with a code for what is wrong, null for a good one.
 
-    One row per request: the first failing question in the request's order decides. demo_limits adds the size limits.
+    One row per request: a code of the whole request, or `<question>:<code>`, of which the first failing question in the request's order decides. demo_limits adds the size limits.
     """
     v = F.try_parse_json("questions")
     asked = requests.withColumn("q", F.try_variant_get(v, "$", "map<string,variant>"))
@@ -159,15 +153,15 @@ def request_problems(requests: DataFrame, demo_limits: bool = True) -> DataFrame
         kind, ask = F.try_variant_get(item, "$.type", "string"), F.try_variant_get(item, "$.instructions", "string")
         as_map, as_list = F.try_variant_get(item, "$.criteria", "map<string,variant>"), F.try_variant_get(item, "$.criteria", "array<variant>")
         n = F.coalesce(F.size(as_map), F.size(as_list), F.lit(0))
-        return (F.when(~F.coalesce(kind.isin("choice", "noul", "score"), F.lit(False)) | (F.coalesce(ask, F.lit("")) == ""), F.concat(name, F.lit(" needs a type and instructions")))
-                .when((kind == "choice") & (as_map.isNull() | (F.size(as_map) < 2)), F.concat(name, F.lit(" needs at least two option keys")))
-                .when((kind == "score") & (as_list.isNull() | (F.size(as_list) < 2)), F.concat(name, F.lit(" needs at least two levels")))
-                .when(F.lit(demo_limits) & (n > MAX_OPTIONS), F.concat(name, F.lit(" has too many options"))))
+        return (F.when(~F.coalesce(kind.isin("choice", "noul", "score"), F.lit(False)) | (F.coalesce(ask, F.lit("")) == ""), F.concat(name, F.lit(":incomplete")))
+                .when((kind == "choice") & (as_map.isNull() | (F.size(as_map) < 2)), F.concat(name, F.lit(":few_options")))
+                .when((kind == "score") & (as_list.isNull() | (F.size(as_list) < 2)), F.concat(name, F.lit(":few_levels")))
+                .when(F.lit(demo_limits) & (n > MAX_OPTIONS), F.concat(name, F.lit(":many_options"))))
 
     first = F.get(F.filter(F.transform(F.json_object_keys("questions"), reason), lambda r: r.isNotNull()), F.lit(0))
-    whole = (F.when(F.lit(demo_limits) & (F.length("state") > MAX_STATE_CHARS), F.lit("state is too long"))
-             .when(v.isNull(), F.lit("questions must be JSON")).when(F.col("q").isNull() | (F.size("q") == 0), F.lit("questions must be a JSON object"))
-             .when(F.lit(demo_limits) & (F.size("q") > MAX_QUESTIONS), F.lit("too many questions")))
+    whole = (F.when(F.lit(demo_limits) & (F.length("state") > MAX_STATE_CHARS), F.lit("long_state"))
+             .when(v.isNull(), F.lit("not_json")).when(F.col("q").isNull() | (F.size("q") == 0), F.lit("no_questions"))
+             .when(F.lit(demo_limits) & (F.size("q") > MAX_QUESTIONS), F.lit("many_questions")))
     return asked.withColumn("reject_reason", F.coalesce(whole, first)).drop("q")
 
 

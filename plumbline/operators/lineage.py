@@ -35,7 +35,7 @@ def licence_names(col) -> Column:
     """Published names of an array of licences joined by AND; an unknown one stops the job."""
     def name(x):
         known = F.try_element_at(_lookup(CANONICAL), licence_key(x))
-        return F.coalesce(known, F.raise_error(F.concat(F.lit("row licence is not on the permissive list: "), F.coalesce(x, F.lit("none")))).cast("string"))
+        return F.coalesce(known, F.raise_error(F.concat(F.lit("licence_not_permitted:"), F.coalesce(x, F.lit("none")))).cast("string"))
     return F.array_join(F.transform(_c(col), name), " AND ")
 
 

@@ -31,7 +31,7 @@ def two_class_sample(df: DataFrame, first: Column, cap: int, ids: Sequence[str],
 def mix(rows: DataFrame, seed, cap_collection: int = CAP_COLLECTION, cap_other: int = CAP_OTHER, repeat: int = GENERATED_REPEAT) -> DataFrame:
     """Caps per family by class of family, generated rows repeated under new ids, held-out families untouched.
 
-    A family is held out as a whole, decided by any of its rows; it has to be uniform (`check_uniform_holdout`).
+    A family is held out as a whole, decided by any of its rows; it has to be uniform.
     """
     kind = (F.when(F.col("holdout_family"), F.lit("held-out")).when(F.col("family").startswith("syn_"), F.lit("synthetic"))
             .when(F.col("family").startswith("sni_"), F.lit("collection")).otherwise(F.lit("other")))
@@ -50,12 +50,6 @@ def repeat_rows(rows: DataFrame, copies: int) -> DataFrame:
     return more.withColumn("row_id", F.when(F.col("_k") == 0, F.col("row_id")).otherwise(F.concat_ws("~", "row_id", "_k"))).drop("_k")
 
 
-def check_uniform_holdout(rows: DataFrame) -> DataFrame:
-    """Families whose rows disagree about being held out; must be empty."""
-    g = rows.groupBy("family").agg(F.bool_or("holdout_family").alias("any"), F.bool_and("holdout_family").alias("every"))
-    return g.where(F.col("any") != F.col("every"))
-
-
 def mix_share(mixed: DataFrame) -> DataFrame:
     """Rows per share and their part of the trainable rows."""
     s = mixed.groupBy("share").agg(F.count(F.lit(1)).alias("n"))

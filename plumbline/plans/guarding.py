@@ -159,10 +159,10 @@ def reply_labels(spark, d):
     return ev.select("event_id", reply_label(text, labels_for(F.when(k == 3, F.lit(30)).otherwise(F.lit(4)))).alias("label"))
 
 
-@query("""SELECT event_id,CASE event_id%8 WHEN 0 THEN NULL WHEN 1 THEN 'questions must be JSON' WHEN 2 THEN 'questions must be a JSON object' WHEN 3 THEN 'q needs at least two option keys'
- WHEN 4 THEN 'q needs a type and instructions' WHEN 5 THEN 'q needs at least two levels' WHEN 6 THEN 'too many questions' ELSE 'state is too long' END AS reject_reason FROM events""")
+@query("""SELECT event_id,CASE event_id%8 WHEN 0 THEN NULL WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_questions' WHEN 3 THEN 'q:few_options'
+ WHEN 4 THEN 'q:incomplete' WHEN 5 THEN 'q:few_levels' WHEN 6 THEN 'many_questions' ELSE 'long_state' END AS reject_reason FROM events""")
 def request_validation(spark, d):
-    """Requests with one fault each and the reason they are refused."""
+    """Requests with one fault each and the code of the fault."""
     good = '{"type":"noul","instructions":"ok?"}'
     bodies = ['{"q":%s}' % good, "not json", "[1]", '{"z":%s,"q":{"type":"choice","instructions":"x","criteria":{"only":"one"}},"a":{"type":"maybe"}}' % good, '{"q":{"type":"maybe","instructions":"x"}}',
               '{"q":{"type":"score","instructions":"x","criteria":["one"]}}', "{" + ",".join(f'"q{i}":{good}' for i in range(7)) + "}", '{"q":%s}' % good]

@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import time
 
 import pytest
@@ -160,3 +162,37 @@ def test_file_manifest(spark, tmp_path):
     (tmp_path / "sub" / "two.bin").write_bytes(b"x")
     got = {r.file: (r.bytes, r.sha256) for r in L.file_manifest(spark, str(tmp_path)).collect()}
     assert got == {"one.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest()), "two.bin": (1, hashlib.sha256(b"x").hexdigest())}
+
+
+def test_a_global_shuffle_is_in_hash_order(spark):
+    from plumbline.operators import sampling
+    ids = [f"row{i % 90}" for i in range(100)]
+    got = [r.row_id for r in sampling.shuffled(spark.createDataFrame([(i,) for i in ids], "row_id string").repartition(7), ["row_id"], "seed").collect()]
+    assert got == sorted(ids, key=lambda i: hashlib.sha256(f"seed:{i}".encode()).hexdigest())
+
+
+def test_an_interval_does_not_depend_on_how_tasks_are_cut(spark, monkeypatch):
+    from plumbline.operators import metrics
+    rows = [(run, part, f"f{i % 60}", "noul", None if i % 11 else "", str(i % 3 == 0).lower(), "true", None) for run in "ab" for part in "xy" for i in range(150)]
+    df = spark.createDataFrame(rows, "run_id string, slice string, family_id string, task_type string, error string, pred string, gold string, expected_level double")
+    want = sorted(map(tuple, metrics.bootstrap_interval(df, 100).collect()))
+    for name in ("SUMS_HELD", "FAMILIES", "CELLS"):
+        monkeypatch.setattr(metrics, name, 2)
+    got = sorted(map(tuple, metrics.bootstrap_interval(df, 100).collect()))
+    assert len(want) == 4 and all(w[2] < w[3] for w in want)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(a - b) < 1e-12 for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+
+
+def test_a_fit_over_rows_of_every_width(spark, monkeypatch):
+    from plumbline.operators import calibration as C
+    rng = random.Random(5)
+    rows = [(f"g{i % 3}", [rng.uniform(-4, 0) for _ in range(rng.choice((2, 3, 40)))], 1) for i in range(200)] + [("g0", [-1.0, -2.0], None), ("none", [-1.0], 5)]
+    df = spark.createDataFrame(rows, "k string, z array<double>, g int")
+    want = sorted(map(tuple, C.fit_temperature(df, ["k"]).collect()))
+    monkeypatch.setattr(C, "GROUPS_HELD", 1)
+    monkeypatch.setattr(C, "VALUES", 16)
+    assert sorted(map(tuple, C.fit_temperature(df, ["k"]).collect())) == want
+    for k, temperature, n in want:
+        mine = [(z, g) for key, z, g in rows if key == k]
+        loss = lambda t: round(sum(math.log(sum(math.exp((v - z[g]) / t) for v in z)) for z, g in mine if g is not None and g < len(z)) / len(mine), 12)  # noqa: B023, E731
+        assert n == len(mine) and temperature == min(C.GRID, key=lambda t: (loss(t), t))
