@@ -199,19 +199,17 @@ FAIL = u("'first:'||doc_id")
 
 @query(f"SELECT doc_id::VARCHAR AS row_id,CASE WHEN {FAIL}<0.1 THEN 'second' ELSE 'first' END AS teacher FROM documents")
 def streaming_labels(spark, d):
-    """Labelling over a file stream; rows that failed are labelled by a second run. One label per row in the end."""
+    """Labelling over a file stream; rows that failed come back by themselves and are labelled by another teacher."""
     schema = table(spark, d, "documents").schema
     root = new_path(spark, "labelling")
     rows = J.read_files(spark, f"{d}/[d]ocuments.parquet", schema).select(F.col("doc_id").cast("string").alias("row_id"), "text")
 
-    def label(name, share):
-        def run(batch):
-            failed = hash_fraction(F.concat(F.lit("first:"), F.col("row_id"))) < share
-            return batch.select("row_id", F.lit(name).alias("teacher"), F.length("text").alias("input_tokens"), F.when(failed, F.lit("timeout")).alias("error"))
-        return run
+    def label(batch):
+        failed = (F.col("attempt") == 1) & (hash_fraction(F.concat(F.lit("first:"), F.col("row_id"))) < 0.1)
+        teacher = F.when(F.col("attempt") == 1, "first").otherwise("second")
+        return batch.select("row_id", teacher.alias("teacher"), F.length("text").alias("input_tokens"), F.when(failed, F.lit("timeout")).alias("error"))
 
-    J.label_stream(rows, label("first", 0.1), f"{root}/labels", f"{root}/retry", f"{root}/checkpoint").awaitTermination()
-    J.retry_labels(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "text"), label("second", 0.0), f"{root}/labels", f"{root}/retry")
+    J.label_with_retries(rows, label, f"{root}/labels", f"{root}/retry", f"{root}/checkpoint", delay=1.0, interval=0.5).awaitTermination()
     return J.read_labels(spark, f"{root}/labels").select("row_id", "teacher")
 
 

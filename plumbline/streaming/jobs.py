@@ -8,8 +8,11 @@ replayed batch harmless.
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,8 @@ from ..operators.guards import request_problems, retry_set
 from ..operators.scale import materialise
 
 LABEL_BUCKETS = 64
+WAITING = "row_id string, row string, attempt int"
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -90,6 +95,85 @@ def retry_labels(rows: DataFrame, label: Callable[[DataFrame], DataFrame], label
     _store(label(retry_rows(rows, rows.sparkSession, labels_path, retry_path)), labels_path, retry_path, -attempt)
 
 
+def _admitted(key, frames, state, delay_ms: int):
+    """What of one id is to be labelled now. State: attempts made, and the row with the time it is due while it waits."""
+    if state.hasTimedOut:
+        attempt, row, _ = state.get
+        state.update((attempt, None, None))
+        if row is not None:
+            yield pd.DataFrame({"row_id": [key[0]], "row": [row], "attempt": [attempt + 1]})
+        return
+    rows = pd.concat(list(frames))
+    back, now = rows[rows["attempt"] > 0], state.getCurrentProcessingTimeMs()
+    if len(back):
+        last = back.sort_values("attempt").iloc[-1]
+        state.update((int(last["attempt"]), last["row"], now + delay_ms))
+        state.setTimeoutDuration(delay_ms)
+    elif not state.exists:
+        first = rows.sort_values(["tie", "row"]).iloc[0]
+        state.update((1, None, None))
+        yield pd.DataFrame({"row_id": [key[0]], "row": [first["row"]], "attempt": [1]})
+    elif state.get[1] is not None:  # came again while it waits: the timer of a key ends with every call
+        state.update(state.get)
+        state.setTimeoutDuration(max(1, int(state.get[2]) - now))
+
+
+def label_with_retries(rows: DataFrame, label: Callable[[DataFrame], DataFrame], labels_path: str, retry_path: str, checkpoint: str, attempts: int = 3,
+                       delay: float = 10.0, interval: float = 1.0, endless: bool = False) -> StreamingQuery:
+    """Label rows as they arrive and again, `delay` seconds later, where that failed: one good label per row id, in one query.
+
+    State per id tells what was seen, so the label store is never read; a failed row comes back through a folder that the query
+    itself reads, waits in the state of its id and leaves it by a timer. `label` maps rows (the columns of `rows` and
+    `attempt`, from 1) to records (row_id, ..., error); a row whose record is missing has failed. What failed `attempts` times is
+    written to the folder `failed` below retry_path. Unless endless, the query ends once no file is new and no row waits.
+
+    Of rows with one id in one batch the one with the smallest hash is labelled; later ones are passed over; rows without id
+    take no part. A replayed batch overwrites its folders and sees the same state and clock. The state holds one small entry
+    per id for good and a row only while it waits: on a cluster keep it in the RocksDB state store.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    spark.createDataFrame([], WAITING).write.mode("ignore").parquet(f"{retry_path}/again/batch=-1")
+    packed = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), EXACT_TIMES)
+    fresh = rows.where("row_id IS NOT NULL").select("row_id", packed.alias("row"), F.lit(0).alias("attempt"), F.xxhash64(*rows.columns).alias("tie"))
+    again = read_files(spark, f"{retry_path}/again", T.StructType.fromDDL(WAITING)).select("row_id", "row", "attempt", F.lit(0).cast("bigint").alias("tie"))
+    turn = fresh.union(again).groupBy("row_id").applyInPandasWithState(
+        partial(_admitted, delay_ms=max(1, round(delay * 1000))), WAITING, "attempt int, row string, due bigint", "append", "ProcessingTimeTimeout")
+    staged = f"{labels_path}-staged"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{staged}/admitted/batch={batch_id}")
+        due = spark.read.schema(batch.schema).parquet(f"{staged}/admitted/batch={batch_id}")
+        if due.isEmpty():
+            return
+        asked = due.select(F.from_json("row", schema, EXACT_TIMES).alias("r"), "attempt").select("r.*", "attempt")
+        records = label(asked)
+        records.write.mode("overwrite").parquet(f"{staged}/records/batch={batch_id}")
+        good, _ = retry_set(spark.read.schema(records.schema).parquet(f"{staged}/records/batch={batch_id}"))
+        good.write.mode("overwrite").parquet(f"{labels_path}/batch={batch_id}")
+        bad = due.join(good.select("row_id"), "row_id", "left_anti")
+        bad.where(F.col("attempt") >= attempts).write.mode("overwrite").parquet(f"{retry_path}/failed/batch={batch_id}")
+        bad.where(F.col("attempt") < attempts).write.mode("overwrite").parquet(f"{retry_path}/again/batch={batch_id}")
+        due.where("attempt > 1").select("row_id").write.mode("overwrite").parquet(f"{staged}/retried/batch={batch_id}")  # the batch's last act
+
+    def waiting() -> int:
+        return _written(spark, f"{retry_path}/again", T.StructType.fromDDL(WAITING)).count() - _written(spark, f"{staged}/retried", T.StructType.fromDDL("row_id string")).count()
+
+    query = turn.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(interval * 1000)} milliseconds").start()
+    if not endless:
+        threading.Thread(target=_stop_when_settled, args=(query, waiting, interval), daemon=True).start()
+    return query
+
+
+def _stop_when_settled(query: StreamingQuery, waiting: Callable[[], int], pause: float) -> None:
+    """Ends a query whose last two batches read nothing (the first one of a restart may be a replay) while no failed row waits."""
+    while query.isActive:
+        last = query.recentProgress[-2:]
+        if len(last) == 2 and not any(p["numInputRows"] for p in last) and waiting() == 0:
+            query.stop()
+            return
+        time.sleep(pause)
+
+
 def read_labels(spark: SparkSession, labels_path: str) -> DataFrame:
     """The label store as a table."""
     return spark.read.option("basePath", labels_path).parquet(f"{labels_path}/batch=*").drop("batch", "bucket")
