@@ -17,10 +17,10 @@ def with_previous(df: DataFrame, by: Sequence[str], ts: str, event_id: str, valu
 
     Exact: a bucket hands its last `depth` events on, and since no bucket is empty the `depth` buckets before it hold all the
     events that can be needed. A task ranks one (key, bucket), not one key; the carried events are a small table. A bucket of
-    more than BUCKET_ROWS events is cut into seconds.
+    more than BUCKET_ROWS events is cut into ranges of (time, id), so a burst inside one second is many tasks as well.
     """
     by, values = list(by), list(values)
-    keyed = _bucketed(df, by, ts, unit)
+    keyed = _bucketed(df, by, ts, event_id, unit)
     order = F.struct(F.col(ts).alias("t"), F.col(event_id).alias("i"), *[F.col(v).alias(f"v{n}") for n, v in enumerate(values)])
     tails = _last_events(keyed, by, order, depth)
     none = F.array().cast(tails.schema["_tail"].dataType)
@@ -37,13 +37,25 @@ def with_previous(df: DataFrame, by: Sequence[str], ts: str, event_id: str, valu
     return both.select("*", *lags).where("_own").drop("_own", "_bucket")
 
 
-def _bucketed(df: DataFrame, by: list[str], ts: str, unit: str) -> DataFrame:
+def _bucketed(df: DataFrame, by: list[str], ts: str, event_id: str, unit: str) -> DataFrame:
+    """Rows with their `_bucket`, which grows with time: the hour, and in a full hour the number of the range as well.
+
+    Only the rows of full hours are moved by range, and written, so that every later use sees the same ranges.
+    """
     keyed = df.withColumn("_bucket", F.date_trunc(unit, ts))
-    full = materialise(keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).select(*by, "_bucket", F.lit(True).alias("_full")), "full")
-    if not full.limit(1).count():
+    on = [*by, "_bucket"]
+    full = materialise(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS), "full")
+    rows = full.agg(F.sum("_n")).first()[0]
+    if not rows:
         return keyed
-    marked = attach(keyed, full, [*by, "_bucket"], "left", ready=True)
-    return marked.withColumn("_bucket", F.when(F.col("_full"), F.date_trunc("second", ts)).otherwise(F.col("_bucket"))).drop("_full")
+    held = F.array(*[F.coalesce(F.to_json(F.struct(c)), F.lit("{}")) for c in on])  # null is a key like any other here
+    marked, full = keyed.withColumn("_held", held), full.select(held.alias("_held"))
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+    burst = attach(marked, full, ["_held"], "left_semi", spread=[ts, event_id]).repartitionByRange(ranges, *by, ts, event_id)
+    burst = materialise(burst.withColumn("_range", F.spark_partition_id()), "burst")
+    calm = attach(marked, full, ["_held"], "left_anti", spread=[ts, event_id]).withColumn("_range", F.lit(0))
+    cut = F.struct(F.col("_bucket").alias("at"), F.col("_range").alias("range"))
+    return calm.unionByName(burst).withColumn("_bucket", cut).drop("_held", "_range")
 
 
 def _last_events(keyed: DataFrame, by: list[str], event, depth: int) -> DataFrame:

@@ -117,6 +117,24 @@ def test_a_burst_of_one_key_inside_an_hour(spark, monkeypatch, rows):
     assert got == {k: (len(c), sum(c[i] == c[i - 1] == c[i - 2] for i in range(2, len(c)))) for k, c in want.items()}
 
 
+def test_a_burst_inside_one_second_is_many_tasks(spark, monkeypatch):
+    """One key's events in one second, more than a bucket holds, some at equal times, with a calm key and a null one beside it."""
+    n = 120_000
+    monkeypatch.setattr(timelines, "BUCKET_ROWS", 80_000)
+    ev = spark.range(n + 2000).select(F.col("id").alias("event_id"), F.when(F.col("id") < n, "hot").when(F.col("id") % 2 == 0, "calm").alias("key"),
+                                      F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.floor(F.col("id") * 37 % 99_991)).alias("ts"), (F.col("id") % 7 % 2).cast("string").alias("call"))
+    buckets = timelines._bucketed(ev, ["key"], "ts", "event_id", "hour").groupBy("key", "_bucket").count().collect()
+    hot = [r["count"] for r in buckets if r.key == "hot"]
+    assert sum(hot) == n and len(hot) >= 4 and max(hot) < timelines.BUCKET_ROWS / 2
+    got = {r.key: (r.events, r.repeats) for r in timelines.looping_keys(ev, "key", "call", "ts", "event_id").collect()}
+    pdf = ev.toPandas().sort_values(["ts", "event_id"])
+    want = {}
+    for key, part in pdf.groupby(pdf["key"].fillna("none")):
+        c = part["call"].to_numpy()
+        want[None if key == "none" else key] = (len(c), int(((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])).sum()))
+    assert got == want
+
+
 @pytest.mark.parametrize("options", [4, 40])
 def test_temperature_search_finds_the_best_of_all(spark, options):
     import math
@@ -164,6 +182,22 @@ def test_file_manifest(spark, tmp_path):
     assert got == {"one.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest()), "two.bin": (1, hashlib.sha256(b"x").hexdigest())}
 
 
+def test_a_manifest_reads_large_files_in_pieces(spark, tmp_path):
+    """A sparse file of 3 GB, beyond what one value can hold, and names that a URI writes otherwise."""
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "p%41ü+x.bin").write_bytes(b"abc" * 1000)
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(3 << 30)
+    zeros, piece = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(3 << 10):
+        zeros.update(piece)
+    want = {"large.bin": (3 << 30, zeros.hexdigest())}
+    got = {r.file: (r.bytes, r.sha256) for r in L.file_manifest(spark, str(tmp_path)).collect()}
+    assert len(got) == 2 and got["large.bin"] == want["large.bin"]
+    every = {r.bytes: r.sha256 for r in L.file_manifest(spark, str(tmp_path / "a b"), whole=100).collect()}
+    assert every == {3000: hashlib.sha256(b"abc" * 1000).hexdigest()}
+
+
 def test_a_global_shuffle_is_in_hash_order(spark):
     from plumbline.operators import sampling
     ids = [f"row{i % 90}" for i in range(100)]
