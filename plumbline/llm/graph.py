@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import attach
 from .common import materialise
 
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    return attach(both.where("v > u"), least, ["u"], spread=["v"]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = links.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    least = materialise(links.groupBy("hi").agg(F.min("lo").alias("m")), "least")
+    moved = attach(links, least, ["hi"], spread=["lo"], ready=True).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every linked node but the smallest of each component, which is the component's name.
 
-    The rounds grow with the logarithm of the longest chain; only link rows move, and the driver sees two counts a round.
+    The rounds grow with the logarithm of the longest chain; only link rows move, and the driver sees a few counts a round. The
+    links of a hub meet its smallest neighbour by a broadcast of checked size or over salted tasks, never all in one.
     """
     now = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
     now = materialise(now, "links")

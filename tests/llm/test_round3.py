@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import collocations, merkle, topk
+from plumbline.llm import collocations, graph, merkle, topk
+from plumbline.operators import scale
 
 H = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -198,3 +199,13 @@ def test_manifest_sql_at_many_rows(spark):
     want = sorted(con.execute(merkle._sql()).fetchall())
     frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     assert sorted(map(tuple, merkle.tampered_folds(frame).collect())) == want
+
+
+def test_components_of_stars_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Two hubs with most of the links, a chain between their leaves, and a component of its own, salted and plain alike."""
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 999) for i in range(1, 300)] + [(399, 1299), (5000, 5001), (5001, 5002), (5000, 5001), (7, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = {(i, 0) for i in range(1, 400)} | {(i, 0) for i in range(999, 1300) if i != 1000} | {(5001, 5000), (5002, 5000)}
+    assert {(r.node, r.component) for r in graph.components(frame).collect()} == want
+    monkeypatch.setattr(scale.attach, "__defaults__", ("inner", (), False, 5))
+    assert {(r.node, r.component) for r in graph.components(frame).collect()} == want
