@@ -14,13 +14,14 @@ from ..functions.hashing import hash_fraction, hash_order
 from ..functions.options import OPTION, keys_of, option_array, renumbered
 from ..functions.probability import argmax, expected_level, let, normalise
 from ..functions.text import NO_TEXT, YES_TEXT
-from ..operators.scale import new_path, spread
+from ..operators.scale import TASK_ROWS, new_path, spread_rows
 from .tables import table, union_all
 
 RUNS = {"base": 0.25, "tuned": 0.45, "wide": 0.3}
 TEACHER = "teacher"
 TEACHER_STRENGTH = 0.4
 DEV_SHARE = 0.4
+DOCUMENT_ROWS, CASE_ROWS = 20_000, TASK_ROWS // 2  # of one task: texts in a join, cases that are drawn for every run
 
 LANGS = ["de", "en", "es", "fr"]
 LANG_TEXT = ["German", "English", "Spanish", "French"]
@@ -84,15 +85,19 @@ def written(spark: SparkSession, d: str, name: str, build) -> DataFrame:
 
 
 def judged_documents(spark: SparkSession, d: str) -> DataFrame:
-    """labels joined to documents; one row per doc_id on both sides."""
-    return spread(table(spark, d, "documents"), "doc_id").join(table(spark, d, "labels"), "doc_id")
+    """labels joined to documents; one row per doc_id on both sides. The narrow side is hashed, so that no texts are sorted."""
+    return spread_rows(table(spark, d, "documents"), "doc_id", rows=DOCUMENT_ROWS).join(table(spark, d, "labels").hint("shuffle_hash"), "doc_id")
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return spread_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     """Typed training rows of five kinds: two yes/no, two choice, one ordinal."""
     noul, lang, topic, score = _options()
     docs, judged = table(spark, d, "documents"), judged_documents(spark, d)
-    orders, emb = spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "embeddings")
+    orders, emb = _orders(spark, d), table(spark, d, "embeddings")
 
     def rows(df, row_id, family, task_type, state, ask, options, gold, prov):
         return df.select(row_id.alias("row_id"), family.alias("family"), F.lit(task_type).alias("task_type"), state.alias("state"),
@@ -151,11 +156,16 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     return written(spark, d, "cases", lambda: derived_cases(spark, d))
 
 
+def spread_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The cases over tasks of CASE_ROWS rows, for passes that compute much from each: a split of the file holds millions."""
+    return spread_rows(cases(spark, d), "case_id", "family_id", "slice", "gold", rows=CASE_ROWS)
+
+
 def derived_cases(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation cases over the same tables; a choice case also has a twin with its options in another order."""
     noul, lang, topic, score = _options()
     docs, judged = table(spark, d, "documents"), judged_documents(spark, d)
-    orders, emb = spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "embeddings")
+    orders, emb = _orders(spark, d), table(spark, d, "embeddings")
 
     def rows(df, family_id, slice_, task_type, options, gold):
         return df.select(family_id.alias("family_id"), slice_.alias("slice"), F.lit(task_type).alias("task_type"),
@@ -184,7 +194,7 @@ def derived_cases(spark: SparkSession, d: str) -> DataFrame:
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """One prediction record per run and case."""
-    return written(spark, d, "predictions", lambda: drawn_predictions(cases(spark, d), RUNS))
+    return written(spark, d, "predictions", lambda: drawn_predictions(spread_cases(spark, d), RUNS))
 
 
 def drawn_predictions(of: DataFrame, runs: dict[str, float]) -> DataFrame:
