@@ -26,7 +26,7 @@ from .scale import attach, fits_broadcast, materialise, spread
 # 200 temperatures, evenly spaced in log from 0.25 to 50.
 GRID_SIZE, GRID_LOW, GRID_HIGH = 200, 0.25, 50.0
 GRID = [math.exp(math.log(GRID_LOW) + (math.log(GRID_HIGH) - math.log(GRID_LOW)) * i / (GRID_SIZE - 1)) for i in range(GRID_SIZE)]
-GROUPS_HELD, VALUES = 4096, 8192  # of one task: 6.5 MB of sums, a matrix of 13 MB
+GROUPS_HELD, VALUES = 4096, 2048  # of one task: 6.5 MB of sums, a matrix of 3.3 MB
 RIDGE = 1e-2
 MIN_SLICE_ROWS = 20
 POOLED = "*"
@@ -46,8 +46,8 @@ def items(preds: DataFrame) -> DataFrame:
 def _grid_sums(batches, by: list[str]):
     """Per group the summed loss of every temperature, as one array; at most GROUPS_HELD groups are held at a time.
 
-    A row's loss is the log of its summed odds against the gold option. Rows go through in slices of about VALUES options, so a
-    slice is a matrix of options by temperatures, summed row by row, then group by group.
+    A row's loss is the log of its summed odds against the gold option. Rows of one number of options go through together, about
+    VALUES options at a time: rows by options by temperatures, summed over the options, then group by group.
     """
     inverse, held, kinds = 1.0 / np.array(GRID), {}, []
 
@@ -73,22 +73,19 @@ def _grid_sums(batches, by: list[str]):
         lengths = np.array(batch.column("n_values"))
         rows = np.flatnonzero(lengths > 0)  # the others have no usable gold: they count, but have no loss
         rows = rows[np.argsort(group[rows], kind="stable")]
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+        starts = np.cumsum(lengths) - lengths
         flat = batch.column("d").flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths[rows])
-        at = 0
-        while at < len(rows):
-            before = ends[at - 1] if at else 0
-            to = max(int(np.searchsorted(ends, before + VALUES, side="right")), at + 1)
-            some = rows[at:to]
-            places = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in some])
-            offsets = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
-            loss = np.log(np.add.reduceat(np.exp(np.multiply.outer(flat[places], inverse)), offsets))
-            mine = group[some]
-            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            for g, total in zip(mine[first], np.add.reduceat(loss, first)):
-                held[keys[g]][0] += total
-            at = to
+        for size in np.unique(lengths[rows]):
+            alike = rows[lengths[rows] == size]
+            step = max(VALUES // int(size), 1)
+            for at in range(0, len(alike), step):
+                some = alike[at:at + step]
+                odds = np.multiply.outer(flat[starts[some][:, None] + np.arange(size)], inverse)
+                loss = np.log(np.exp(odds, out=odds).sum(axis=1))
+                mine = group[some]
+                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                for g, total in zip(mine[first], np.add.reduceat(loss, first)):
+                    held[keys[g]][0] += total
     if held:
         yield out()
 
