@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import _c, canonical_json, text_hash
 from ..functions.text import answer_key, outermost_json
 from ..sources.tables import failed
-from .scale import attach, materialise
+from .scale import JOIN_ROWS, attach, materialise, spread_rows
 
 MIN_FIELD_CHARS = 40
 
@@ -190,8 +190,8 @@ def restrict(rows: DataFrame, case_ids: DataFrame | None = None, slices: Sequenc
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Resume: rows whose id is not done yet."""
-    return rows.join(done.select(key).distinct(), key, "left_anti")
+    """Resume: rows whose id is not done yet. The join's tasks grow in number with the ids that are done, not in size."""
+    return rows.join(spread_rows(done.select(key), key, rows=JOIN_ROWS), key, "left_anti")
 
 
 def label_keys(instances: DataFrame, lowest: int = 2, highest: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.options import keys_of
 from ..functions.probability import argmax, blend, let, one_hot
 from ..sources.tables import last_wins
 from . import calibration as C
+from .guards import remaining
 from ..sources.tables import failed
 from .scale import attach, materialise
 
@@ -40,8 +41,8 @@ def usable_labels(labels: DataFrame, order: str = "load_order") -> DataFrame:
 
 def unlabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """How many rows have no usable label, by family."""
-    ok = labels.where(~failed("error")).select("row_id").distinct()
-    return rows.select("row_id", "family").join(ok, "row_id", "left_anti").groupBy("family").agg(F.count(F.lit(1)).alias("missing"))
+    left = remaining(rows.select("row_id", "family"), labels.where(~failed("error")), "row_id")
+    return left.groupBy("family").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def cross_fit_families(items: DataFrame, min_family: int = MIN_FAMILY, default: dict | None = None) -> DataFrame:
