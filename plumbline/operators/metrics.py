@@ -283,10 +283,12 @@ def _weighted_sums(batches, resamples: int, seed: str):
     FAMILIES families at a time are a matrix of weights, which all their cells are multiplied by at once; the sums go out when
     more than SUMS_HELD runs and slices are held.
     """
-    steps, digests, held, kinds = np.array(POISSON_STEPS, dtype=np.uint32), -(-resamples // 8), {}, []
+    steps, held, kinds = np.array(POISSON_STEPS, dtype=np.uint32), {}, []
+    heads = [f"{seed}:{i}:".encode() for i in range(-(-resamples // 8))]
 
     def weights(family):
-        hashed = b"".join([hashlib.sha256(f"{seed}:{i}:{family}".encode()).digest() for i in range(digests)])
+        name = str(family).encode()
+        hashed = b"".join([hashlib.sha256(head + name).digest() for head in heads])
         return np.searchsorted(steps, np.frombuffer(hashed, ">u4")[:resamples].astype(np.uint32), side="left")
 
     def add(cells, drawn):
@@ -300,8 +302,8 @@ def _weighted_sums(batches, resamples: int, seed: str):
             if total is not None:
                 s[g, at] += total
                 known.add(g)
-        w = np.array(drawn, dtype=float)
-        s, n = s @ w, n @ w
+        both = np.concatenate([s, n]) @ np.array(drawn, dtype=float)
+        s, n = both[:len(groups)], both[len(groups):]
         for key, g in groups.items():
             sums = held.setdefault(key, [0.0, 0.0, False])
             sums[:] = [sums[0] + s[g], sums[1] + n[g], sums[2] or g in known]
