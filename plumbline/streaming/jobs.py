@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.probability import argmax, expected_level, let, normalise, platt, softmax
 from ..operators.combine import served_two_orders
 from ..operators.guards import request_problems, retry_set
-from ..operators.scale import materialise
+from ..operators.scale import materialise, spread_rows
 
 LABEL_BUCKETS = 64
 WAITING = "row_id string, row string, attempt int"
@@ -103,19 +103,18 @@ def _admitted(key, frames, state, delay_ms: int):
         if row is not None:
             yield pd.DataFrame({"row_id": [key[0]], "row": [row], "attempt": [attempt + 1]})
         return
-    rows = pd.concat(list(frames))
-    back, now = rows[rows["attempt"] > 0], state.getCurrentProcessingTimeMs()
-    if len(back):
-        last = back.sort_values("attempt").iloc[-1]
-        state.update((int(last["attempt"]), last["row"], now + delay_ms))
+    parts = list(frames)
+    attempts, rows, ties = ([x for p in parts for x in p[c].tolist()] for c in ("attempt", "row", "tie"))  # lists: most ids have one row
+    last = max(range(len(rows)), key=attempts.__getitem__)
+    if attempts[last] > 0:
+        state.update((attempts[last], rows[last], state.getCurrentProcessingTimeMs() + delay_ms))
         state.setTimeoutDuration(delay_ms)
     elif not state.exists:
-        first = rows.sort_values(["tie", "row"]).iloc[0]
         state.update((1, None, None))
-        yield pd.DataFrame({"row_id": [key[0]], "row": [first["row"]], "attempt": [1]})
+        yield pd.DataFrame({"row_id": [key[0]], "row": [min(zip(ties, rows))[1]], "attempt": [1]})
     elif state.get[1] is not None:  # came again while it waits: the timer of a key ends with every call
         state.update(state.get)
-        state.setTimeoutDuration(max(1, int(state.get[2]) - now))
+        state.setTimeoutDuration(max(1, int(state.get[2]) - state.getCurrentProcessingTimeMs()))
 
 
 def label_with_retries(rows: DataFrame, label: Callable[[DataFrame], DataFrame], labels_path: str, retry_path: str, checkpoint: str, attempts: int = 3,
@@ -249,9 +248,9 @@ def decision_stream(requests: DataFrame, scorer: Callable[[DataFrame], DataFrame
     """Requests to answers: a request with a problem goes to the rejected table, the rest is scored and calibrated."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        checked = materialise(request_problems(batch), "checked")
+        checked = materialise(request_problems(spread_rows(batch)), "checked")
         checked.where(F.col("reject_reason").isNotNull()).select("request_id", "reject_reason").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
-        good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
+        good = spread_rows(checked.where(F.col("reject_reason").isNull()).drop("reject_reason"))
         answers(scorer(good), calibration).write.mode("overwrite").parquet(f"{answers_path}/batch={batch_id}")
 
     return _start(requests, each, checkpoint)
