@@ -10,7 +10,7 @@ from ..functions.text import reply_label
 from ..operators import batching as B
 from ..operators import calibration as C
 from ..operators import combine as X
-from ..operators.scale import materialise, new_path
+from ..operators.scale import materialise, new_path, spread_rows
 from ..sources import derived as S
 from ..sources import tables as IO
 from ..sources.tables import table
@@ -41,7 +41,7 @@ ORD = ("WITH " + CASES + f""", os AS (SELECT case_id,slice,task_type,gold,keys,{
 
 def _orders(spark, d):
     """Per choice case three option orders with a distribution each, as key maps."""
-    c = S.cases(spark, d).where("task_type = 'choice'").withColumn("option_keys", O.keys_of("options"))
+    c = S.spread_cases(spark, d).where("task_type = 'choice'").withColumn("option_keys", O.keys_of("options"))
     def one(n):
         p = S.drawn_probs(F.lit(f"o{n}"), F.lit(0.3), F.col("case_id"), F.col("option_keys"), F.col("gold"))
         return F.struct(F.col("option_keys").alias("order"), F.map_from_arrays("option_keys", p).alias("by_key"))
@@ -68,9 +68,12 @@ def averaged_orders(spark, d):
     return rounded(IO.union_all(*out))
 
 
+CODED_ROWS = 10_000  # of one task: a row of some fifty codes takes as long as ten of the others
+
+
 def _tops(spark, d):
     """Top tokens of one call per case: raw spellings with spaces, some labels missing."""
-    c = S.cases(spark, d).withColumn("option_keys", O.keys_of("options")).withColumn("error", F.lit(None).cast("string"))
+    c = S.spread_cases(spark, d).withColumn("option_keys", O.keys_of("options")).withColumn("error", F.lit(None).cast("string"))
     labels = O.labels_for(F.size("option_keys"))
     lp = lambda k, s: F.log(hash_fraction(F.concat_ws(":", F.lit("top"), "case_id", k, F.lit(s))) * 0.8 + 0.01)
     seen = F.filter(labels, lambda k: hash_fraction(F.concat_ws(":", F.lit("seen"), "case_id", k)) < 0.9)
@@ -101,7 +104,7 @@ def records_from_logprobs(spark, d):
 def records_from_codes(spark, d):
     """Two-digit codes: first digit times second digit, a negligible first digit spread evenly."""
     k = F.col("p_partkey")
-    part = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(10), (F.lit(36) + k % 30).cast("int")), lambda i: i.cast("string")).alias("option_keys"))
+    part = spread_rows(table(spark, d, "part").select("p_partkey"), rows=CODED_ROWS).select("p_partkey", F.transform(F.sequence(F.lit(10), (F.lit(36) + k % 30).cast("int")), lambda i: i.cast("string")).alias("option_keys"))
     firsts = F.array_distinct(F.transform("option_keys", lambda x: F.substring(x, 1, 1)))
     top = F.map_from_entries(F.transform(firsts, lambda f: F.struct(f.alias("k"), F.log(F.when(f == "3", F.lit(0.0002)).otherwise((F.pmod(k + f.cast("int"), F.lit(5)) + 1) * F.lit(0.1))).alias("v"))))
     seconds = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda s: F.struct(s.cast("string").alias("k"), F.log((s + 1) * F.lit(0.05)).alias("v"))))
@@ -113,7 +116,7 @@ def records_from_codes(spark, d):
 @query("WITH " + CASES + """ SELECT case_id,CASE WHEN length(case_id)%5=0 THEN NULL ELSE keys[2] END AS pred,CASE WHEN length(case_id)%5=0 THEN 'unparseable reply' END AS error FROM cases""")
 def records_from_replies(spark, d):
     """One-hot records out of single replies."""
-    c = S.cases(spark, d).withColumn("option_keys", O.keys_of("options"))
+    c = S.spread_cases(spark, d).withColumn("option_keys", O.keys_of("options"))
     reply = F.when(F.length("case_id") % 5 == 0, F.lit("no idea")).otherwise(F.lit("answer: b)"))
     rows = c.withColumn("label", reply_label(reply, O.labels_for(F.size("option_keys"))))
     return X.record_from_reply(rows, "label").select("case_id", "pred", "error")

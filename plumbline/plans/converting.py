@@ -193,7 +193,7 @@ def option_texts(spark, d):
  SELECT case_id,'given' AS kind,array_to_string(keys,',') AS keys FROM o UNION ALL SELECT case_id,'second',array_to_string(r,',') FROM o WHERE task_type<>'score' UNION ALL SELECT case_id,'third',array_to_string(t,',') FROM o WHERE task_type<>'score' AND t<>r AND t<>keys""")
 def option_orders(spark, d):
     """One row per case and order: given, reversed, rotated by half, repeats left out."""
-    c = S.cases(spark, d).select("case_id", F.posexplode(O.orders(O.keys_of("options"), "task_type")).alias("i", "o"))
+    c = S.spread_cases(spark, d).select("case_id", F.posexplode(O.orders(O.keys_of("options"), "task_type")).alias("i", "o"))
     return c.select("case_id", F.when(F.col("i") == 0, "given").when(F.col("i") == 1, "second").otherwise("third").alias("kind"), F.array_join("o", ",").alias("keys"))
 
 
