@@ -25,13 +25,13 @@ from pyspark.sql.types import StructType
 
 from .arrays import lists, slices
 from .common import CACHES, carried, even, fields, in_arrow, narrow, query, table
-from .pieces import SLICE_BYTES, Encoder
+from .pieces import Encoder
 
 LONG_PIECE = 256
 DUCK_MEMORY = "128MB"
 DUCK_PIECES = 15_000  # in one recursive query
 DUCK_IDS = 100_000  # in one decoding query
-TEXT_BYTES = SLICE_BYTES // 2
+TEXT_BYTES = 1 << 19  # of text in numpy at once: a worker's peak is mostly the arrays of one such slice and the vocabulary
 MERGE = """
 WITH RECURSIVE step(piece, place, id, round) AS (
     SELECT piece, place, id, 0 FROM fresh
