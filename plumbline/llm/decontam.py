@@ -17,6 +17,7 @@ A null document id is carried through.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -232,12 +233,21 @@ def _without(batches, limit):
                    part.column("coverage"), pa.array([c > limit for c in counts]), pa.array(texts, pa.string()), part.column("carried")]
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-            item_id: str = "item_id", item_text: str = "text", texts: bool = False) -> DataFrame:
-    """doc_id, text, n_words, hits, ranges, items of every document; with `texts` also `carried` (its other columns), else text is null.
+def _cleaned(batches, auto, limit):
+    """The last pass and the removal in one worker: a second one for each task would stay with the executor, memory and all."""
+    for doc_id, text, n_words, hits, ranges, items, rest in _pass(batches, auto, True):
+        flat, counts = hits.flatten().to_numpy(), hits.value_lengths().to_numpy()
+        sums = np.concatenate(([0], np.cumsum(flat[1::2] - flat[0::2])))
+        ends = np.concatenate(([0], np.cumsum(counts // 2)))
+        n, n_hit = n_words.to_numpy(), sums[ends[1:]] - sums[ends[:-1]]
+        coverage = np.where(n > 0, n_hit / np.maximum(n, 1), 0.0)
+        found = {"doc_id": doc_id, "text": text, "n_words": n_words, "n_hit": pa.array(n_hit, pa.int64()), "items": items, "ranges": ranges, "coverage": pa.array(coverage), "carried": rest}
+        yield from _without([pa.RecordBatch.from_pydict(found)], limit)
 
-    hits are word ranges and ranges byte ranges [first, last), both flat and merged; items are the ids found.
-    """
+
+def _passes(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str, item_id: str, item_text: str, texts: bool,
+            end: tuple[Callable, str] | None = None) -> DataFrame:
+    """The passes over all parts of the benchmark; `end` is what the last one runs in place of _pass, and the fields it yields between doc_id and carried."""
     spark = docs.sparkSession
     bench = narrow(items, item_id=item_id, text=item_text).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -253,10 +263,21 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str
         kind = fields("text string, n_words bigint, hits array<bigint>, ranges array<bigint>, items array<bigint>", *([out.schema["carried"]] if texts else []))
         kind = StructType([out.schema["doc_id"], *kind.fields])
         out = out.select("doc_id", "text", "n_words", "hits", "ranges", "items", *["carried"] * texts)
+        if end and p + 1 == parts:
+            return in_arrow(out, lambda b, auto=auto: end[0](b, auto), StructType([out.schema["doc_id"], *fields(end[1], out.schema["carried"]).fields]))
         out = in_arrow(out, lambda b, auto=auto, keep=keep: _pass(b, auto, keep), kind)
     return out
 
 
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
+            item_id: str = "item_id", item_text: str = "text", texts: bool = False) -> DataFrame:
+    """doc_id, text, n_words, hits, ranges, items of every document; with `texts` also `carried` (its other columns), else text is null.
+
+    hits are word ranges and ranges byte ranges [first, last), both flat and merged; items are the ids found.
+    """
+    return _passes(docs, items, window, doc_id, text, item_id, item_text, texts)
+
+
 def _hit_words():
     signed = F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     return F.aggregate(signed, F.lit(0).cast("bigint"), lambda s, x: s + x)
@@ -265,10 +286,8 @@ def _hit_words():
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items, ranges, coverage, dropped, text (hit runs removed; null where the document is dropped), carried."""
-    found = matches(docs, items, window, doc_id, text, item_id, item_text, texts=True).withColumn("n_hit", _hit_words())
-    found = found.withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(0.0))
-    kind = fields("n_words bigint, n_hit bigint, items array<bigint>, ranges array<bigint>, coverage double, dropped boolean, text string", found.schema["carried"])
-    return in_arrow(found, lambda b: _without(b, max_coverage), StructType([found.schema["doc_id"], *kind.fields]))
+    kind = "n_words bigint, n_hit bigint, items array<bigint>, ranges array<bigint>, coverage double, dropped boolean, text string"
+    return _passes(docs, items, window, doc_id, text, item_id, item_text, True, (lambda b, auto: _cleaned(b, auto, max_coverage), kind))
 
 
 @query(r"""WITH w AS (SELECT item_id, string_split_regex(trim(regexp_replace(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x00-\x2F\x3A-\x60\x7B-\x7F]+',' ','g')),' ') AS w FROM benchmark),
