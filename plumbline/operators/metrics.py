@@ -7,22 +7,24 @@ probabilities; the bootstrap interval is the 2.5 and 97.5 percentile of resample
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import brier_sum, decision_loss, logits, one_hot, ranked_probability_score
-from ..functions.stats import POISSON_STEPS, ece_bin, is_correct
+from ..functions.resampling import poisson_weights, weights_of
+from ..functions.stats import ece_bin, is_correct
 from ..sources.tables import failed
 from .scale import attach, materialise, running_totals, task_count, values_at, with_scalar
 
 BY = ["run_id", "slice", "task_type"]
 SKETCH_K = 800
 SUMS_HELD, FAMILIES, CELLS = 512, 256, 4096  # of one task in the interval: 16 MB of sums, 4 MB of weights at 2,000 draws
+INTERVAL_ROWS = 500_000  # of one task there; few tasks, as each sends a sum per run, slice and draw
 
 
 def answered(preds: DataFrame) -> DataFrame:
@@ -261,15 +263,25 @@ def latency_at_index(rows: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap_interval(preds: DataFrame, resamples: int = 2000, seed="bootstrap") -> DataFrame:
     """95% interval of the headline, resampling whole families with Poisson(1) weights drawn from a hash.
 
-    Cases shrink to family sums first. A task draws a family's weights once for all runs and slices, eight out of one digest,
-    and keeps only the weighted sums of each run and slice, as arrays with a place per draw; the tasks' arrays are added up.
-    Records without a family take no part.
+    Cases shrink to family sums first, in the task that draws the family: families are many and mostly small, so no sums are
+    built before the shuffle. A family's weights are drawn once for all runs and slices, eight out of one digest, and travel with
+    its first row; a task keeps only the weighted sums of each run and slice, as arrays with a place per draw, and the tasks'
+    arrays are added up. Records without a family take no part. The records are counted first, so hand in a table that is cheap
+    to count.
     """
     score = F.col("task_type") == "score"
     value = F.when(score, F.abs(F.col("expected_level") - F.col("gold").cast("double"))).otherwise(is_correct("pred", "gold").cast("double"))
-    families = answered(preds).where("family_id IS NOT NULL").groupBy("run_id", "slice", "family_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    near = families.repartition(task_count(preds), "family_id").sortWithinPartitions("family_id")
-    types = {f.name: f.dataType.simpleString() for f in families.schema}
+    cores = task_count(preds)
+    tasks = cores * max(1, -(-preds.count() // (cores * INTERVAL_ROWS)))
+    rows = answered(preds).where("family_id IS NOT NULL").select("run_id", "slice", "family_id", value.alias("value"))
+    near = rows.repartition(tasks, "family_id").groupBy("run_id", "slice", "family_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    types = {f.name: f.dataType.simpleString() for f in near.schema}
+    if types["family_id"] in ("string", "tinyint", "smallint", "int", "bigint"):
+        first = F.row_number().over(Window.partitionBy("family_id").orderBy("run_id", "slice")) == 1
+        w = poisson_weights(preds.sparkSession, "family_id", resamples, str(seed))
+        near = near.withColumn("first", first).select("run_id", "slice", "s", "n", F.when(F.col("first"), w).alias("w"))
+    else:
+        near = near.sortWithinPartitions("family_id")
     drawn = near.mapInArrow(partial(_weighted_sums, resamples=resamples, seed=str(seed)), f"run_id {types['run_id']}, slice {types['slice']}, s array<double>, n array<double>, known boolean")
     each = drawn.select("run_id", "slice", "known", F.posexplode(F.arrays_zip("s", "n")).alias("draw", "w"))
     means = each.groupBy("run_id", "slice", "draw").agg(F.when(F.bool_or("known"), F.try_divide(F.sum("w.s"), F.sum("w.n"))).alias("m"))
@@ -280,33 +292,30 @@ def bootstrap_interval(preds: DataFrame, resamples: int = 2000, seed="bootstrap"
 def _weighted_sums(batches, resamples: int, seed: str):
     """Per run and slice the sums of weight * s and weight * n of every draw, of rows sorted by family.
 
-    FAMILIES families at a time are a matrix of weights, which all their cells are multiplied by at once; the sums go out when
-    more than SUMS_HELD runs and slices are held.
+    A family's first row has its weights in `w`; without that column they are drawn here, of family_id. FAMILIES families at a
+    time are a matrix of weights, which all their cells are multiplied by at once; the sums go out when more than SUMS_HELD runs
+    and slices are held.
     """
-    steps, held, kinds = np.array(POISSON_STEPS, dtype=np.uint32), {}, []
-    heads = [f"{seed}:{i}:".encode() for i in range(-(-resamples // 8))]
-
-    def weights(family):
-        name = str(family).encode()
-        hashed = b"".join([hashlib.sha256(head + name).digest() for head in heads])
-        return np.searchsorted(steps, np.frombuffer(hashed, ">u4")[:resamples].astype(np.uint32), side="left")
-
-    def add(cells, drawn):
-        groups = {}
-        for run, part, _, _, _ in cells:
-            groups.setdefault((run, part), len(groups))
-        s, n, known = np.zeros((len(groups), len(drawn))), np.zeros((len(groups), len(drawn))), set()
-        for run, part, at, total, count in cells:
-            g = groups[run, part]
-            n[g, at] += count
-            if total is not None:
-                s[g, at] += total
-                known.add(g)
-        both = np.concatenate([s, n]) @ np.array(drawn, dtype=float)
-        s, n = both[:len(groups)], both[len(groups):]
-        for key, g in groups.items():
+    held, kinds, last, name = {}, [], bytes(resamples), None  # last: the weights of the family that goes on in the next batch
+
+    def add(keys, which, family, s, n, known, weights):
+        at, cells = which * len(weights) + family, len(keys) * len(weights)
+        both = np.concatenate([np.bincount(at, v, cells) for v in (s, n)]).reshape(2 * len(keys), -1) @ weights.astype(float)
+        known = np.bincount(which, known, len(keys)) > 0
+        for g, key in enumerate(keys):
             sums = held.setdefault(key, [0.0, 0.0, False])
-            sums[:] = [sums[0] + s[g], sums[1] + n[g], sums[2] or g in known]
+            sums[:] = [sums[0] + both[g], sums[1] + both[len(keys) + g], sums[2] or bool(known[g])]
+
+    def drawn(batch):
+        """Whether a family starts at a row, and the weights of the families that start."""
+        nonlocal name
+        if "w" in batch.schema.names:
+            w = batch.column("w")
+            return w.is_valid().to_numpy(zero_copy_only=False), w.drop_null().to_pylist()
+        families = [name, *batch.column("family_id").to_pylist()]
+        name = families[-1]
+        starts = np.array([a != b for a, b in zip(families, families[1:])], dtype=bool)
+        return starts, [weights_of(f, resamples, seed) for f, start in zip(families[1:], starts) if start]
 
     def out():
         keys, sums, lists = list(held), list(held.values()), pa.list_(pa.float64())
@@ -314,22 +323,28 @@ def _weighted_sums(batches, resamples: int, seed: str):
         return pa.RecordBatch.from_arrays([*names, pa.array([x[0] for x in sums], lists), pa.array([x[1] for x in sums], lists), pa.array([x[2] for x in sums], pa.bool_())],
                                           names=["run_id", "slice", "s", "n", "known"])
 
-    cells, drawn, last = [], [], None
     for batch in batches:
         kinds = [batch.schema.field(c).type for c in ("run_id", "slice")]
-        for run, part, family, s, n in zip(*[batch.column(c).to_pylist() for c in ("run_id", "slice", "family_id", "s", "n")]):
-            if family != last or not drawn or len(cells) >= CELLS:  # a family with very many cells is drawn again
-                if len(drawn) == FAMILIES or len(cells) >= CELLS:
-                    add(cells, drawn)
-                    cells, drawn = [], []
-                    if len(held) > SUMS_HELD:
-                        yield out()
-                        held.clear()
-                last = family
-                drawn.append(weights(family))
-            cells.append((run, part, len(drawn) - 1, s, n))
-    if cells:
-        add(cells, drawn)
+        runs, parts = (pc.dictionary_encode(batch.column(c), null_encoding="encode") for c in ("run_id", "slice"))
+        run_names, part_names = runs.dictionary.to_pylist(), parts.dictionary.to_pylist()
+        group = runs.indices.to_numpy().astype(np.int64) * len(part_names) + parts.indices.to_numpy()
+        known = batch.column("s").is_valid().to_numpy(zero_copy_only=False)
+        s, n = pc.fill_null(batch.column("s"), 0).to_numpy(), batch.column("n").to_numpy()
+        starts, weights = drawn(batch)
+        family, weights = np.cumsum(starts), [last, *weights]
+        last = weights[-1]
+        weights = np.frombuffer(b"".join(weights), np.uint8).reshape(len(weights), resamples)
+        at = 0
+        while at < len(group):
+            end = min(at + CELLS, int(np.searchsorted(family, family[at] + FAMILIES)))
+            rows = slice(at, end)
+            found, which = np.unique(group[rows], return_inverse=True)
+            keys = [(run_names[k // len(part_names)], part_names[k % len(part_names)]) for k in found]
+            add(keys, which, family[rows] - family[at], s[rows], n[rows], known[rows], weights[family[at]:family[end - 1] + 1])
+            at = end
+            if len(held) > SUMS_HELD:
+                yield out()
+                held.clear()
     if held:
         yield out()
 

@@ -183,8 +183,7 @@ RESAMPLES = 2000
  SELECT run_id,slice,round(quantile_cont(m,0.025),6) AS ci_low,round(quantile_cont(m,0.975),6) AS ci_high FROM m GROUP BY ALL""")
 def bootstrap_interval(spark, d):
     """95% interval by family over 2,000 resamples."""
-    return rounded(M.bootstrap_interval(materialise(S.predictions(spark, d).select(
-        "run_id", "slice", "family_id", "task_type", "error", "pred", "gold", "expected_level"), "preds"), RESAMPLES))
+    return rounded(M.bootstrap_interval(S.predictions(spark, d), RESAMPLES))
 
 
 @query(P + f""", a AS (SELECT run_id,slice,avg((lower(pred)=lower(gold))::INT) AS acc,count(*) AS n FROM predictions WHERE {CMP} GROUP BY ALL)

@@ -9,6 +9,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from plumbline.functions.resampling import poisson_weights
 from plumbline.functions.stats import POISSON_STEPS
 from plumbline.operators import calibration as C
 from plumbline.operators import guards as G
@@ -137,3 +138,52 @@ def test_a_batch_of_requests_is_answered_in_as_many_tasks_as_its_rows_ask_for(sp
     assert [df.rdd.getNumPartitions() for df in seen] == [50, 25]
     assert spark.read.parquet(str(tmp_path / "out" / "batch=*")).where("abs(noul - 0.75) < 1e-9").count() == 500
     assert spark.read.parquet(str(tmp_path / "bad" / "batch=*")).count() == 500
+
+
+def draws_of(family, draws, seed="bootstrap"):
+    hashed = b"".join(hashlib.sha256(f"{seed}:{i}:{family}".encode()).digest() for i in range(-(-draws // 8)))
+    return np.searchsorted(POISSON_STEPS, np.frombuffer(hashed, ">u4")[:draws].astype(np.int64))
+
+
+@pytest.mark.parametrize("draws,seed", [(2000, "bootstrap"), (13, "s\u00e9 d:")])
+def test_weights_of_families_are_drawn_from_their_digests(spark, draws, seed):
+    """Names of no, one and several blocks of the digest, and a number."""
+    names = ["", "\u00fc", *["f" * n for n in (37, 38, 39, 40, 41, 55, 56, 64, 200)]]
+    df = spark.createDataFrame([(n,) for n in names], "f string").repartition(3)
+    for r in df.select("f", poisson_weights(spark, "f", draws, seed).alias("w")).collect():
+        assert list(r.w) == draws_of(r.f, draws, seed).tolist()
+    assert list(spark.range(7, 8).select(poisson_weights(spark, "id", draws, seed)).first()[0]) == draws_of(7, draws, seed).tolist()
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_an_interval_is_summed_in_tasks_of_few_rows(spark, monkeypatch, kind):
+    """Against sums draw by draw: records without a slice, a run, a gold or a family, and families that go on in the next batch."""
+    rows = [(run, part, None if i % 13 == 5 else f"f{i % 40}" if kind == "string" else i % 40 / 4, "score" if part == "x" else "noul", "bad" if i % 11 == 3 else None,
+             str(i % 3), None if part == "none" or i % 17 == 2 else "1", i % 5 / 2) for run in ("a", "b", None) for part in ("x", "y", "none", None) for i in range(90)]
+    df = spark.createDataFrame(rows, f"run_id string, slice string, family_id {kind}, task_type string, error string, pred string, gold string, expected_level double")
+    monkeypatch.setattr(M, "INTERVAL_ROWS", 10)
+    monkeypatch.setattr(M, "FAMILIES", 3)
+    monkeypatch.setattr(M, "CELLS", 7)
+    monkeypatch.setattr(M, "SUMS_HELD", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = M.bootstrap_interval(df, 100)
+        got = {r[:2]: r[2:] for r in map(tuple, out.collect())}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f", {8 * -(-len(rows) // 80)}), REPARTITION_BY_NUM" in plan
+    assert ("plumbline_poisson" in plan) == (kind == "string")  # other types are drawn in Python
+    cells = {}
+    for run, part, family, task, error, pred, gold, level in rows:
+        if family is not None and not error:
+            cell = cells.setdefault((run, part), {}).setdefault(family, [None, 0])
+            cell[1] += 1
+            if gold is not None:
+                cell[0] = (cell[0] or 0.0) + (abs(level - float(gold)) if task == "score" else float(pred == gold))
+    assert got.keys() == cells.keys()
+    for key, of in cells.items():
+        w = np.array([draws_of(f, 100) for f in of])
+        s, n = (np.array([c[i] or 0 for c in of.values()]) @ w for i in (0, 1))
+        want = (None, None) if all(c[0] is None for c in of.values()) else tuple(np.percentile((s / n)[n > 0], [2.5, 97.5]))
+        assert got[key] == pytest.approx(want, abs=1e-12) if want[0] is not None else got[key] == want
